@@ -80,13 +80,15 @@ def json_text(value: Column, depth: int = 2) -> Column:
     plain = F.coalesce(_plain_text(value), F.lit(""))
     if depth == 0:
         return plain
-    inner = lambda v: json_text(v, depth - 1)
+
+    def inner(v: Column) -> Column:
+        return json_text(F.coalesce(v, F.lit("")), depth - 1)
+
     items = F.from_json(value, "array<string>")
     members = F.from_json(value, "map<string,string>")
-    preferred = F.coalesce(
-        *[F.nullif(inner(F.try_element_at(members, F.lit(key))), F.lit("")) for key in TEXT_KEYS[: 11 if depth > 1 else 4]]
-    )
-    as_object = F.coalesce(preferred, _joined(F.map_values(members), " ", inner))
+    keys = F.array(*[F.lit(key) for key in TEXT_KEYS])
+    by_key = F.filter(F.transform(keys, lambda k: inner(F.try_element_at(members, k))), lambda t: t != "")
+    as_object = F.coalesce(F.try_element_at(by_key, F.lit(1)), _joined(F.map_values(members), " ", inner))
     return (
         F.when(F.startswith(value, F.lit("[")) & items.isNotNull(), _joined(items, ", ", inner))
         .when(F.startswith(value, F.lit("{")) & members.isNotNull(), as_object)
@@ -94,10 +96,16 @@ def json_text(value: Column, depth: int = 2) -> Column:
     )
 
 
-def alias_pick(entries: Column, aliases: Sequence[str], depth: int = 1) -> Column:
-    """First non-blank text among aliases, in alias order."""
-    picks = [F.nullif(json_text(member(entries, alias), depth), F.lit("")) for alias in aliases]
-    return F.coalesce(*picks, F.lit(""))
+def text_entries(entries: Column) -> Column:
+    """json_entries with every value flattened to text, once for all later picks."""
+    return F.transform(
+        entries, lambda e: F.struct(e["k"].alias("k"), e["nk"].alias("nk"), json_text(e["v"]).alias("v"))
+    )
+
+
+def alias_pick(texts: Column, aliases: Sequence[str]) -> Column:
+    """First non-blank text among aliases, in alias order, over text_entries."""
+    return F.coalesce(*[F.nullif(member(texts, alias), F.lit("")) for alias in aliases], F.lit(""))
 
 
 # ---- file kinds and names ---------------------------------------------------

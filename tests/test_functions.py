@@ -187,9 +187,9 @@ def test_values(spark):
     got = evaluate(
         spark,
         [record],
-        A.alias_pick(A.json_entries("v"), ["headword"]),
-        A.alias_pick(A.json_entries("v"), ["x", "y", "writers"]),
-        A.alias_pick(A.json_entries("v"), ["none"]),
+        A.alias_pick(A.text_entries(A.json_entries("v")), ["headword"]),
+        A.alias_pick(A.text_entries(A.json_entries("v")), ["x", "y", "writers"]),
+        A.alias_pick(A.text_entries(A.json_entries("v")), ["none"]),
     )
     assert got == [("제목", "a, b c", "")]
     assert evaluate(spark, ['{"a":{"b":{"c":5}}}', "bad"], A.json_path("v", "a.b.c")) == ["5", None]
