@@ -1,12 +1,10 @@
-"""Explicit schemas: nothing is inferred from captured XML or JSON."""
+"""Explicit schemas, as DDL: nothing is inferred from captured XML or JSON."""
 
 from __future__ import annotations
 
-from pyspark.sql.types import StructType
 
-
-def _ddl(text: str) -> StructType:
-    return StructType.fromDDL(text)
+def _ddl(text: str) -> str:
+    return " ".join(text.split())
 
 
 # ---- scans ------------------------------------------------------------------
@@ -29,17 +27,14 @@ RSS_ITEM = _ddl(
     """
 )
 
-KCI_RECORD = _ddl(
-    """
-    journalInfo struct<`journal-name`:string, `publisher-name`:string, `pub-year`:string, volume:string, issue:string>,
-    articleInfo struct<`_article-id`:string, `article-categories`:string,
-                       `title-group`:struct<`article-title`:array<struct<_VALUE:string, _lang:string>>>,
-                       `abstract-group`:struct<abstract:array<struct<_VALUE:string, _lang:string>>>,
-                       `author-group`:struct<author:array<struct<_VALUE:string, _english:string>>>,
-                       url:string>
-    """
+_KCI_RECORD = (
+    "struct<journalInfo:struct<`journal-name`:string, `publisher-name`:string, `pub-year`:string, volume:string, "
+    "issue:string>, articleInfo:struct<`_article-id`:string, `article-categories`:string, "
+    "`title-group`:struct<`article-title`:array<struct<_VALUE:string, _lang:string>>>, "
+    "`abstract-group`:struct<abstract:array<struct<_VALUE:string, _lang:string>>>, "
+    "`author-group`:struct<author:array<struct<_VALUE:string, _english:string>>>, url:string>>"
 )
-KCI_RESPONSE = f"outputData struct<result:struct<total:string>, record:array<{KCI_RECORD.simpleString()}>>"
+KCI_RESPONSE = f"outputData struct<result:struct<total:string>, record:array<{_KCI_RECORD}>>"
 
 RISS_FIELDS = (
     "riss.type", "riss.title", "riss.author", "riss.publisher", "riss.pubdate", "riss.stitle", "riss.vol",
@@ -76,15 +71,15 @@ CAPTURE = _ddl("source string, request_no int, page int, kind string, keyword st
 
 # ---- records ----------------------------------------------------------------
 
+# Arrival order of a harvested record: request, page, place on the page.
 SEQ = "struct<request_no:int, page:int, pos:int>"
 
-BIB_SCHEMA = _ddl(
-    f"""
-    source string, source_id string, title string, publisher string, author string, publish_year string,
-    category string, sub_category string, summary string, detail_url string, isbn string, material_type string,
-    matched_keyword string, title_en string, summary_en string, author_en string, seq {SEQ}
-    """
+_BIB_TEXTS = (
+    "source", "source_id", "title", "publisher", "author", "publish_year", "category", "sub_category", "summary",
+    "detail_url", "isbn", "material_type", "matched_keyword", "title_en", "summary_en", "author_en",
 )
+BIB_FIELDS = {**{name: "string" for name in _BIB_TEXTS}, "seq": SEQ}
+BIB_SCHEMA = ", ".join(f"{name} {kind}" for name, kind in BIB_FIELDS.items())
 
 ARTICLE_META = _ddl(
     """

@@ -45,9 +45,7 @@ def _seq(pos: str = "pos") -> Column:
 def _bib(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     """Project onto the common record; fields not given are null."""
     made = {"source": F.lit(source), "matched_keyword": F.col("keyword"), "seq": _seq(), **fields}
-    out = []
-    for f in S.BIB_SCHEMA:
-        out.append(made.get(f.name, F.lit(None)).cast(f.dataType).alias(f.name))
+    out = [made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in S.BIB_FIELDS.items()]
     return rows.select(*out).where("title <> '' and source_id <> ''")
 
 

@@ -4,24 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
 from gleanmill.functions.dates import parse_since
 from gleanmill.functions.urls import host_of
 from gleanmill.operators.dedupe import keep_last
 from gleanmill.operators.verdicts import stored_verdicts
-from gleanmill.schemas import ARCHIVE_META, ARTICLE_META, LOSI_LIST, RECIPE, RUN_LOG
+from gleanmill.schemas import ARCHIVE_META, ARTICLE_META, RECIPE, RUN_LOG
 
 FILE = "_metadata.file_path"
 MODIFIED = "_metadata.file_modification_time"
 
-__all__ = [
-    "LOSI_LIST", "ajax_rows", "article_metas", "archive_metas", "dimension", "failure_stamps", "key_listing",
-    "page_captures", "parse_metas", "readable", "recipes", "register_numbers", "run_logs", "verdict_files",
-]
 
-
-def _json_files(spark: SparkSession, path: str, schema: StructType, name: str = "*.json") -> DataFrame:
+def _json_files(spark: SparkSession, path: str, schema: str, name: str = "*.json") -> DataFrame:
     return (
         spark.read.schema(schema)
         .option("multiLine", True)
@@ -38,7 +32,7 @@ def readable(scanned: DataFrame) -> DataFrame:
     return scanned.where(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
 
 
-def parse_metas(bodies: DataFrame, body: str, schema: StructType) -> DataFrame:
+def parse_metas(bodies: DataFrame, body: str, schema: str) -> DataFrame:
     """Meta texts already in a table: parsed columns plus ``_corrupt_record``."""
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rest = [c for c in bodies.columns if c != body]
