@@ -31,7 +31,6 @@ from gleanmill.functions.values import alias_pick, coded, json_entries, member,
 from gleanmill.rules.cascades import article_or_thesis
 
 KEEP = ["request_no", "page", "kind", "keyword"]
-_NULL = F.lit(None).cast("string")
 
 
 def _captures(captures: DataFrame, source: str) -> DataFrame:
