@@ -103,20 +103,28 @@ def _decode_numeric(value: Column, pattern: str, to_number) -> Column:
 
 
 def decode_entities(value: Col) -> Column:
+    """Decimal, then hexadecimal, then named entities; texts without any pass untouched."""
     raw = text_of(value)
-    decimal = F.when(
-        F.contains(raw, F.lit("&#")),
-        _decode_numeric(raw, r"&#(\d+);", lambda c: F.pmod(F.right(c, F.lit(30)).cast("decimal(38,0)"), F.lit(65536))),
-    ).otherwise(raw)
-    both = F.when(
-        F.contains(decimal, F.lit("&#x")),
-        _decode_numeric(
-            decimal,
-            "&#x([0-9a-fA-F]+);",
-            lambda c: F.conv(F.substring(c, -4, 4), 16, 10).cast("long"),
-        ),
-    ).otherwise(decimal)
-    return replace_all(both, NAMED_ENTITIES)
+
+    def decode(text: Column) -> Column:
+        decimal = F.when(
+            F.contains(text, F.lit("&#")),
+            _decode_numeric(
+                text, r"&#(\d+);", lambda c: F.pmod(F.right(c, F.lit(30)).cast("decimal(38,0)"), F.lit(65536))
+            ),
+        ).otherwise(text)
+        return _bound(decimal, lambda d: F.when(
+            F.contains(d, F.lit("&#x")),
+            _decode_numeric(d, "&#x([0-9a-fA-F]+);", lambda c: F.conv(F.substring(c, -4, 4), 16, 10).cast("long")),
+        ).otherwise(d))
+
+    named = _bound(raw, lambda text: replace_all(decode(text), NAMED_ENTITIES))
+    return F.when(F.contains(raw, F.lit("&")), named).otherwise(raw)
+
+
+def _bound(value: Column, body) -> Column:
+    """Evaluate ``value`` once for an expression that reads it several times."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def html_to_text(value: Col) -> Column:

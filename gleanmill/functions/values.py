@@ -68,7 +68,9 @@ def member(entries: Column, alias: str) -> Column:
 
 
 def _plain_text(value: Column) -> Column:
-    return F.btrim(F.regexp_replace(decode_entities(strip_tags(value)), java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    """Tag-free, decoded, one-line text; values with nothing to clean pass untouched."""
+    full = F.btrim(F.regexp_replace(decode_entities(strip_tags(value)), java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    return F.when(value.rlike(java(r"[<&]|\s")), full).otherwise(value)
 
 
 def _joined(values: Column, glue: str, flatten) -> Column:
