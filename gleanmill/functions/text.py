@@ -113,16 +113,16 @@ def decode_entities(value: Col) -> Column:
                 text, r"&#(\d+);", lambda c: F.pmod(F.right(c, F.lit(30)).cast("decimal(38,0)"), F.lit(65536))
             ),
         ).otherwise(text)
-        return _bound(decimal, lambda d: F.when(
+        return bound(decimal, lambda d: F.when(
             F.contains(d, F.lit("&#x")),
             _decode_numeric(d, "&#x([0-9a-fA-F]+);", lambda c: F.conv(F.substring(c, -4, 4), 16, 10).cast("long")),
         ).otherwise(d))
 
-    named = _bound(raw, lambda text: replace_all(decode(text), NAMED_ENTITIES))
+    named = bound(raw, lambda text: replace_all(decode(text), NAMED_ENTITIES))
     return F.when(F.contains(raw, F.lit("&")), named).otherwise(raw)
 
 
-def _bound(value: Column, body) -> Column:
+def bound(value: Column, body) -> Column:
     """Evaluate ``value`` once for an expression that reads it several times."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
 

@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanmill.functions.patterns import SPACE_CHARS, java
-from gleanmill.functions.text import Col, col, decode_entities, strip_tags, text_of, trimmed
+from gleanmill.functions.text import Col, bound, col, decode_entities, strip_tags, text_of, trimmed
 from gleanmill.functions.urls import base_name
 
 
@@ -86,14 +86,16 @@ def json_text(value: Column, depth: int = 2) -> Column:
     def inner(v: Column) -> Column:
         return json_text(F.coalesce(v, F.lit("")), depth - 1)
 
-    items = F.from_json(value, "array<string>")
-    members = F.from_json(value, "map<string,string>")
-    keys = F.array(*[F.lit(key) for key in TEXT_KEYS])
-    by_key = F.filter(F.transform(keys, lambda k: inner(F.try_element_at(members, k))), lambda t: t != "")
-    as_object = F.coalesce(F.try_element_at(by_key, F.lit(1)), _joined(F.map_values(members), " ", inner))
+    def of_object(members: Column) -> Column:
+        keys = F.filter(F.array(*[F.lit(key) for key in TEXT_KEYS]), lambda k: F.map_contains_key(members, k))
+        by_key = F.filter(F.transform(keys, lambda k: inner(F.try_element_at(members, k))), lambda t: t != "")
+        return F.coalesce(F.try_element_at(by_key, F.lit(1)), _joined(F.map_values(members), " ", inner))
+
+    as_list = bound(F.from_json(value, "array<string>"), lambda items: _joined(items, ", ", inner))
+    as_object = bound(F.from_json(value, "map<string,string>"), of_object)
     return (
-        F.when(F.startswith(value, F.lit("[")) & items.isNotNull(), _joined(items, ", ", inner))
-        .when(F.startswith(value, F.lit("{")) & members.isNotNull(), as_object)
+        F.when(F.startswith(value, F.lit("[")), F.coalesce(as_list, plain))
+        .when(F.startswith(value, F.lit("{")), F.coalesce(as_object, plain))
         .otherwise(plain)
     )
 
