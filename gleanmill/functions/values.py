@@ -59,12 +59,19 @@ def json_entries(record: Col) -> Column:
     )
 
 
-def member(entries: Column, alias: str) -> Column:
-    """Value under a key: the exact spelling first, then ignoring case and separators."""
-    plain = "".join(c for c in alias if c not in " _-./").lower()
-    exact = F.try_element_at(F.filter(entries, lambda e: e["k"] == alias), F.lit(1))["v"]
-    loose = F.try_element_at(F.filter(entries, lambda e: e["nk"] == plain), F.lit(1))["v"]
-    return F.coalesce(exact, loose)
+def _members(entries: Column, aliases: Sequence[str]) -> Column:
+    """Value per alias, in alias order: the exact spelling first, then ignoring case and separators."""
+    plain = lambda a: "".join(c for c in a if c not in " _-./").lower()
+    wanted = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(plain(a)).alias("nk")) for a in aliases])
+    hit = lambda test: F.try_element_at(F.filter(entries, test), F.lit(1))["v"]
+    return F.transform(
+        wanted, lambda a: F.coalesce(hit(lambda e: e["k"] == a["k"]), hit(lambda e: e["nk"] == a["nk"]))
+    )
+
+
+def member(entries: Column, aliases: Sequence[str]) -> Column:
+    """First value found under any alias."""
+    return F.try_element_at(F.filter(_members(entries, aliases), lambda v: v.isNotNull()), F.lit(1))
 
 
 def _plain_text(value: Column) -> Column:
@@ -109,7 +116,8 @@ def text_entries(entries: Column) -> Column:
 
 def alias_pick(texts: Column, aliases: Sequence[str]) -> Column:
     """First non-blank text among aliases, in alias order, over text_entries."""
-    return F.coalesce(*[F.nullif(member(texts, alias), F.lit("")) for alias in aliases], F.lit(""))
+    found = F.filter(_members(texts, aliases), lambda v: v.isNotNull() & (v != ""))
+    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 
 
 # ---- file kinds and names ---------------------------------------------------

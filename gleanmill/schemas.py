@@ -116,7 +116,8 @@ RECIPE = _ddl(
 )
 
 RUN_LOG = _ddl(
-    "id long, configId long, startedAt timestamp, endedAt timestamp, itemCount long, success boolean, message string"
+    "id long, configId long, startedAt timestamp, endedAt timestamp, itemCount long, success boolean, message string, "
+    "_corrupt_record string"
 )
 
 # classifier: publisher, topic, academic or news; value is the stored outcome.

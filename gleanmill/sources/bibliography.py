@@ -28,6 +28,7 @@ from gleanmill.functions.text import (
     volume_label,
 )
 from gleanmill.functions.values import alias_pick, coded, json_entries, member, pick_by_lang, text_entries
+from gleanmill.operators.once import evaluated_once
 from gleanmill.rules.cascades import article_or_thesis
 
 KEEP = ["request_no", "page", "kind", "keyword"]
@@ -67,7 +68,7 @@ def _root(body: Column, tag: str) -> Column:
 
 def kci(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     # the root element is not part of the schema
-    parsed = _captures(captures, "kci").withColumn("x", F.from_xml("body", S.KCI_RESPONSE))
+    parsed = evaluated_once(_captures(captures, "kci"), "x", F.from_xml("body", S.KCI_RESPONSE))
     good = _root(F.col("body"), "MetaData") & F.col("x.outputData").isNotNull()
     problem = F.when(~F.coalesce(good, F.lit(False)), F.concat(F.lit("outputData missing: "), F.left(strip_tags("body"), F.lit(200))))
     rows = _records(parsed, good, F.col("x.outputData.record"))
@@ -96,7 +97,7 @@ def kci(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def riss(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = _captures(captures, "riss").withColumn("x", F.from_xml("body", S.RISS_RESPONSE))
+    parsed = evaluated_once(_captures(captures, "riss"), "x", F.from_xml("body", S.RISS_RESPONSE))
     has_head = _root(F.col("body"), "record") & F.col("x.head").isNotNull()
     code = F.coalesce("x.head.Error", F.lit("0"))
     problem = F.when(
@@ -124,11 +125,7 @@ def riss(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def ntis(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     repaired = strip_highlight(escape_bare_amp("body"))
-    parsed = (
-        _captures(captures, "ntis")
-        .withColumn("xml", repaired)
-        .withColumn("x", F.from_xml("xml", S.NTIS_RESPONSE))
-    )
+    parsed = evaluated_once(evaluated_once(_captures(captures, "ntis"), "xml", repaired), "x", F.from_xml("xml", S.NTIS_RESPONSE))
     is_result = _root(F.col("xml"), "RESULT")
     parsed_any = F.coalesce("x.TOTALHITS", "x.resMsg").isNotNull() | F.col("x.RESULTSET").isNotNull()
     problem = (
@@ -164,10 +161,7 @@ def losi(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     wrap = F.coalesce(
         F.get_json_object(body, "$.result[0]"), F.get_json_object(body, "$.result"), body
     )
-    parsed = (
-        _captures(captures, "losi")
-        .withColumn("w", F.when(F.try_parse_json("body").isNotNull(), wrap))
-    )
+    parsed = evaluated_once(_captures(captures, "losi"), "w", F.when(F.try_parse_json("body").isNotNull(), wrap))
     error = F.coalesce(F.get_json_object("w", "$.error"), F.get_json_object("body", "$.error"))
     first = F.coalesce(F.get_json_object(error, "$[0]"), error)
     problem = F.when(F.col("w").isNull(), F.concat(F.lit("bad reply: "), F.left("body", F.lit(200)))).when(
@@ -202,7 +196,7 @@ def losi(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def kisti(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    parsed = _captures(captures, "kisti").withColumn("x", F.from_xml("body", S.KISTI_RESPONSE))
+    parsed = evaluated_once(_captures(captures, "kisti"), "x", F.from_xml("body", S.KISTI_RESPONSE))
     good = _root(F.col("body"), "MetaData") & (
         F.col("x.resultSummary").isNotNull() | F.col("x.recordList").isNotNull() | F.col("x.errorDetail").isNotNull()
     )
@@ -285,7 +279,7 @@ def ency_records(payload: Column) -> Column:
 
 def ency_total(payload: Column) -> Column:
     entries = json_entries(payload)
-    return F.coalesce(*[member(entries, key) for key in TOTAL_KEYS]).try_cast("long")
+    return member(entries, TOTAL_KEYS).try_cast("long")
 
 
 def ency_eid(entries: Column) -> Column:
@@ -296,28 +290,24 @@ def ency_eid(entries: Column) -> Column:
 
 def encykorea(captures: DataFrame, details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Schema-tolerant JSON; ``details`` (eid, body) overlays list rows that need it."""
-    parsed = _captures(captures, "encykorea").withColumn(
-        "payload", F.when(F.try_parse_json("body").isNotNull(), _unwrap(F.col("body")))
+    parsed = evaluated_once(
+        _captures(captures, "encykorea"), "payload", F.when(F.try_parse_json("body").isNotNull(), _unwrap(F.col("body")))
     )
     problem = F.when(F.col("payload").isNull(), F.concat(F.lit("bad reply: "), F.left("body", F.lit(200))))
     rows = _records(parsed, problem.isNull(), ency_records(F.col("payload")))
-    rows = rows.withColumn("e", text_entries(json_entries("r"))).withColumn("eid", ency_eid(F.col("e")))
+    rows = evaluated_once(rows, "e", text_entries(json_entries("r"))).withColumn("eid", ency_eid(F.col("e")))
     if details is not None:
-        wanted = details.select(
-            F.upper("eid").alias("eid"),
-            text_entries(json_entries(ency_article(F.col("body")))).alias("_d"),
+        wanted = evaluated_once(details, "_d", text_entries(json_entries(ency_article(F.col("body"))))).select(
+            F.upper("eid").alias("eid"), "_d"
         )
         late = F.coalesce("_d", F.array().cast("array<struct<k:string,nk:string,v:string>>"))
         kept = F.filter("e", lambda x: ~F.exists(late, lambda y: y["k"] == x["k"]))
         overlaid = F.when(needs_detail(F.col("e")), F.concat(kept, late)).otherwise(F.col("e"))
-        rows = rows.join(wanted, "eid", "left").withColumn("e", overlaid)
+        joined = rows.join(wanted, "eid", "left")
+        rows = evaluated_once(joined, "_o", overlaid).withColumn("e", F.col("_o"))
     e = F.col("e")
-    # one projection per pick: each is read several times below
-    rows = rows.withColumns({
-        "_type": alias_pick(e, TYPE_KEYS),
-        "_nature": alias_pick(e, NATURE_KEYS),
-        "_url": alias_pick(e, URL_KEYS),
-    })
+    rows = evaluated_once(rows, "_url", alias_pick(e, URL_KEYS))
+    kind_and_nature = F.array(alias_pick(e, TYPE_KEYS), alias_pick(e, NATURE_KEYS))
     items = _bib(
         rows, "encykorea",
         source_id=F.col("eid"),
@@ -326,7 +316,7 @@ def encykorea(captures: DataFrame, details: DataFrame | None = None) -> tuple[Da
         author=people(alias_pick(e, AUTHOR_KEYS)),
         publish_year=year_of(alias_pick(e, YEAR_KEYS)),
         category=blank_to_null(alias_pick(e, FIELD_KEYS)),
-        sub_category=blank_to_null(F.array_join(F.filter(F.array("_type", "_nature"), lambda t: t != ""), " / ")),
+        sub_category=blank_to_null(F.array_join(F.filter(kind_and_nature, lambda t: t != ""), " / ")),
         summary=blank_to_null(alias_pick(e, SUMMARY_KEYS)),
         detail_url=F.when(F.col("_url") != "", F.col("_url")).otherwise(F.concat(F.lit(ENCY_ORIGIN + "/Article/"), "eid")),
         material_type=F.lit("article"),

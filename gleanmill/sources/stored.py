@@ -8,23 +8,20 @@ from pyspark.sql import functions as F
 from gleanmill.functions.dates import parse_since
 from gleanmill.functions.urls import host_of
 from gleanmill.operators.dedupe import keep_last
+from gleanmill.operators.once import evaluated_once
 from gleanmill.operators.verdicts import stored_verdicts
 from gleanmill.schemas import ARCHIVE_META, ARTICLE_META, RECIPE, RUN_LOG
 
-FILE = "_metadata.file_path"
-MODIFIED = "_metadata.file_modification_time"
-
 
 def _json_files(spark: SparkSession, path: str, schema: str, name: str = "*.json") -> DataFrame:
-    return (
-        spark.read.schema(schema)
-        .option("multiLine", True)
-        .option("mode", "PERMISSIVE")
-        .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", name)
+    """One JSON object per file: parsed columns, the file's path and its time."""
+    files = (
+        spark.read.option("pathGlobFilter", name)
         .option("recursiveFileLookup", True)
-        .json(path)
+        .text(path, wholetext=True)
+        .select("value", F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_at"))
     )
+    return parse_metas(files, "value", schema)
 
 
 def readable(scanned: DataFrame) -> DataFrame:
@@ -36,13 +33,13 @@ def parse_metas(bodies: DataFrame, body: str, schema: str) -> DataFrame:
     """Meta texts already in a table: parsed columns plus ``_corrupt_record``."""
     parsed = F.from_json(body, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"})
     rest = [c for c in bodies.columns if c != body]
-    return bodies.select(*rest, parsed.alias("_m")).select(*rest, "_m.*")
+    return evaluated_once(bodies, "_m", parsed).select(*rest, "_m.*")
 
 
 def _since(scanned: DataFrame, since: str | None) -> DataFrame:
-    """The bound is inclusive and prunes files before they are opened."""
+    """The bound is inclusive; on the file's own time it prunes files before they are opened."""
     bound = parse_since(since)
-    return scanned if bound is None else scanned.where(F.col(MODIFIED) >= F.lit(bound))
+    return scanned if bound is None else scanned.where(F.col("modified_at") >= F.lit(bound))
 
 
 def article_metas(spark: SparkSession, root: str, origin_id: int | None = None, since: str | None = None) -> DataFrame:
@@ -51,9 +48,8 @@ def article_metas(spark: SparkSession, root: str, origin_id: int | None = None,
     scanned = _since(_json_files(spark, base, ARTICLE_META, "meta.json"), since)
     return readable(scanned.select(
         "*",
-        F.regexp_extract(F.col(FILE), r"/articles/(\d+)/", 1).try_cast("long").alias("origin_id"),
-        F.regexp_extract(F.col(FILE), r"/articles/\d+/([^/]+)/", 1).alias("item_hash"),
-        F.col(MODIFIED).alias("modified_at"),
+        F.regexp_extract("file_path", r"/articles/(\d+)/", 1).try_cast("long").alias("origin_id"),
+        F.regexp_extract("file_path", r"/articles/\d+/([^/]+)/", 1).alias("item_hash"),
     ))
 
 
@@ -63,15 +59,14 @@ def archive_metas(spark: SparkSession, root: str, origin_id: int | None = None,
     scanned = _since(_json_files(spark, base, ARCHIVE_META, "meta.json"), since)
     return readable(scanned.select(
         "*",
-        F.regexp_extract(F.col(FILE), r"/items/(\d+)/", 1).try_cast("long").alias("origin_id"),
-        F.regexp_extract(F.col(FILE), r"/items/\d+/([0-9a-f]{8})", 1).alias("item_hash"),
-        F.col(MODIFIED).alias("modified_at"),
+        F.regexp_extract("file_path", r"/items/(\d+)/", 1).try_cast("long").alias("origin_id"),
+        F.regexp_extract("file_path", r"/items/\d+/([0-9a-f]{8})", 1).alias("item_hash"),
     ))
 
 
 def recipes(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """(recipes, bad files); a later file of the same id wins."""
-    scanned = _json_files(spark, path, RECIPE).select("*", F.regexp_extract(F.col(FILE), "[^/]+$", 0).alias("file_name"))
+    scanned = _json_files(spark, path, RECIPE).select("*", F.regexp_extract("file_path", "[^/]+$", 0).alias("file_name"))
     bad = scanned.where(F.col("_corrupt_record").isNotNull()).select("file_name", "_corrupt_record")
     return keep_last(readable(scanned), "id", "file_name"), bad
 
@@ -80,7 +75,7 @@ def verdict_files(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     """One JSON object per classifier to verdict rows."""
     bodies = None
     for classifier, path in paths.items():
-        one = spark.read.option("wholetext", True).text(path).select(
+        one = spark.read.text(path, wholetext=True).select(
             F.lit(classifier).alias("classifier"), F.col("value").alias("body")
         )
         bodies = one if bodies is None else bodies.unionByName(one)
@@ -129,7 +124,7 @@ def dimension(spark: SparkSession, path: str | None = None, **jdbc: str) -> Data
 def run_logs(spark: SparkSession, root: str) -> DataFrame:
     """log/{configId}/{date}/*.json."""
     return _json_files(spark, f"{root}/log", RUN_LOG).select(
-        "*", F.regexp_extract(F.col(FILE), r"/log/\d+/([^/]+)/", 1).alias("date")
+        "*", F.regexp_extract("file_path", r"/log/\d+/([^/]+)/", 1).alias("date")
     )
 
 
