@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from gleanmill.functions.patterns import java
-from gleanmill.functions.text import Col, col, text_of, trimmed
+from gleanmill.functions.text import Col, bound, col, text_of, trimmed
 
 TEXT = "yyyy-MM-dd HH:mm:ss"
 ZONE = "Asia/Seoul"
@@ -43,7 +43,10 @@ def send_datetime(date: Col, time: Col, otherwise: Col | None = None) -> Column:
 
 
 def _article_timestamp(value: Col) -> Column:
-    raw = trimmed(value)
+    return bound(trimmed(value), _strict_timestamp)
+
+
+def _strict_timestamp(raw: Column) -> Column:
     dashed = F.regexp_replace(raw, "[./]", "-")
     with_time = F.when(F.length(dashed) == 16, F.concat(dashed, F.lit(":00"))).otherwise(dashed)
     return (
@@ -102,8 +105,8 @@ def listed_date(value: Col) -> Column:
     """'a ~ b' takes b, the weekday goes; yyyyMMdd, or null for the worklist."""
     raw = text_of(value)
     ends = F.when(F.contains(raw, F.lit("~")), F.get(F.split(raw, "~", -1), F.lit(1))).otherwise(raw)
-    bare = F.regexp_replace(trimmed(ends), java(r"^[A-Za-z]+,\s*"), "")
-    return F.date_format(first_format(_month_case(bare), LISTED_FORMATS), "yyyyMMdd")
+    bare = bound(F.regexp_replace(trimmed(ends), java(r"^[A-Za-z]+,\s*"), ""), _month_case)
+    return F.date_format(bound(bare, lambda text: first_format(text, LISTED_FORMATS)), "yyyyMMdd")
 
 
 # Accepted shapes of a date on older pages.
@@ -119,7 +122,10 @@ LEGACY_FORMATS = (
 
 def legacy_date(value: Col) -> Column:
     """English month with am/pm, else a numeric date inside the text; yyyyMMdd or null."""
-    raw = trimmed(value)
+    return F.date_format(bound(trimmed(value), _legacy_timestamp), "yyyyMMdd")
+
+
+def _legacy_timestamp(raw: Column) -> Column:
     english = F.try_to_timestamp(
         F.when(raw.rlike(rf"(?i)^{_MONTH} \d{{1,2}}:\d{{2}} (?:am|pm)\z"), _month_case(raw)),
         F.lit("MMMM d, yyyy h:mm a"),
@@ -127,7 +133,8 @@ def legacy_date(value: Col) -> Column:
     numeric = F.regexp_extract(raw, java(r"\d{4}[-.]\d{1,2}[-.]\d{1,2}(?:\s+\d{2}:\d{2})?"), 0)
     found = F.when(numeric != "", numeric).otherwise(raw)
     dayless = F.regexp_replace(found, r"^(?:Mon|Tues|Wednes|Thurs|Fri|Satur|Sun)day, ", "")
-    return F.date_format(F.coalesce(english, first_format(_month_case(dayless), LEGACY_FORMATS)), "yyyyMMdd")
+    other = bound(bound(dayless, _month_case), lambda text: first_format(text, LEGACY_FORMATS))
+    return F.coalesce(english, other)
 
 
 def korean_datetime(value: Col, this_year: int) -> Column:

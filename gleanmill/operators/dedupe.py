@@ -61,7 +61,7 @@ def first_place_last_value(rows: DataFrame, key: str, seq: str) -> DataFrame:
 
 
 def ordered_distinct(rows: DataFrame, keys: str | Sequence[str], value: str, seq: str, name: str) -> DataFrame:
-    """Distinct values per key in order of first arrival.
+    """Distinct values per key in order of first arrival, and the key's own first place.
 
     The first step leaves one row per (key, value), so the list that is then
     built is as long as the answer itself.
@@ -69,15 +69,16 @@ def ordered_distinct(rows: DataFrame, keys: str | Sequence[str], value: str, seq
     names = _names(keys)
     firsts = rows.groupBy(*names, value).agg(F.min(seq).alias("_seq"))
     gathered = F.array_sort(F.collect_list(F.struct("_seq", F.col(value).alias("_value"))))
-    return firsts.groupBy(*names).agg(F.transform(gathered, lambda e: e["_value"]).alias(name))
+    return firsts.groupBy(*names).agg(F.transform(gathered, lambda e: e["_value"]).alias(name), F.min("_seq").alias(seq))
 
 
 def merge_by_source_id(items: DataFrame, seq: str = "seq") -> DataFrame:
-    """First item per (source, source_id) kept whole, keywords gathered in arrival order."""
-    keys = ["source", "source_id"]
-    first = keep_first(items, keys, seq)
-    words = ordered_distinct(items, keys, "matched_keyword", seq, "matched_keywords")
-    return first.join(words, keys)
+    """First item per (source, source_id) kept whole, keywords gathered in arrival order.
+
+    The wide items are shuffled once, by their unique place.
+    """
+    words = ordered_distinct(items, ["source", "source_id"], "matched_keyword", seq, "matched_keywords")
+    return items.join(words.select(seq, "matched_keywords"), seq)
 
 
 def without_stored(rows: DataFrame, stored: DataFrame, keys: str | Sequence[str]) -> DataFrame:

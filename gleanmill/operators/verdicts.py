@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanmill.functions.text import blank_to_null, is_blank, publisher_normalise, text_of, trimmed
-from gleanmill.functions.urls import verdict_key
 from gleanmill.functions.values import (
     institution_reply,
     only_true,
@@ -19,6 +18,7 @@ from gleanmill.functions.values import (
     reply_rows,
     unless_boolean_false,
 )
+from gleanmill.operators.joins import attach_translations
 from gleanmill.operators.numbering import with_batches
 from gleanmill.rules import vocabulary as V
 from gleanmill.rules.cascades import news_body
@@ -79,12 +79,16 @@ def confirm_news(
     store: DataFrame,
     replies: DataFrame,
     rule: str = "rule",
-    key: str = "key",
+    key: str = "verdict_key",
     enabled: bool = True,
     provider: bool = True,
     out: str = "verdict",
 ) -> DataFrame:
-    """Final verdict struct(relevant, by, reason, matched, rule_by)."""
+    """Final verdict struct(relevant, by, reason, matched, rule_by).
+
+    ``key`` (see functions.urls.verdict_key) is computed beforehand, so rows
+    need not carry their text through the lookups.
+    """
     r = F.col(rule)
     no_match = F.lit(None).cast("array<string>")
 
@@ -107,7 +111,7 @@ def confirm_news(
         )
         return rows.withColumn(out, F.when(settled, unchanged).otherwise(off))
 
-    joined = _looked_up(rows, verdict_key(key, "title", "content"), "news", store, replies)
+    joined = _looked_up(rows, F.col(key), "news", store, replies)
     reply = relevant_unless_false("_reply")
     stored = F.col("_s.value") == "true"
     verdict = (
@@ -116,7 +120,7 @@ def confirm_news(
         .when(reply["ok"], final(reply["value"], F.when(reply["value"], "llm-keep").otherwise("llm-drop"), reply["reason"], no_match))
         .otherwise(final(r["relevant"], F.when(r["relevant"], "llm-error-keep").otherwise("rule-drop"), r["reason"], no_match))
     )
-    return joined.withColumn(out, verdict).drop("_s", "_reply").withColumnRenamed("_key", "verdict_key")
+    return joined.withColumn(out, verdict).drop("_s", "_reply", "_key")
 
 
 def _confirm(rows, rule, key, classifier, store, replies, field, reply, out):
@@ -260,14 +264,20 @@ def translation_worklist(rows: DataFrame, key: str, fields: dict[str, str]) -> D
     return rows.select(key, F.inline(F.array_compact(F.array(*entries))))
 
 
+# Fields a translation may fill; names of people are never translated.
+TRANSLATED = ("title", "publisher", "summary")
+
+
 def english_fields(rows: DataFrame, translations: DataFrame, key: str) -> DataFrame:
-    """English the source gave is kept; title, publisher and summary take a translation, names never."""
-    from gleanmill.operators.joins import attach_translations
+    """Rows with their translations attached and merged."""
+    return with_english(attach_translations(rows, translations, key, TRANSLATED))
+
 
-    joined = attach_translations(rows, translations, key, ["title", "publisher", "summary"])
-    return joined.withColumns({
+def with_english(rows: DataFrame) -> DataFrame:
+    """English the source gave is kept; what is missing takes the attached translation."""
+    return rows.withColumns({
         "title_en": F.coalesce(blank_to_null("title_en"), F.col("title_translated")),
         "summary_en": F.coalesce(blank_to_null("summary_en"), F.col("summary_translated")),
         "author_en": blank_to_null("author_en"),
         "publisher_en": F.col("publisher_translated"),
-    }).drop("title_translated", "publisher_translated", "summary_translated")
+    }).drop(*[field + "_translated" for field in TRANSLATED])

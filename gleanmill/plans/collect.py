@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanmill.functions.text import text_of
-from gleanmill.functions.urls import article_identity, item_key
-from gleanmill.operators.dedupe import flag_first
+from gleanmill.functions.urls import article_identity, item_key, verdict_key
+from gleanmill.operators.dedupe import first_per_key
 from gleanmill.operators.joins import attach_translations
 from gleanmill.operators.rollups import counters
 from gleanmill.operators.verdicts import confirm_news
@@ -16,7 +16,7 @@ from gleanmill.rules.cascades import NewsRules, news_rule
 STATUSES = ("no_keyword", "duplicate", "existing", "irrelevant", "saved")
 
 
-def judged_articles(
+def decisions(
     articles: DataFrame,
     stored: DataFrame | None,
     store: DataFrame,
@@ -28,44 +28,55 @@ def judged_articles(
     enabled: bool = True,
     provider: bool = True,
 ) -> DataFrame:
-    """Every article with its status; ``status`` is the first thing that dropped it.
+    """(seq, identity, matched_keywords, status, verdict, verdict_key) of every article.
 
-    The live feed gates on keywords and topic; the backfill records matches but
-    drops nothing, because its supplier already filtered.
+    ``status`` is the first thing that dropped the article.  The live feed gates
+    on keywords and topic; the backfill records matches but drops nothing,
+    because its supplier already filtered.
+
+    Rules read the text where it lies; only keys and verdicts are shuffled
+    after that, never the articles.
     """
-    rows = articles.withColumn("identity", article_identity("guid", "link"))
-    rows = rows.withColumn("item_hash", item_key("identity"))
-    matched = F.size("matched_keywords") > 0
-    gate = matched if keyword_gate else F.lit(True)
-    passed = rows.withColumn("_gate", gate)
-    # duplicates are judged among the rows that passed the gate
-    firsts = flag_first(passed.where("_gate"), "identity", seq)
+    identity = article_identity("guid", "link")
+    narrow = [F.col(seq), identity.alias("identity"), F.col("matched_keywords")]
+    if check_topic:
+        narrow += [
+            news_rule("title", "content", rules).alias("rule"),
+            verdict_key(identity, "title", "content").alias("verdict_key"),
+        ]
+    rows = articles.select(*narrow).withColumn(
+        "_open", F.size("matched_keywords") > 0 if keyword_gate else F.lit(True)
+    )
+    # a key is taken by its first article that passed the gate
+    firsts = first_per_key(rows.where("_open"), "identity", seq).select(seq, F.lit(True).alias("_first"))
+    marked = rows.join(firsts, seq, "left")
     if stored is None:
-        known = firsts.withColumn("_stored", F.lit(False))
+        known = marked.withColumn("_stored", F.lit(False))
     else:
-        marks = stored.select(F.col("identity"), F.lit(True).alias("_stored")).distinct()
-        known = firsts.join(marks, "identity", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
+        marks = stored.select("identity", F.lit(True).alias("_stored")).distinct()
+        known = marked.join(marks, "identity", "left")
+    relevant: Column = F.lit(True)
     if check_topic:
-        ruled = known.withColumn("rule", news_rule("title", "content", rules)).withColumn("key", F.col("identity"))
-        judged = confirm_news(ruled, store, replies, enabled=enabled, provider=provider).drop("rule", "key")
-        relevant: Column = F.col("verdict.relevant")
-    else:
-        judged, relevant = known, F.lit(True)
+        known = confirm_news(known, store, replies, enabled=enabled, provider=provider).drop("rule")
+        relevant = F.col("verdict.relevant")
     status = (
-        F.when(~F.col("is_first"), "duplicate")
-        .when(F.col("_stored"), "existing")
+        F.when(~F.col("_open"), "no_keyword")
+        .when(F.col("_first").isNull(), "duplicate")
+        .when(F.coalesce("_stored", F.lit(False)), "existing")
         .when(~relevant, "irrelevant")
         .otherwise("saved")
     )
-    judged = judged.withColumn("status", status).drop("_gate", "_stored", "is_first")
-    if not keyword_gate:
-        return judged
-    gated = passed.where("not _gate").withColumn("status", F.lit("no_keyword")).drop("_gate")
-    return judged.unionByName(gated, allowMissingColumns=True)
+    return known.withColumn("status", status).drop("_open", "_first", "_stored")
+
+
+def judged_articles(articles: DataFrame, *args, seq: str = "seq", **options) -> DataFrame:
+    """The articles with their decisions: one wide shuffle, by the unique place."""
+    decided = decisions(articles, *args, seq=seq, **options).drop("matched_keywords")
+    return articles.join(decided, seq).withColumn("item_hash", item_key("identity"))
 
 
 def collect_summary(judged: DataFrame) -> DataFrame:
-    """All counters of a run in one pass over the status column."""
+    """All counters of a run in one pass over its decisions."""
     status, by = F.col("status"), F.col("verdict.by")
     reached = ~status.isin("no_keyword", "duplicate", "existing")
     return counters(judged, {

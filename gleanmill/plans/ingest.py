@@ -7,51 +7,60 @@ from pyspark.sql import functions as F
 
 from gleanmill.functions.text import publisher_normalise, title_suffix
 from gleanmill.functions.urls import item_key
-from gleanmill.operators.dedupe import merge_by_source_id
-from gleanmill.operators.joins import join_covers
+from gleanmill.operators.dedupe import ordered_distinct
+from gleanmill.operators.joins import attach_translations, join_covers
 from gleanmill.operators.rollups import counters
 from gleanmill.operators.verdicts import (
+    TRANSLATED,
     assign_themes,
     confirm_academic,
     confirm_institution,
     confirm_topic,
-    english_fields,
     theme_batches,
+    with_english,
 )
 from gleanmill.rules import vocabulary as V
 from gleanmill.rules.cascades import academic_rule, bib_rule, institution_rule, menu_of
 
-ORDER = ["seq"]
-
-
 def register_no() -> Column:
     return F.concat(F.upper("source"), F.lit(":"), "source_id")
 
 
-def judged_items(
-    items: DataFrame, stored: DataFrame | None, store: DataFrame, replies: DataFrame
-) -> DataFrame:
-    """Merged items with ``status``; the first reason to drop is the one counted."""
-    merged = merge_by_source_id(items).withColumn("register_no", register_no())
-    merged = merged.withColumn("item_hash", item_key(F.concat("source", F.lit(":"), "source_id")))
+def decisions(items: DataFrame, stored: DataFrame | None, store: DataFrame, replies: DataFrame) -> DataFrame:
+    """(seq, register_no, item_hash, matched_keywords, topic, academic, status) of each merged item.
+
+    The first reason to drop is the one counted.  Only the short fields the
+    rules and keys need go through the joins.
+    """
+    words = ordered_distinct(items, ["source", "source_id"], "matched_keyword", "seq", "matched_keywords")
+    short = items.select("seq", "source", "source_id", "title", "publisher", "sub_category", "material_type")
+    merged = short.join(words.select("seq", "matched_keywords"), "seq").withColumns({
+        "register_no": register_no(),
+        "item_hash": item_key(F.concat("source", F.lit(":"), "source_id")),
+        "topic_rule": bib_rule("title"),
+        "academic_rule": academic_rule("source", "title", "publisher", "sub_category", "material_type"),
+    })
     if stored is None:
         known = merged.withColumn("_stored", F.lit(False))
     else:
         marks = stored.select("register_no", F.lit(True).alias("_stored")).distinct()
-        known = merged.join(marks, "register_no", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
-    ruled = known.withColumns({
-        "topic_rule": bib_rule("title"),
-        "academic_rule": academic_rule("source", "title", "publisher", "sub_category", "material_type"),
-    })
-    judged = confirm_academic(confirm_topic(ruled, store, replies), store, replies)
+        known = merged.join(marks, "register_no", "left")
+    judged = confirm_academic(confirm_topic(known, store, replies), store, replies)
     status = (
-        F.when(F.col("_stored"), "existing")
+        F.when(F.coalesce("_stored", F.lit(False)), "existing")
         .when(~F.col("topic.relevant"), "irrelevant")
         .when(~F.col("academic.academic"), "non_academic")
         .when(publisher_normalise("publisher") == "", "unclassifiable")
         .otherwise("saved")
     )
-    return judged.withColumn("status", status).drop("_stored", "topic_rule", "academic_rule")
+    return judged.select(
+        "seq", "register_no", "item_hash", "matched_keywords", "topic", "academic", status.alias("status")
+    )
+
+
+def judged_items(items: DataFrame, stored: DataFrame | None, store: DataFrame, replies: DataFrame) -> DataFrame:
+    """First items of each source id with their decisions: one wide shuffle, by the unique place."""
+    return items.join(decisions(items, stored, store, replies), "seq")
 
 
 def classified_items(
@@ -63,14 +72,17 @@ def classified_items(
     translations: DataFrame,
 ) -> DataFrame:
     """Survivors with theme, institution, menu, english fields and cover."""
-    survivors = judged.where("status = 'saved'").withColumn("institution_rule", institution_rule("publisher"))
-    classified = confirm_institution(survivors, store, replies).drop("institution_rule")
+    survivors = judged.where("status = 'saved'")
+    short = survivors.select(
+        "seq", "register_no", "title", "publisher", "material_type", "isbn", institution_rule("publisher").alias("institution_rule")
+    )
+    classified = confirm_institution(short, store, replies).drop("institution_rule")
     with_menu = classified.withColumn("menu_id", menu_of("material_type", "classification.verdict"))
-    # batches need (order, title) only; the theme is joined back by register number
-    batched = theme_batches(with_menu.select("seq", "register_no", "title"), "seq")
-    themes = assign_themes(batched, theme_replies).select("register_no", "theme")
-    themed = with_menu.join(themes, "register_no", "left")
-    return join_covers(english_fields(themed, translations, "register_no"), covers)
+    themes = assign_themes(theme_batches(short.select("seq", "title"), "seq"), theme_replies).select("seq", "theme")
+    covered = join_covers(with_menu.join(themes, "seq", "left"), covers)
+    translated = attach_translations(covered, translations, "register_no", TRANSLATED)
+    added = ["classification", "menu_id", "theme", "cover_url", *[f + "_translated" for f in TRANSLATED]]
+    return with_english(survivors.join(translated.select("seq", *added), "seq"))
 
 
 def archive_metas(classified: DataFrame, collected_at: str) -> DataFrame:

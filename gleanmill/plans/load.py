@@ -21,11 +21,11 @@ def judged_loads(metas: DataFrame, news: DataFrame, seq: str = "seq") -> DataFra
     The batch keeps its first row of (title, writer, day) even when the table
     then rejects that row; the table is compared by (origin, title, day).
     """
-    dated = metas.withColumn(
-        "reg_dt", F.coalesce(article_date("writedate", keep_time=False), F.lit(UNREADABLE))
+    day = F.coalesce(article_date("writedate", keep_time=False), F.lit(UNREADABLE))
+    narrow = metas.select(
+        seq, "origin_id", "title", text_of("title").alias("_t"), text_of("writer").alias("_w"), day.alias("reg_dt")
     ).withColumn("reg_day", F.left("reg_dt", F.lit(10)))
-    dated = dated.withColumns({"_t": text_of("title"), "_w": text_of("writer")})
-    marked = flag_first(dated, ["origin_id", "_t", "_w", "reg_day"], seq).drop("_t", "_w")
+    marked = flag_first(narrow, ["origin_id", "_t", "_w", "reg_day"], seq)
     known = (
         news.where("title is not null")
         .select("origin_id", "title", F.date_format("reg_dt", "yyyy-MM-dd").alias("reg_day"), F.lit(True).alias("_known"))
@@ -38,7 +38,8 @@ def judged_loads(metas: DataFrame, news: DataFrame, seq: str = "seq") -> DataFra
         .when(F.coalesce("_known", F.lit(False)), "table_duplicate")
         .otherwise("inserted")
     )
-    return joined.withColumn("status", status).drop("_known", "is_first")
+    # the articles themselves are shuffled once, by their unique place
+    return metas.join(joined.select(seq, "reg_dt", status.alias("status")), seq)
 
 
 def news_rows(

@@ -157,9 +157,9 @@ SELECT doc_id, "by", rule_by, relevant, coalesce(CASE
         ELSE rule_reason END, '') AS reason FROM final""")
 def q_final_verdict(spark, folder):
     ruled = articles(spark, folder).withColumns({
-        "rule": C.news_rule("title", "content", RULES), "key": F.col("doc_id").cast("string")
+        "rule": C.news_rule("title", "content", RULES), "verdict_key": F.col("doc_id").cast("string")
     })
-    out = R.confirm_news(ruled, label_store(spark, folder), label_replies(spark, folder))
+    out = R.confirm_news(ruled.select("doc_id", "rule", "verdict_key"), label_store(spark, folder), label_replies(spark, folder))
     return out.select(
         "doc_id", "verdict.by", "verdict.rule_by", "verdict.relevant", F.coalesce("verdict.reason", F.lit("")).alias("reason")
     )
@@ -179,7 +179,7 @@ def judged_documents(spark, folder):
     firsts = by_text.groupBy("digest").agg(F.min_by("id", F.col("id").cast("long")).alias("id"))
     to_digest = lambda frame: frame.join(firsts, frame["key"] == firsts["id"]).drop("id", "key").withColumnRenamed("digest", "key")
     stored = table(spark, folder, "documents").where("lang = 'de'").select(F.md5("text").alias("identity"))
-    return collect.judged_articles(
+    return collect.decisions(
         rows, stored, to_digest(label_store(spark, folder)), to_digest(label_replies(spark, folder)), rules=RULES
     )
 
