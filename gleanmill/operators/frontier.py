@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanmill.operators.lookup import attach
+
 
 def page_stops(links: DataFrame) -> DataFrame:
     """First page of each crawl that brings no url the crawl had not seen.
@@ -28,7 +30,7 @@ def frontier(links: DataFrame, page_cap: int | None = None) -> DataFrame:
     if page_cap is not None:
         links = links.where(F.col("page") <= page_cap)
     sighted = links.groupBy("crawl", "url_key").agg(F.min(F.struct("page", "pos")).alias("at"))
-    open_pages = sighted.join(page_stops(links), "crawl", "left").where(
+    open_pages = attach(sighted, page_stops(links), "crawl", ["stop_page"], ["url_key"]).where(
         F.col("stop_page").isNull() | (F.col("at.page") < F.col("stop_page"))
     )
     taken = open_pages.groupBy("url_key").agg(F.min(F.struct("crawl", "at.page", "at.pos")).alias("_first"))

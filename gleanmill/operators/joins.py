@@ -1,8 +1,8 @@
 """Lookups, overlays and plans.
 
-Left sides may hold hot keys; right sides have one row per key.  Spark picks a
-broadcast only below its own size limit, and above it AQE splits the skewed
-partitions of the left side (see session.RUNTIME).
+Where a left side may hold a hot key or many rows without one, the lookup goes
+through ``lookup.attach``.  The other joins meet on keys that are unique on the
+left; there Spark picks a broadcast only below its own size limit.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from gleanmill.functions.text import blank_to_null
 from gleanmill.functions.urls import percent_encode
 from gleanmill.functions.values import isbn_valid
 from gleanmill.operators.dedupe import first_place_last_value, keep_last
+from gleanmill.operators.lookup import attach
 from gleanmill.operators.numbering import with_position
 
 
@@ -25,22 +26,22 @@ def match_requested(requested: DataFrame, stored: DataFrame, key: str, seq: str)
     return requested.join(latest, key, "left").withColumn("found", F.coalesce("found", F.lit(False)))
 
 
-def join_dimensions(rows: DataFrame, origin: DataFrame, category: DataFrame) -> DataFrame:
-    """Origin is required, category optional; rows without origin are reported.
+def join_dimensions(rows: DataFrame, origin: DataFrame, category: DataFrame, seq: str) -> DataFrame:
+    """Origin is required, category optional; rows without origin are kept and marked.
 
     Needs rows.origin_id, origin(origin_id, category_code, …), category(category_code, …).
     """
-    with_origin = rows.join(origin.withColumn("has_origin", F.lit(True)), "origin_id", "left")
-    return with_origin.withColumn("has_origin", F.coalesce("has_origin", F.lit(False))).join(
-        category, "category_code", "left"
-    )
+    about = [c for c in origin.columns if c != "origin_id"]
+    with_origin = attach(rows, origin.withColumn("has_origin", F.lit(True)), "origin_id", [*about, "has_origin"], [seq])
+    marked = with_origin.withColumn("has_origin", F.coalesce("has_origin", F.lit(False)))
+    return attach(marked, category, "category_code", [c for c in category.columns if c != "category_code"], [seq])
 
 
-def join_covers(books: DataFrame, covers: DataFrame) -> DataFrame:
+def join_covers(books: DataFrame, covers: DataFrame, seq: str) -> DataFrame:
     """Cover by ISBN for books only; anything missing is null and changes nothing else."""
     wanted = F.when((F.col("menu_id") == "BOOKS") & isbn_valid("isbn"), F.col("isbn"))
-    cover = covers.groupBy(F.col("isbn").alias("_isbn")).agg(F.first(blank_to_null("cover_url"), True).alias("cover_url"))
-    return books.withColumn("_isbn", wanted).join(cover, "_isbn", "left").drop("_isbn")
+    cover = covers.groupBy(F.col("isbn").alias("_isbn")).agg(F.max(blank_to_null("cover_url")).alias("cover_url"))
+    return attach(books.withColumn("_isbn", wanted), cover, "_isbn", ["cover_url"], [seq]).drop("_isbn")
 
 
 def overlay(rows: DataFrame, details: DataFrame, key: str, values: str = "fields") -> DataFrame:

@@ -19,6 +19,7 @@ from gleanmill.functions.values import (
     unless_boolean_false,
 )
 from gleanmill.operators.joins import attach_translations
+from gleanmill.operators.lookup import attach
 from gleanmill.operators.numbering import with_batches
 from gleanmill.rules import vocabulary as V
 from gleanmill.rules.cascades import news_body
@@ -61,7 +62,9 @@ def fresh(as_of: Column, at: str = "decided_at", days: int = TTL_DAYS) -> Column
     return F.col(at).isNull() | (F.col(at) >= as_of - F.expr(f"INTERVAL {days} DAYS"))
 
 
-def _looked_up(rows: DataFrame, key: Column, classifier: str, store: DataFrame, replies: DataFrame) -> DataFrame:
+def _looked_up(
+    rows: DataFrame, key: Column, classifier: str, store: DataFrame, replies: DataFrame, spread: str
+) -> DataFrame:
     """Rows with the stored verdict (_s) and the reply text (_reply) of their key."""
     stored = latest_verdicts(store.where(F.col("classifier") == classifier)).select(
         F.col("key").alias("_key"), F.struct("value", "reason").alias("_s")
@@ -71,7 +74,8 @@ def _looked_up(rows: DataFrame, key: Column, classifier: str, store: DataFrame,
         .groupBy(F.col("key").alias("_key"))
         .agg(F.max("reply_text").alias("_reply"))
     )
-    return rows.withColumn("_key", key).join(stored, "_key", "left").join(answers, "_key", "left")
+    known = stored.join(answers, "_key", "full_outer")
+    return attach(rows.withColumn("_key", key), known, "_key", ["_s", "_reply"], [spread])
 
 
 def confirm_news(
@@ -83,6 +87,7 @@ def confirm_news(
     enabled: bool = True,
     provider: bool = True,
     out: str = "verdict",
+    seq: str = "seq",
 ) -> DataFrame:
     """Final verdict struct(relevant, by, reason, matched, rule_by).
 
@@ -111,7 +116,7 @@ def confirm_news(
         )
         return rows.withColumn(out, F.when(settled, unchanged).otherwise(off))
 
-    joined = _looked_up(rows, F.col(key), "news", store, replies)
+    joined = _looked_up(rows, F.col(key), "news", store, replies, seq)
     reply = relevant_unless_false("_reply")
     stored = F.col("_s.value") == "true"
     verdict = (
@@ -123,8 +128,8 @@ def confirm_news(
     return joined.withColumn(out, verdict).drop("_s", "_reply", "_key")
 
 
-def _confirm(rows, rule, key, classifier, store, replies, field, reply, out):
-    joined = _looked_up(rows, key, classifier, store, replies)
+def _confirm(rows, rule, classifier, store, replies, field, reply, out, seq):
+    joined = _looked_up(rows, title_publisher_key(), classifier, store, replies, seq)
 
     def made(value: Column, by: Column, reason: Column) -> Column:
         return F.struct(value.alias(field), by.alias("by"), reason.alias("reason"))
@@ -142,18 +147,27 @@ def title_publisher_key(title: str = "title", publisher: str = "publisher") -> C
     return F.concat(trimmed(title), F.lit("|"), trimmed(publisher))
 
 
-def confirm_topic(rows: DataFrame, store: DataFrame, replies: DataFrame, rule: str = "topic_rule", out: str = "topic") -> DataFrame:
-    return _confirm(rows, rule, title_publisher_key(), "topic", store, replies, "relevant", only_true("_reply"), out)
+def confirm_topic(
+    rows: DataFrame, store: DataFrame, replies: DataFrame, rule: str = "topic_rule", out: str = "topic", seq: str = "seq"
+) -> DataFrame:
+    return _confirm(rows, rule, "topic", store, replies, "relevant", only_true("_reply"), out, seq)
 
 
-def confirm_academic(rows: DataFrame, store: DataFrame, replies: DataFrame, rule: str = "academic_rule", out: str = "academic") -> DataFrame:
-    return _confirm(rows, rule, title_publisher_key(), "academic", store, replies, "academic", unless_boolean_false("_reply"), out)
+def confirm_academic(
+    rows: DataFrame, store: DataFrame, replies: DataFrame, rule: str = "academic_rule", out: str = "academic", seq: str = "seq"
+) -> DataFrame:
+    return _confirm(rows, rule, "academic", store, replies, "academic", unless_boolean_false("_reply"), out, seq)
 
 
 def confirm_institution(
-    rows: DataFrame, store: DataFrame, replies: DataFrame, rule: str = "institution_rule", out: str = "classification"
+    rows: DataFrame,
+    store: DataFrame,
+    replies: DataFrame,
+    rule: str = "institution_rule",
+    out: str = "classification",
+    seq: str = "seq",
 ) -> DataFrame:
-    joined = _looked_up(rows, publisher_normalise("publisher"), "publisher", store, replies)
+    joined = _looked_up(rows, publisher_normalise("publisher"), "publisher", store, replies, seq)
     cached = F.struct(F.col("_s.value").alias("verdict"), F.lit("cache").alias("by"))
     verdict = F.coalesce(F.col(rule), F.when(F.col("_s").isNotNull(), cached), institution_reply("_reply"))
     return joined.withColumn(out, verdict).drop("_s", "_reply", "_key")

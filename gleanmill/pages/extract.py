@@ -13,7 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gleanmill.functions.text import text_of
+from gleanmill.functions.dates import legacy_date, listed_date
+from gleanmill.functions.text import text_of, writer_cleanup
+from gleanmill.functions.urls import item_key, url_normalise
 from gleanmill.pages import content as P
 from gleanmill.pages.tree import Node, Selector, parse
 
@@ -151,7 +153,7 @@ def accumulate(fields: dict, name: str, value: object) -> None:
 
 
 def extract_fields(pages: DataFrame, recipes: DataFrame) -> DataFrame:
-    """Apply each recipe to the pages of its host: (page_id, recipe_id, fields).
+    """Apply each recipe to the pages of its host: (page_id, recipe_id, url, fields).
 
     recipes: recipe_id, host, targets (JSON list).  They are joined by host, so
     a page meets its own recipes only; Spark broadcasts the recipe table while
@@ -184,17 +186,50 @@ def extract_fields(pages: DataFrame, recipes: DataFrame) -> DataFrame:
                 for k, v in fields.items()
                 if v is not None
             ]
-            return [{"page_id": page.page_id, "recipe_id": page.recipe_id, "fields": dict(flat)}]
+            return [{"page_id": page.page_id, "recipe_id": page.recipe_id, "url": page.url, "fields": dict(flat)}]
 
         return read
 
     return _per_page(
         joined.select("page_id", "recipe_id", "url", "html", "targets"),
-        "page_id long, recipe_id long, fields map<string,string>",
+        "page_id long, recipe_id long, url string, fields map<string,string>",
         reader,
     )
 
 
+def finished_fields(extracted: DataFrame) -> DataFrame:
+    """Writers without their label, dates as yyyyMMdd where readable, the url's stored form and key."""
+    def finish(name: Column, value: Column) -> Column:
+        return (
+            F.when(name == "writer", writer_cleanup(value))
+            .when(F.contains(name, F.lit("date")), F.coalesce(listed_date(value), legacy_date(value), value))
+            .otherwise(value)
+        )
+
+    stored = url_normalise("url")
+    return extracted.withColumns({
+        "fields": F.transform_values("fields", finish), "current_url": stored, "item_hash": item_key(stored)
+    })
+
+
+def list_values(pages: DataFrame, targets: str) -> DataFrame:
+    """(page_id, name, pos, value) of the '-list' targets of listing pages.
+
+    The i-th value belongs to the i-th link of the page: join both by
+    (page_id, pos) before links are deduplicated.
+    """
+    def reader():
+        wanted = [(t["name"].removesuffix("-list"), Selector(t["selector"])) for t in json.loads(targets) if t["name"].endswith("-list")]
+        def read(page):
+            root = parse(page.html)
+            for name, chosen in wanted:
+                for pos, node in enumerate(chosen.all(root)):
+                    yield {"page_id": page.page_id, "name": name, "pos": pos, "value": P.one_line(node.text())}
+        return read
+
+    return _per_page(pages.select("page_id", "html"), "page_id long, name string, pos int, value string", reader)
+
+
 def with_title(extracted: DataFrame) -> DataFrame:
     """Pages whose title came out blank are dropped."""
     title = F.try_element_at("fields", F.lit("title"))

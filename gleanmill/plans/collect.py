@@ -12,6 +12,7 @@ from gleanmill.operators.joins import attach_translations
 from gleanmill.operators.rollups import counters
 from gleanmill.operators.verdicts import confirm_news
 from gleanmill.rules.cascades import NewsRules, news_rule
+from gleanmill.session import cut_lineage
 
 STATUSES = ("no_keyword", "duplicate", "existing", "irrelevant", "saved")
 
@@ -44,29 +45,32 @@ def decisions(
             news_rule("title", "content", rules).alias("rule"),
             verdict_key(identity, "title", "content").alias("verdict_key"),
         ]
-    rows = articles.select(*narrow).withColumn(
-        "_open", F.size("matched_keywords") > 0 if keyword_gate else F.lit(True)
-    )
-    # a key is taken by its first article that passed the gate
-    firsts = first_per_key(rows.where("_open"), "identity", seq).select(seq, F.lit(True).alias("_first"))
-    marked = rows.join(firsts, seq, "left")
+    is_open = F.size("matched_keywords") > 0 if keyword_gate else F.lit(True)
+    # the one pass over the texts; everything below reads its short results
+    rows = cut_lineage(articles.select(*narrow).withColumn("_open", is_open))
+    # a key is taken by its first article that passed the gate; from here on
+    # keys are unique, so no lookup sees a hot one
+    firsts = first_per_key(rows.where("_open"), "identity", seq).select(seq, "identity")
     if stored is None:
-        known = marked.withColumn("_stored", F.lit(False))
+        firsts = firsts.withColumn("_stored", F.lit(False))
     else:
         marks = stored.select("identity", F.lit(True).alias("_stored")).distinct()
-        known = marked.join(marks, "identity", "left")
+        firsts = firsts.join(marks, "identity", "left").withColumn("_stored", F.coalesce("_stored", F.lit(False)))
+    marked = rows.join(firsts.select(seq, "_stored"), seq, "left")
     relevant: Column = F.lit(True)
     if check_topic:
-        known = confirm_news(known, store, replies, enabled=enabled, provider=provider).drop("rule")
+        new = marked.where("not _stored").select(seq, "rule", "verdict_key")
+        judged = confirm_news(new, store, replies, enabled=enabled, provider=provider, seq=seq)
+        marked = marked.drop("rule").join(judged.select(seq, "verdict"), seq, "left")
         relevant = F.col("verdict.relevant")
     status = (
         F.when(~F.col("_open"), "no_keyword")
-        .when(F.col("_first").isNull(), "duplicate")
-        .when(F.coalesce("_stored", F.lit(False)), "existing")
+        .when(F.col("_stored").isNull(), "duplicate")
+        .when(F.col("_stored"), "existing")
         .when(~relevant, "irrelevant")
         .otherwise("saved")
     )
-    return known.withColumn("status", status).drop("_open", "_first", "_stored")
+    return marked.withColumn("status", status).drop("_open", "_stored")
 
 
 def judged_articles(articles: DataFrame, *args, seq: str = "seq", **options) -> DataFrame:

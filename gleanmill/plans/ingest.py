@@ -21,6 +21,7 @@ from gleanmill.operators.verdicts import (
 )
 from gleanmill.rules import vocabulary as V
 from gleanmill.rules.cascades import academic_rule, bib_rule, institution_rule, menu_of
+from gleanmill.session import cut_lineage
 
 def register_no() -> Column:
     return F.concat(F.upper("source"), F.lit(":"), "source_id")
@@ -45,7 +46,8 @@ def decisions(items: DataFrame, stored: DataFrame | None, store: DataFrame, repl
     else:
         marks = stored.select("register_no", F.lit(True).alias("_stored")).distinct()
         known = merged.join(marks, "register_no", "left")
-    judged = confirm_academic(confirm_topic(known, store, replies), store, replies)
+    on_topic = confirm_topic(cut_lineage(known), store, replies)
+    judged = confirm_academic(cut_lineage(on_topic), store, replies)
     status = (
         F.when(F.coalesce("_stored", F.lit(False)), "existing")
         .when(~F.col("topic.relevant"), "irrelevant")
@@ -76,10 +78,11 @@ def classified_items(
     short = survivors.select(
         "seq", "register_no", "title", "publisher", "material_type", "isbn", institution_rule("publisher").alias("institution_rule")
     )
-    classified = confirm_institution(short, store, replies).drop("institution_rule")
+    short = cut_lineage(short)
+    classified = cut_lineage(confirm_institution(short, store, replies).drop("institution_rule"))
     with_menu = classified.withColumn("menu_id", menu_of("material_type", "classification.verdict"))
     themes = assign_themes(theme_batches(short.select("seq", "title"), "seq"), theme_replies).select("seq", "theme")
-    covered = join_covers(with_menu.join(themes, "seq", "left"), covers)
+    covered = join_covers(with_menu.join(themes, "seq", "left"), covers, "seq")
     translated = attach_translations(covered, translations, "register_no", TRANSLATED)
     added = ["classification", "menu_id", "theme", "cover_url", *[f + "_translated" for f in TRANSLATED]]
     return with_english(survivors.join(translated.select("seq", *added), "seq"))

@@ -10,9 +10,11 @@ from gleanmill.functions.text import text_of, translated_flag
 from gleanmill.operators.dedupe import flag_first
 from gleanmill.operators.files import file_rows, skipped_files
 from gleanmill.operators.joins import join_dimensions
+from gleanmill.operators.lookup import attach
 from gleanmill.operators.numbering import with_ids
 from gleanmill.operators.rollups import counters
 from gleanmill.plans.export import _with_name
+from gleanmill.session import cut_lineage
 
 
 def judged_loads(metas: DataFrame, news: DataFrame, seq: str = "seq") -> DataFrame:
@@ -26,20 +28,22 @@ def judged_loads(metas: DataFrame, news: DataFrame, seq: str = "seq") -> DataFra
         seq, "origin_id", "title", text_of("title").alias("_t"), text_of("writer").alias("_w"), day.alias("reg_dt")
     ).withColumn("reg_day", F.left("reg_dt", F.lit(10)))
     marked = flag_first(narrow, ["origin_id", "_t", "_w", "reg_day"], seq)
+    # a null title never counts as known
+    place = F.when(F.col("title").isNotNull(), F.struct("origin_id", "title", "reg_day")).alias("_place")
     known = (
         news.where("title is not null")
-        .select("origin_id", "title", F.date_format("reg_dt", "yyyy-MM-dd").alias("reg_day"), F.lit(True).alias("_known"))
+        .withColumn("reg_day", F.date_format("reg_dt", "yyyy-MM-dd"))
+        .select(place, F.lit(True).alias("_known"))
         .distinct()
     )
-    # a plain equality: a null title never counts as known
-    joined = marked.join(known, ["origin_id", "title", "reg_day"], "left")
+    joined = attach(marked.select(seq, "is_first", "reg_dt", place), known, "_place", ["_known"], [seq])
     status = (
         F.when(~F.col("is_first"), "batch_duplicate")
         .when(F.coalesce("_known", F.lit(False)), "table_duplicate")
         .otherwise("inserted")
     )
-    # the articles themselves are shuffled once, by their unique place
-    return metas.join(joined.select(seq, "reg_dt", status.alias("status")), seq)
+    # decided once on a narrow frame; the articles themselves are shuffled once, by their unique place
+    return metas.join(cut_lineage(joined.select(seq, "reg_dt", status.alias("status"))), seq)
 
 
 def news_rows(
@@ -50,11 +54,14 @@ def news_rows(
     Ids follow load order from the highest existing id; they are numbered over
     (seq) alone and joined back.
     """
-    fresh = join_dimensions(judged.where("status = 'inserted'"), origin, category)
-    missing = fresh.where("not has_origin").select(seq, "origin_id", F.col("currentUrl").alias("link_url"))
-    good = fresh.where("has_origin")
+    new = judged.where("status = 'inserted'")
+    named = cut_lineage(join_dimensions(cut_lineage(new.select(seq, "origin_id")), origin, category, seq))
+    missing = new.join(named.where("not has_origin").select(seq), seq, "left_semi").select(
+        seq, "origin_id", F.col("currentUrl").alias("link_url")
+    )
+    good = named.where("has_origin").drop("origin_id")
     ids = with_ids(good.select(seq), [seq], news, "news_id")
-    rows = good.join(ids, seq)
+    rows = new.join(good.join(ids, seq), seq)
     loaded = rows.select(
         "news_id", "title",
         F.col("content").alias("content_text"),

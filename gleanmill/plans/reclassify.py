@@ -36,7 +36,7 @@ def by_theme(metas: DataFrame, themes: DataFrame, store: DataFrame, replies: Dat
 
 def _with_new_menu(rows: DataFrame, store: DataFrame, replies: DataFrame) -> DataFrame:
     ruled = rows.withColumn("institution_rule", institution_rule("publisher"))
-    decided = confirm_institution(ruled, store, replies, out="new_classification").drop("institution_rule")
+    decided = confirm_institution(ruled, store, replies, out="new_classification", seq="register_no").drop("institution_rule")
     return decided.withColumn("new_menu", menu_of(material_by_register("register_no"), "new_classification.verdict"))
 
 

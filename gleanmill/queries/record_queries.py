@@ -124,7 +124,7 @@ def q_dim_join(spark, folder):
     category = table(spark, folder, "region").where("r_name <> 'ASIA'").select(
         F.col("r_regionkey").alias("category_code"), F.col("r_name").alias("category_nm")
     )
-    return J.join_dimensions(rows, origin, category).select("c_custkey", "has_origin", "origin_nm", "category_nm")
+    return J.join_dimensions(rows, origin, category, "c_custkey").select("c_custkey", "has_origin", "origin_nm", "category_nm")
 
 
 @query("""
@@ -195,7 +195,7 @@ def q_covers(spark, folder):
     covers = table(spark, folder, "supplier").select(
         F.lpad(_s("s_suppkey"), 10, "0").alias("isbn"), F.concat("s_name", F.lit(".jpg")).alias("cover_url")
     )
-    return J.join_covers(books, covers).select("p_partkey", "cover_url")
+    return J.join_covers(books, covers, "p_partkey").select("p_partkey", "cover_url")
 
 
 @query("""

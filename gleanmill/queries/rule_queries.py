@@ -159,7 +159,7 @@ def q_final_verdict(spark, folder):
     ruled = articles(spark, folder).withColumns({
         "rule": C.news_rule("title", "content", RULES), "verdict_key": F.col("doc_id").cast("string")
     })
-    out = R.confirm_news(ruled.select("doc_id", "rule", "verdict_key"), label_store(spark, folder), label_replies(spark, folder))
+    out = R.confirm_news(ruled.select("doc_id", "rule", "verdict_key"), label_store(spark, folder), label_replies(spark, folder), seq="doc_id")
     return out.select(
         "doc_id", "verdict.by", "verdict.rule_by", "verdict.relevant", F.coalesce("verdict.reason", F.lit("")).alias("reason")
     )
@@ -258,7 +258,7 @@ def q_bib_relevance(spark, folder):
         C.bib_rule("p_name", BIB_NOISE, BIB_CORE).alias("topic_rule"),
     )
     store, replies = part_verdicts(spark, folder)
-    out = R.confirm_topic(rows, store, replies)
+    out = R.confirm_topic(rows, store, replies, seq="p_partkey")
     return out.select("p_partkey", "topic.by", "topic.relevant", F.coalesce("topic.reason", F.lit("")).alias("reason"))
 
 
@@ -289,7 +289,7 @@ def q_academic(spark, folder):
         "p_partkey", F.col("p_name").alias("title"), F.col("p_brand").alias("publisher"),
         C.academic_rule(source, "p_name", "p_brand", "p_type", kind, ACADEMIC).alias("academic_rule"),
     )
-    out = R.confirm_academic(rows, no_verdicts(spark), no_replies(spark))
+    out = R.confirm_academic(rows, no_verdicts(spark), no_replies(spark), seq="p_partkey")
     return out.select("p_partkey", "academic.by", "academic.academic", F.coalesce("academic.reason", F.lit("")).alias("reason"))
 
 
@@ -326,7 +326,7 @@ def q_publisher_class(spark, folder):
         F.lit("llm").alias("by"), F.lit("").alias("reason"), F.to_timestamp(F.lit("2026-01-01")).alias("decided_at"),
     )
     ruled = names.withColumn("institution_rule", C.institution_rule("publisher", INSTITUTIONS))
-    out = R.confirm_institution(ruled, store, no_replies(spark))
+    out = R.confirm_institution(ruled, store, no_replies(spark), seq="id")
     return out.select("id", "classification.verdict", "classification.by")
 
 

@@ -269,6 +269,37 @@ def test_expected_pages_in_blocks(spark):
     assert {r.k: (r.n, r.hi) for r in pages.groupBy("k").agg(F.count("page").alias("n"), F.max("page").alias("hi")).collect()} == {"a": (10001, 10001), "c": (3, 3)}
 
 
+def test_hot_keys_are_dealt_out(spark):
+    """A third of the rows share one key, a tenth has none: every row comes back, no partition is long."""
+    from gleanmill.operators.lookup import attach
+
+    conf = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false", "spark.sql.shuffle.partitions": "16"}
+    old = {k: spark.conf.get(k) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        n = F.col("id")
+        rows = spark.range(0, 30_000, 1, 8).select(
+            n.alias("seq"), F.when(n % 3 == 0, "hot").when(n % 10 == 1, None).otherwise(n.cast("string")).alias("k")
+        )
+        table = spark.range(0, 2000).select(F.when(n == 0, "hot").otherwise(n.cast("string")).alias("k"), (n + 1).alias("v"))
+        out = attach(rows, table, "k", ["v"], ["seq"])
+        plain = rows.join(table, "k", "left").select("seq", "k", "v")
+        assert out.exceptAll(plain).count() == 0 and out.count() == 30_000
+        sizes = [r.n for r in out.groupBy(F.spark_partition_id().alias("p")).agg(F.count("*").alias("n")).collect()]
+        assert len(sizes) == 16 and max(sizes) < 3 * 30_000 / 16
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+
+
+def test_article_rejection(spark):
+    from gleanmill.operators.files import has_bad_attachment
+
+    frame = spark.createDataFrame([(1, [("a.pdf",), ("view.do",)]), (2, [("a.pdf",)]), (3, None), (4, [("noext",)])], "id int, f array<struct<originalName:string>>")
+    assert {r.id for r in frame.where(~has_bad_attachment(F.col("f"))).collect()} == {2, 3}
+
+
 def test_search(spark):
     rows = spark.createDataFrame([(1, "Ab", "2026-01-01"), (2, "b", "2026-02-01"), (3, None, "2026-03-01")], "id long, name string, d string").withColumn("created_at", F.to_timestamp("d"))
     assert [r.id for r in L.search(rows, "name", "B").orderBy("id").collect()] == [1, 2]

@@ -77,6 +77,18 @@ def test_jobs(spark):
     assert [r.page_id for r in E.with_title(E.extract_fields(pages.withColumn("host", host_of("url")), recipes)).collect()] == [1]
 
 
+def test_finished_fields_and_lists(spark):
+    row = (1, 7, "https://H.example/a?_csrf=1&b=2", {"writer": "기자명 홍길동", "writedate": "2025.01.01 ~ 2025.02.03", "date2": "어제", "title": "t"})
+    got = E.finished_fields(spark.createDataFrame([row], "page_id long, recipe_id long, url string, fields map<string,string>")).first()
+    assert got.fields == {"writer": "홍길동", "writedate": "20250203", "date2": "어제", "title": "t"}
+    assert got.current_url == "https://h.example/a?b=2" and len(got.item_hash) == 8
+    html = "<ul><li><a href='/1'>x</a> <i>kim</i></li><li><a href='/2'>y</a> <i> lee  b</i></li></ul>"
+    pages = spark.createDataFrame([(1, html)], "page_id long, html string")
+    values = E.list_values(pages, json.dumps([{"name": "writer-list", "selector": "li i"}, {"name": "title", "selector": "a"}]))
+    joined = E.selected_links(pages, "li").join(values, ["page_id", "pos"]).orderBy("pos")
+    assert [(r.href, r.name, r.value) for r in joined.collect()] == [("/1", "writer", "kim"), ("/2", "writer", "lee b")]
+
+
 def test_accumulate_and_registry(spark):
     fields = {}
     for value in (["a"], "b"):
