@@ -46,6 +46,30 @@ def java(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iu)" if ignore_case else "") + portable(pattern)
 
 
+def alternatives(pattern: str) -> list[str]:
+    """Split at the | signs outside brackets."""
+    parts, depth, in_class, start, at = [], 0, False, 0, 0
+    while at < len(pattern):
+        char = pattern[at]
+        if char == "\\":
+            at += 1
+        elif in_class:
+            in_class = char != "]"
+        elif char == "[":
+            in_class = True
+        elif char in "()":
+            depth += 1 if char == "(" else -1
+        elif char == "|" and depth == 0:
+            parts.append(pattern[start:at])
+            start = at + 1
+        at += 1
+    return [*parts, pattern[start:]]
+
+
+def is_literal(pattern: str) -> bool:
+    return pattern != "" and not set(pattern) & set(r"\.[](){}*+?^$|")
+
+
 def any_of(patterns: Iterable[str]) -> str:
     """One alternation, so a whole set costs one regex pass and stays in codegen."""
     return "|".join(f"(?:{pattern})" for pattern in patterns)

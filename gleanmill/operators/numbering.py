@@ -19,7 +19,7 @@ def with_position(
     third of all rows is spread over many tasks.  Positions count inside each
     partition; what earlier partitions held is added from a frame with at most
     one row per partition, which is why that frame may be broadcast.  The sorted
-    rows are checkpointed first: sampling picks the range bounds, and both
+    rows are staged as a table first: sampling picks the range bounds, and both
     passes must see the same ones.  ``order`` must be unique within its group,
     and callers pass narrow rows and join the position back.
     """

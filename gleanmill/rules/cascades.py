@@ -208,7 +208,9 @@ def two_hit(text: Col, triggers: Sequence[str] = V.TRIGGER_WORDS, context: Seque
     """struct(passed, matched): after a trigger word two context words are needed."""
     t = text_of(text)
     hits = F.array_compact(F.array(*[F.when(F.contains(t, F.lit(w)), F.lit(w)) for w in context]))
-    triggered = t.rlike(any_of(escape(w) for w in triggers))
+    triggered = F.lit(False)
+    for word in triggers:
+        triggered = triggered | F.contains(t, F.lit(word))
     matched = F.when(triggered, hits).otherwise(F.array().cast(_NO_TEXTS))
     return F.struct((~triggered | (F.size(matched) >= 2)).alias("passed"), matched.alias("matched"))
 

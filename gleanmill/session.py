@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,24 +35,27 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach, for checkpoints and staged tables.
+    """The folder every executor can reach, for staged tables.
 
     A cluster names it in ``spark.checkpoint.dir``.  Only a session that has
     none (tests on one machine) gets a temporary folder.
     """
-    context = spark.sparkContext
-    path = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
         path = tempfile.mkdtemp(prefix="gleanmill-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(path)
+        spark.sparkContext.setCheckpointDir(path)
     return path
 
 
 def cut_lineage(rows: DataFrame) -> DataFrame:
-    """Materialise rows reliably, so a lost executor does not change them."""
-    shared_dir(rows.sparkSession)
-    return rows.checkpoint(eager=True)
+    """Materialise rows as a table in the shared folder and go on from there.
+
+    A lost executor cannot change what is read later, the rows are computed
+    once, and later steps read only the columns they need.
+    """
+    path = f"{shared_dir(rows.sparkSession).rstrip('/')}/staged-{uuid.uuid4().hex}"
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -16,6 +16,11 @@ def test_word_edges_next_to_hangul(spark):
     assert evaluate(spark, ["DMZ를", "xdmz", "dmz", "DMZ_"], F.col("v").rlike(rule)) == [True, False, True, False]
 
 
+def test_alternatives():
+    assert P.alternatives(r"a|b(c|d)|[|]e|\|f") == ["a", "b(c|d)", "[|]e", r"\|f"]
+    assert [P.is_literal(x) for x in ("ab", "a.b", "", "가 나", r"a\s")] == [True, False, False, True, False]
+
+
 def test_wide_spaces(spark):
     assert evaluate(spark, ["　a　\xa0b "], X.strip_tags("v")) == ["a b"]
     assert evaluate(spark, ["　 \xa0"], X.is_blank("v")) == [True]
