@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from gleanmill.functions.dates import legacy_date, listed_date
 from gleanmill.functions.text import text_of, writer_cleanup
 from gleanmill.functions.urls import item_key, url_normalise
+from gleanmill.operators.lookup import attach
 from gleanmill.pages import content as P
 from gleanmill.pages.tree import Node, Selector, parse
 
@@ -155,15 +156,15 @@ def accumulate(fields: dict, name: str, value: object) -> None:
 def extract_fields(pages: DataFrame, recipes: DataFrame) -> DataFrame:
     """Apply each recipe to the pages of its host: (page_id, recipe_id, url, fields).
 
-    recipes: recipe_id, host, targets (JSON list).  They are joined by host, so
-    a page meets its own recipes only; Spark broadcasts the recipe table while
-    it is small and splits a host's pages when it is not.  ``fields`` maps a
+    recipes: recipe_id, host, targets (JSON list).  A page meets the recipes of
+    its own host only; a host with most of the pages is looked up apart, so its
+    pages stay spread.  ``fields`` maps a
     target's name to its text, or to JSON for lists; a value that could not be
     read has no entry.  List-page targets ('-list') are skipped here.
     """
-    joined = pages.select("page_id", "url", "html", "host").join(
-        recipes.select("recipe_id", "host", "targets"), "host"
-    )
+    per_host = recipes.groupBy("host").agg(F.collect_list(F.struct("recipe_id", "targets")).alias("_recipes"))
+    found = attach(pages.select("page_id", "url", "html", "host"), per_host, "host", ["_recipes"], ["page_id"])
+    joined = found.select("page_id", "url", "html", F.inline("_recipes"))
 
     def reader():
         cache: dict[str, list[dict]] = {}
