@@ -11,7 +11,7 @@ from gleanmill.operators.dedupe import first_per_key
 from gleanmill.operators.joins import attach_translations
 from gleanmill.operators.rollups import counters
 from gleanmill.operators.verdicts import confirm_news
-from gleanmill.rules.cascades import NewsRules, news_rule
+from gleanmill.rules.cascades import NewsRules, with_news_rule
 from gleanmill.session import cut_lineage
 
 STATUSES = ("no_keyword", "duplicate", "existing", "irrelevant", "saved")
@@ -41,10 +41,8 @@ def decisions(
     identity = article_identity("guid", "link")
     narrow = [F.col(seq), identity.alias("identity"), F.col("matched_keywords")]
     if check_topic:
-        narrow += [
-            news_rule("title", "content", rules).alias("rule"),
-            verdict_key(identity, "title", "content").alias("verdict_key"),
-        ]
+        articles = with_news_rule(articles, "title", "content", rules)
+        narrow += [F.col("rule"), verdict_key(identity, "title", "content").alias("verdict_key")]
     is_open = F.size("matched_keywords") > 0 if keyword_gate else F.lit(True)
     # the one pass over the texts; everything below reads its short results
     rows = cut_lineage(articles.select(*narrow).withColumn("_open", is_open))

@@ -15,7 +15,7 @@ from gleanmill.rules import cascades as C
 from gleanmill.rules import vocabulary as V
 from gleanmill.rules.pack import Rule, RulePack
 from gleanmill.schemas import VERDICT
-from gleanmill.session import table
+from gleanmill.session import cut_lineage, table
 
 TERMS = ("the", "that", "oui", "nicht", "para", "license")
 REPLY = "classifier string, key string, reply_text string"
@@ -129,7 +129,7 @@ def q_keyword_gate(spark, folder):
 WITH {NEWS_SQL}
 SELECT doc_id, rule_relevant AS relevant, rule_by AS "by", coalesce(rule_reason, '') AS reason, coalesce(rule_matched, '') AS matched FROM ruled""")
 def q_news_rules(spark, folder):
-    rows = articles(spark, folder).select("doc_id", C.news_rule("title", "content", RULES).alias("r"))
+    rows = C.with_news_rule(articles(spark, folder), "title", "content", RULES, "r")
     return rows.select(
         "doc_id", "r.relevant", "r.by", F.coalesce("r.reason", F.lit("")).alias("reason"),
         F.coalesce(F.array_join("r.matched", ", "), F.lit("")).alias("matched"),
@@ -156,10 +156,10 @@ SELECT doc_id, "by", rule_by, relevant, coalesce(CASE
         WHEN "by" = 'llm-cache' THEN 'q' || quality WHEN "by" IN ('llm-keep', 'llm-drop') THEN 'from label'
         ELSE rule_reason END, '') AS reason FROM final""")
 def q_final_verdict(spark, folder):
-    ruled = articles(spark, folder).withColumns({
-        "rule": C.news_rule("title", "content", RULES), "verdict_key": F.col("doc_id").cast("string")
-    })
-    out = R.confirm_news(ruled.select("doc_id", "rule", "verdict_key"), label_store(spark, folder), label_replies(spark, folder), seq="doc_id")
+    ruled = C.with_news_rule(articles(spark, folder), "title", "content", RULES).select(
+        "doc_id", "rule", F.col("doc_id").cast("string").alias("verdict_key")
+    )
+    out = R.confirm_news(cut_lineage(ruled), label_store(spark, folder), label_replies(spark, folder), seq="doc_id")
     return out.select(
         "doc_id", "verdict.by", "verdict.rule_by", "verdict.relevant", F.coalesce("verdict.reason", F.lit("")).alias("reason")
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanmill.functions.patterns import any_of, escape, java, keyword_pattern
@@ -52,7 +52,21 @@ def news_body(content: Col) -> Column:
 def news_rule(title: Col, content: Col, rules: NewsRules = NewsRules()) -> Column:
     """struct(relevant, by, reason, matched) of the free, repeatable rules."""
     head_line, body = text_of(title), news_body(content)
-    text = F.concat(head_line, F.lit("\n"), body)
+    return _news_verdict(head_line, body, F.concat(head_line, F.lit("\n"), body), rules)
+
+
+def with_news_rule(
+    rows: DataFrame, title: str, content: str, rules: NewsRules = NewsRules(), out: str = "rule"
+) -> DataFrame:
+    """news_rule as a column; the joined text is built once per row, not once per rule."""
+    prepared = rows.withColumns({"_head": text_of(title), "_body": news_body(content)}).withColumn(
+        "_text", F.concat("_head", F.lit("\n"), "_body")
+    )
+    verdict = _news_verdict(F.col("_head"), F.col("_body"), F.col("_text"), rules)
+    return prepared.withColumn(out, verdict).drop("_head", "_body", "_text")
+
+
+def _news_verdict(head_line: Column, body: Column, text: Column, rules: NewsRules) -> Column:
     branches: list[tuple[Column, Column]] = []
 
     if rules.roundup_on:
