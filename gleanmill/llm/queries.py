@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import chat, mixing, quality
+from gleanmill.llm import chat, mixing, packing, quality, warc
 from gleanmill.llm.common import documents
+from gleanmill.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -150,9 +152,46 @@ SELECT * EXCLUDE (enough), n_words < 20 OR 100 * n_repeat_words > 30 * n_words A
 FROM figures
 """
 
+def op3_warc_pages(spark: SparkSession, folder: str) -> DataFrame:
+    pages = documents(spark, folder, "pages")
+    path = f"{shared_dir(spark).rstrip('/')}/warc-{uuid.uuid4().hex}"
+    warc.write_archives(pages, path)
+    return warc.resolved(warc.read_archives(spark, path)).drop("verified")
+
+
+OP3_SQL = """
+WITH p AS (
+  SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS top FROM pages
+), d AS (
+  SELECT page_id, top, strlen(html) AS payload_bytes, sha1(html) AS hex FROM p
+)
+SELECT page_id, payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    CAST((('0x' || substr(hex, CAST(i // 4 * 5 + 1 AS INT), 5))::BIGINT // CAST(pow(32, 3 - i % 4) AS BIGINT)) % 32 + 1 AS INT), 1)), '')
+    AS payload_digest,
+  CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM d
+"""
+
+
+def public_vocabulary() -> tuple[str, str]:
+    """Ranks and pattern of the public byte-level vocabulary."""
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
+
+
+def op7_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
+    ranks, pattern = public_vocabulary()
+    return packing.pack(documents(spark, folder), ranks, pattern).select(
+        "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_chat_format, op4_mix_sources, op5_quality_lines)
+    f.__name__: f for f in (op1_chat_format, op3_warc_pages, op4_mix_sources, op5_quality_lines, op7_pack_sequences)
 }
 SQL: dict[str, str] = {
-    "op1_chat_format": OP1_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
+    "op1_chat_format": OP1_SQL, "op3_warc_pages": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
 }
