@@ -8,8 +8,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import chat, mixing, packing, quality, warc
-from gleanmill.llm.common import documents
+from gleanmill.llm import chat, media, mixing, packing, quality, toxicity, warc
+from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -189,8 +189,28 @@ def op7_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    docs = documents(spark, folder)
+    model = toxicity.fit(docs, documents(spark, folder, "labels"))
+    return toxicity.score(docs, model).select(
+        "doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score",
+        F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def op9_media_chunks(spark: SparkSession, folder: str) -> DataFrame:
+    catalogue, store = media.store_media(documents(spark, folder))
+    return catalogue.join(media.read_media(store), "media").select(
+        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"
+    )
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_chat_format, op3_warc_pages, op4_mix_sources, op5_quality_lines, op7_pack_sequences)
+    f.__name__: f
+    for f in (
+        op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op7_pack_sequences,
+        op9_media_chunks,
+    )
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL, "op3_warc_pages": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
