@@ -215,13 +215,12 @@ def learn(rows: list[tuple[str | None, int]], least_ratio: float = 20.0) -> Mode
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1) -> np.ndarray:
-    """Newton's method on the penalised likelihood, both classes given the same say."""
+    """Newton's method on the penalised likelihood."""
     w = np.zeros(x.shape[1])
-    say = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        slope = x.T @ (say * (y - p)) - ridge * w
-        bend = (x * (say * p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
+        slope = x.T @ (y - p) - ridge * w
+        bend = (x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(x.shape[1])
         w = w + np.linalg.solve(bend, slope)
     return w
 
