@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import chat, media, mixing, packing, quality, toxicity, warc
+from gleanmill.llm import chat, lm, media, mixing, packing, quality, toxicity, warc
 from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
@@ -198,6 +198,11 @@ def op2_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
+    part = lambda n: held_out(F.col("doc_id"), 7, n)
+    return lm.lm_scores(documents(spark, folder), ~part(2), part(5)).withColumn("held_out", part(2))
+
+
 def op9_media_chunks(spark: SparkSession, folder: str) -> DataFrame:
     catalogue, store = media.store_media(documents(spark, folder))
     return catalogue.join(media.read_media(store), "media").select(
@@ -208,8 +213,8 @@ def op9_media_chunks(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op7_pack_sequences,
-        op9_media_chunks,
+        op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op6_lm_score,
+        op7_pack_sequences,        op9_media_chunks,
     )
 }
 SQL: dict[str, str] = {
