@@ -88,3 +88,23 @@ def running_total(
         .withColumn(name, (F.col("_before") + F.col("_local")).cast("long"))
         .drop("_value", "_before", "_local")
     )
+
+
+#: Bits of the filter below: 8 MB, whatever the number of members.
+FILTER_BITS = 1 << 26
+
+
+def perhaps_among(rows: DataFrame, key: Sequence[str], members: DataFrame) -> DataFrame:
+    """Rows whose key may be one of the members', so that an exact join moves few others.
+
+    One bit per hashed key, in bitmaps whose total size is fixed; that bound is
+    why they may be broadcast.  With very many members more rows pass, never fewer.
+    """
+    place = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
+    maps = members.groupBy(F.bitmap_bucket_number(place).alias("_map")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("_bits")
+    )
+    at = F.bitmap_bit_position(place).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    marked = rows.withColumn("_map", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_map")
+    return marked.where(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0).drop("_map", "_bits")

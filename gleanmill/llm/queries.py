@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import chat, lm, media, mixing, packing, quality, toxicity, warc
+from gleanmill.llm import chat, lm, media, mixing, neardup, packing, quality, toxicity, warc
 from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
@@ -210,13 +210,40 @@ def op9_media_chunks(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op10_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(documents(spark, folder))
+
+
+OP10_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents
+), s AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i:i + 4], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)
+), n AS (
+  SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id
+), l AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared
+  FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2
+), links AS (
+  SELECT a, b FROM l JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 85 * (x.n + y.n - shared)
+), reached AS (
+  SELECT doc_id AS node, doc_id AS seen FROM d
+  UNION SELECT node, b FROM reached JOIN links ON seen = a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM reached GROUP BY node) USING (doc_id)
+"""
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op6_lm_score,
-        op7_pack_sequences,        op9_media_chunks,
+        op7_pack_sequences, op9_media_chunks, op10_near_duplicates,
     )
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL, "op3_warc_pages": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
+    "op10_near_duplicates": OP10_SQL,
 }
