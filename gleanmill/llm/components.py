@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmill.llm.common import stage
@@ -32,3 +34,56 @@ def components(links: DataFrame) -> DataFrame:
         nearest = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(nearest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = stage(hung.unionByName(nearest.select("u", F.col("m").alias("v"))).distinct())
+
+
+#: Members of a bucket compared with all its others in one round.
+HUBS = 16
+
+
+def components_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Components of the verified links between members of a bucket: node, component.
+
+    ``members`` has key, id and size; ``verify`` turns pairs (a, b, n_a, n_b),
+    a < b, into a staged frame (a, b, linked).  Never all pairs of a bucket: the
+    member that meets most others is its hub and is compared with all.  Where a
+    bucket is then still in several components, members outside its largest one
+    are compared with all others, HUBS per round, until none waits; so no link
+    inside a bucket is lost, and each round is linear in the members.
+    """
+    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+    degree = members.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("degree"))
+    members = stage(members.join(degree, "id").select("key", "id", "size", "degree"))
+
+    def paired(one: DataFrame, other: DataFrame) -> DataFrame:
+        x = one.select("key", F.col("id").alias("x"), F.col("size").alias("n_x"), F.col("c").alias("c_x"))
+        y = other.select("key", F.col("id").alias("y"), F.col("size").alias("n_y"), F.col("c").alias("c_y"))
+        first = F.col("x") < F.col("y")
+        either = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
+        return x.join(y, "key").where("x <> y AND c_x <> c_y").select(
+            either("x", "y").alias("a"), either("y", "x").alias("b"), either("n_x", "n_y").alias("n_a"), either("n_y", "n_x").alias("n_b")
+        ).distinct()
+
+    single = members.withColumn("c", F.col("id"))
+    hubs = members.groupBy("key").agg(F.max(F.struct("degree", "id", "size")).alias("h")).select(
+        "key", "h.id", "h.size", F.col("h.id").alias("c")
+    )
+    judged = verify(paired(hubs, single))
+    links, done = judged.where("linked"), hubs.select("key", "id")
+    while True:
+        joined = components(links)
+        placed = stage(
+            members.join(joined, members["id"] == joined["node"], "left")
+            .select("key", "id", "size", "degree", F.coalesce("component", "id").alias("c"))
+        )
+        torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
+        open_rows = placed.join(torn, "key")
+        groups = open_rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
+        largest = groups.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top")).select("key", F.col("top.c").alias("c"))
+        waiting = open_rows.join(largest, ["key", "c"], "left_anti").join(done, ["key", "id"], "left_anti")
+        turn = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("degree"), "id"))
+        chosen = stage(waiting.withColumn("turn", turn).where(F.col("turn") <= HUBS).drop("turn"))
+        if not chosen.head(1):
+            return joined
+        fresh = verify(paired(chosen, open_rows).join(judged.select("a", "b"), ["a", "b"], "left_anti"))
+        judged, links = judged.unionByName(fresh), links.unionByName(fresh.where("linked"))
+        done = done.unionByName(chosen.select("key", "id"))

@@ -16,18 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gleanmill.llm.common import perhaps_among, stage
-from gleanmill.llm.components import components
+from gleanmill.llm.components import components_in_buckets
 from gleanmill.llm.lm import LOWER, mixed
 
 SHINGLE = 5
 #: At similarity 0.85 a pair misses all bands with probability (1 - 0.85**8)**48, 2e-7.
 BANDS, ROWS = 48, 8
-#: Members of a bucket compared with all its others in one round.
-HUBS = 32
 
 
 def shingle_set(text: str | None) -> np.ndarray:
@@ -107,11 +105,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     stand by themselves, kept with a null component; repeated rows have one id
     and one fate; an empty table gives no rows.
 
-    Equal sets become one class, found by a pre-aggregated digest.  In a bucket
-    the first class is compared with all others, never all pairs.  Where classes
-    of a bucket are then still in different components, those outside its
-    largest one are compared with all others, a few per round, until none is
-    left: linear rounds, and no link inside a bucket is lost.
+    Equal sets become one class, found by a pre-aggregated digest; how the classes
+    of a bucket are compared says components_in_buckets.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     known = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
@@ -122,12 +117,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     reps = full.join(classes, ["digest", "doc_id"]).dropDuplicates(["digest"])
     buckets = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = stage(buckets.join(hubs.drop("n"), "key"))
-    ids = members.select("doc_id").distinct()
-    texts = stage(
-        perhaps_among(known, ["doc_id"], ids).join(ids, "doc_id").select("doc_id", "text")
-    )
+    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    members = stage(buckets.join(several, "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")))
+    ids = members.select(F.col("id").alias("doc_id")).distinct()
+    texts = stage(perhaps_among(known, ["doc_id"], ids).join(ids, "doc_id").select("doc_id", "text"))
 
     def verified(pairs: DataFrame) -> DataFrame:
         """Of pairs (a, b, n_a, n_b) those linked and those not; sizes alone rule many out."""
@@ -140,41 +133,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         linked = 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
         return stage(found.select("a", "b", linked.alias("linked")))
 
-    def paired(one: DataFrame, other: DataFrame) -> DataFrame:
-        """Different pairs (smaller id first) of members of a key."""
-        both = one.select("key", F.col("doc_id").alias("x"), F.col("n_shingles").alias("n_x"), F.col("c").alias("c_x")).join(
-            other.select("key", F.col("doc_id").alias("y"), F.col("n_shingles").alias("n_y"), F.col("c").alias("c_y")), "key"
-        ).where("x <> y AND c_x <> c_y")
-        first = F.col("x") < F.col("y")
-        return both.select(
-            F.when(first, F.col("x")).otherwise(F.col("y")).alias("a"), F.when(first, F.col("y")).otherwise(F.col("x")).alias("b"),
-            F.when(first, F.col("n_x")).otherwise(F.col("n_y")).alias("n_a"), F.when(first, F.col("n_y")).otherwise(F.col("n_x")).alias("n_b"),
-        ).distinct()
-
-    single = members.withColumn("c", F.col("doc_id"))
-    judged = verified(paired(single.where("doc_id = hub"), single))
-    links = judged.where("linked")
-    done = single.where("doc_id = hub").select("key", "doc_id")
-    while True:
-        joined = components(links)
-        placed = stage(
-            members.join(joined, members["doc_id"] == joined["node"], "left")
-            .select("key", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("c"))
-        )
-        mixed_keys = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
-        open_rows = placed.join(mixed_keys, "key")
-        groups = open_rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
-        largest = groups.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top")).select("key", F.col("top.c").alias("c"))
-        waiting = open_rows.join(largest, ["key", "c"], "left_anti").join(done, ["key", "doc_id"], "left_anti")
-        turn = F.row_number().over(Window.partitionBy("key").orderBy("doc_id"))
-        chosen = stage(waiting.withColumn("turn", turn).where(F.col("turn") <= HUBS).drop("turn"))
-        if not chosen.head(1):
-            break
-        pairs = paired(chosen, open_rows).join(judged.select("a", "b"), ["a", "b"], "left_anti")
-        fresh = verified(pairs)
-        judged, links = judged.unionByName(fresh), links.unionByName(fresh.where("linked"))
-        done = done.unionByName(chosen.select("key", "doc_id"))
-
+    joined = components_in_buckets(members, verified)
     fate = reps.select("digest", F.col("doc_id").alias("node")).join(joined, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("reached")
     )

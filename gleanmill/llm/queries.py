@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import chat, lm, media, mixing, neardup, packing, quality, toxicity, warc
+from gleanmill.llm import chat, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
 from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
@@ -203,6 +203,35 @@ def op6_lm_score(spark: SparkSession, folder: str) -> DataFrame:
     return lm.lm_scores(documents(spark, folder), ~part(2), part(5)).withColumn("held_out", part(2))
 
 
+def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return lines.line_fates(documents(spark, folder))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE l AS (
+  SELECT doc_id, i - 1 AS line_no, line FROM (
+    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+    FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+), c AS (
+  SELECT line, min(doc_id * 1000000 + line_no) AS id FROM l GROUP BY line
+), g AS (
+  SELECT DISTINCT id, substr(line, i, 9) AS s FROM (SELECT id, line, unnest(range(1, length(line) - 7)) AS i FROM c WHERE length(line) >= 40)
+), n AS (
+  SELECT id, count(*) AS n FROM g GROUP BY id
+), links AS (
+  SELECT a.id AS a, b.id AS b FROM g a JOIN g b ON a.s = b.s AND a.id <> b.id JOIN n x ON x.id = a.id JOIN n y ON y.id = b.id
+  GROUP BY a.id, b.id, x.n, y.n HAVING 100 * count(*) >= 80 * (x.n + y.n - count(*))
+), reached AS (
+  SELECT id AS node, id AS seen FROM c UNION SELECT node, b FROM reached JOIN links ON seen = a
+), f AS (
+  SELECT node, min(seen) AS first FROM reached GROUP BY node
+)
+SELECT l.doc_id, CAST(l.line_no AS INT) AS line_no, first // 1000000 AS first_doc, CAST(first % 1000000 AS INT) AS first_line,
+  l.doc_id * 1000000 + l.line_no = first AS kept
+FROM l JOIN c USING (line) JOIN f ON node = c.id
+"""
+
+
 def op9_media_chunks(spark: SparkSession, folder: str) -> DataFrame:
     catalogue, store = media.store_media(documents(spark, folder))
     return catalogue.join(media.read_media(store), "media").select(
@@ -240,10 +269,10 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op6_lm_score,
-        op7_pack_sequences, op9_media_chunks, op10_near_duplicates,
+        op7_pack_sequences, op8_line_dedup, op9_media_chunks, op10_near_duplicates,
     )
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL, "op3_warc_pages": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
-    "op10_near_duplicates": OP10_SQL,
+    "op8_line_dedup": OP8_SQL, "op10_near_duplicates": OP10_SQL,
 }
