@@ -31,7 +31,6 @@ BEGIN = np.uint64(0x9E3779B97F4A7C15)
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: Grid of the fold's histogram in units of log10.
 GRID = 50
-TABLE = "block long, kind int, rows array<long>, lengths array<long>, vocabulary binary, tokens binary"
 
 
 def mixed(keys: np.ndarray) -> np.ndarray:
@@ -41,6 +40,16 @@ def mixed(keys: np.ndarray) -> np.ndarray:
     return keys ^ (keys >> np.uint64(31))
 
 
+def planes(numbers: np.ndarray) -> bytes:
+    """Numbers as planes of their bytes, which Spark's compression shrinks where they are small."""
+    return numbers.view(np.uint8).reshape(len(numbers), -1).T.tobytes()
+
+
+def from_planes(data: bytes, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
 def hashed_words(text: str | None) -> list[int]:
     """64-bit hashes of the lower-cased (A-Z) words, then that of the end."""
     from xxhash import xxh3_64_intdigest
@@ -56,28 +65,28 @@ def blocks_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     def block(kind: int) -> pd.DataFrame:
         nonlocal number
-        rows, lengths, tokens = waiting[kind]
+        ids, lengths, tokens = waiting[kind]
         words, places = np.unique(np.concatenate(tokens), return_inverse=True)
         waiting[kind] = ([], [], [])
         number += 1
         return pd.DataFrame([{
-            "block": number, "kind": kind, "rows": rows, "lengths": lengths,
-            "vocabulary": words.tobytes(), "tokens": places.astype(np.uint32).tobytes(),
+            "block": number, "kind": kind, "doc_ids": ids, "lengths": lengths,
+            "vocabulary": words.tobytes(), "tokens": planes(places.astype(np.uint32)),
         }])
 
     for batch in batches:
-        for row, kind, text in zip(batch["row"].tolist(), batch["kind"].tolist(), batch["text"].tolist()):
+        for doc_id, kind, text in zip(batch["doc_id"].tolist(), batch["kind"].tolist(), batch["text"].tolist()):
             tokens = np.array(hashed_words(text), np.uint64)
-            rows, lengths, parts = waiting[kind]
-            rows.append(row)
+            ids, lengths, parts = waiting[kind]
+            ids.append(None if doc_id is None or doc_id != doc_id else doc_id)
             lengths.append(len(tokens))
             parts.append(tokens)
             size[kind] += len(tokens)
             if size[kind] >= BLOCK_TOKENS:
                 yield block(kind)
                 size[kind] = 0
-    for kind, (rows, _, _) in waiting.items():
-        if rows:
+    for kind in list(waiting):
+        if waiting[kind][0]:
             yield block(kind)
 
 
@@ -98,7 +107,7 @@ def asked(shards: int):
         edges = np.array([min(i * width, (1 << 64) - 1) for i in range(1, shards)], np.uint64)
         for batch in batches:
             for b in batch.itertuples(index=False):
-                vocabulary, tokens = np.frombuffer(b.vocabulary, np.uint64), np.frombuffer(b.tokens, np.uint32)
+                vocabulary, tokens = np.frombuffer(b.vocabulary, np.uint64), from_planes(b.tokens, np.uint32)
                 lengths = np.asarray(b.lengths)
                 _, pairs = bigrams_of(vocabulary, tokens, lengths)
                 once = np.bincount(tokens, minlength=len(vocabulary))
@@ -113,7 +122,7 @@ def asked(shards: int):
                     yield pd.DataFrame([
                         {
                             "shard": shard, "what": what, "block": b.block, "kind": b.kind,
-                            "keys": keys[i:j].tobytes(), "counts": counts[i:j].astype(np.uint32).tobytes(),
+                            "keys": planes(np.diff(keys[i:j], prepend=np.uint64(0))), "counts": planes(counts[i:j].astype(np.uint32)),
                         }
                         for shard, (i, j) in enumerate(zip(cuts, cuts[1:])) if j > i
                     ])
@@ -123,8 +132,8 @@ def asked(shards: int):
 
 def answered(rows: pd.DataFrame) -> pd.DataFrame:
     """One shard: to each block, for its keys in order, the counts of the fit and of all training texts."""
-    keys = [np.frombuffer(k, np.uint64) for k in rows["keys"]]
-    counts = [np.frombuffer(c, np.uint32) for c in rows["counts"]]
+    keys = [np.cumsum(from_planes(k, np.uint64), dtype=np.uint64) for k in rows["keys"]]
+    counts = [from_planes(c, np.uint32) for c in rows["counts"]]
     own, places = np.unique(np.concatenate(keys), return_inverse=True)
     kinds = np.repeat(rows["kind"].to_numpy(), [len(k) for k in keys])
     amounts = np.concatenate(counts).astype(float)
@@ -136,8 +145,8 @@ def answered(rows: pd.DataFrame) -> pd.DataFrame:
     single = rows["what"].iloc[0] == 1
     return pd.DataFrame({
         "block": rows["block"], "what": rows["what"], "shard": rows["shard"],
-        "fit": [fit[places[i:j]].astype(np.uint64).tobytes() for i, j in zip(starts, ends)],
-        "whole": [whole[places[i:j]].astype(np.uint64).tobytes() for i, j in zip(starts, ends)],
+        "fit": [planes(fit[places[i:j]].astype(np.uint64)) for i, j in zip(starts, ends)],
+        "whole": [planes(whole[places[i:j]].astype(np.uint64)) for i, j in zip(starts, ends)],
         # what the shard knows of the whole model, told once
         "n_fit": [float(fit[~begin].sum()) if single and i == 0 else 0.0 for i in starts],
         "n_whole": [float(whole[~begin].sum()) if single and i == 0 else 0.0 for i in starts],
@@ -151,11 +160,11 @@ ANSWER = "block long, what int, shard int, fit binary, whole binary, n_fit doubl
 
 def estimates(b, column: str, n: float, v: float) -> tuple[np.ndarray, ...]:
     """Per token of a block: its count, the context's bucket, and the bigram, unigram and uniform estimates."""
-    vocabulary, tokens = np.frombuffer(b.vocabulary, np.uint64), np.frombuffer(b.tokens, np.uint32)
+    vocabulary, tokens = np.frombuffer(b.vocabulary, np.uint64), from_planes(b.tokens, np.uint32)
     lengths = np.asarray(b.lengths)
     answers = {1: [], 2: []}
     for a in sorted(b.answers, key=lambda a: (a["what"], a["shard"])):
-        answers[a["what"]].append(np.frombuffer(a[column], np.uint64))
+        answers[a["what"]].append(from_planes(a[column], np.uint64))
     singles = np.sort(np.append(vocabulary, BEGIN))
     single_counts, pair_counts = (np.concatenate(answers[k]).astype(float) for k in (1, 2))
     contexts, pairs = bigrams_of(vocabulary, tokens, lengths)
@@ -202,13 +211,16 @@ def lm_scores(docs: DataFrame, training, fold) -> DataFrame:
     """
     spark = docs.sparkSession
     kind = F.when(~training, OUT).when(fold, FOLD).otherwise(COUNT)
-    numbered = stage(docs.select(
-        F.monotonically_increasing_id().alias("row"), "doc_id", F.coalesce(kind, F.lit(OUT)).alias("kind"), "text"
+    id_kind = docs.schema["doc_id"].dataType.simpleString()
+    # ids travel as their text, which keeps null ids and any type as they are
+    table = stage(docs.select(
+        F.col("doc_id").cast("string").alias("doc_id"), F.coalesce(kind, F.lit(OUT)).alias("kind"), "text"
+    ).mapInPandas(
+        blocks_of, "block long, kind int, doc_ids array<string>, lengths array<long>, vocabulary binary, tokens binary"
     ))
-    table = stage(numbered.select("row", "kind", "text").mapInPandas(blocks_of, TABLE))
     tokens = table.select(F.coalesce(F.sum(F.octet_length("tokens") / 4), F.lit(0.0))).first()[0]
     shards = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), int(tokens // SHARD_TOKENS) + 1)
-    questions = table.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "block").mapInPandas(
+    questions = table.select("block", "kind", "lengths", "vocabulary", "tokens").mapInPandas(
         asked(shards), "shard int, what int, block long, kind int, keys binary, counts binary"
     )
     answers = stage(questions.groupBy("shard", "what").applyInPandas(answered, ANSWER))
@@ -247,14 +259,15 @@ def lm_scores(docs: DataFrame, training, fold) -> DataFrame:
                 base = np.log10((count + 1) / (n + v + 1))
                 starts = np.concatenate(([0], np.cumsum(b.lengths)[:-1])).astype(int)
                 yield pd.DataFrame({
-                    "row": b.rows, "n_tokens": b.lengths,
+                    "doc_id": b.doc_ids, "n_tokens": b.lengths,
                     "n_known": np.add.reduceat((count > 0).astype(np.int64), starts),
                     "base_score": np.add.reduceat(base, starts), "score": np.add.reduceat(logs, starts),
                 })
 
     scores = with_answers(table, "whole").mapInPandas(
-        scored, "row long, n_tokens long, n_known long, base_score double, score double"
+        scored, "doc_id string, n_tokens long, n_known long, base_score double, score double"
     )
-    return numbered.select("row", "doc_id").join(scores, "row").select(
-        "doc_id", "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"), "base_score", "score"
+    return scores.select(
+        F.col("doc_id").cast(id_kind).alias("doc_id"), "n_tokens", "n_known", F.lit(int(n)).cast("long").alias("train_tokens"),
+        "base_score", "score",
     )
