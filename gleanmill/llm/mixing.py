@@ -13,7 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanmill.llm.common import running_total, stage, word_count
+from gleanmill.llm.common import running_total, stage, word_count, words_of
 
 #: The fractional part of the golden ratio in units of 2**-32.
 GOLDEN = 2654435769
@@ -109,12 +109,13 @@ def mix(
     cap: float = 2.0,
     block_words: int = 64,
     seed: str = "mix",
+    numbered: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """The mix of a corpus: (its documents, its pieces).
 
     ``docs`` has doc_id, text and source; other columns are not read.  The first
     result has a row per input row: row, doc_id, skey, size, source_size,
-    target; the second the mix itself: slot, epoch, skey, block, row, from_word,
+    target (``numbered``: docs brings its own unique row); the second the mix itself: slot, epoch, skey, block, row, from_word,
     to_word, a document being cut where a block ends.  Null text has no words, so
     it has a row in the first result and none in the second; null source is a
     source of its own, after the others; repeated rows are documents of their
@@ -125,7 +126,7 @@ def mix(
     """
     narrow = stage(
         docs.select(
-            F.monotonically_increasing_id().alias("row"),
+            F.col("row") if numbered else F.monotonically_increasing_id().alias("row"),
             "doc_id",
             F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("t")).alias("skey"),
             word_count(F.col("text")).alias("size"),
@@ -163,3 +164,27 @@ def mixed_totals(docs: DataFrame, **options) -> DataFrame:
     return described.join(taken, "row", "left").select(
         "doc_id", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken")
     )
+
+
+def mixed_documents(docs: DataFrame, **options) -> DataFrame:
+    """The mix as documents: the columns of ``docs``, a row per input row and epoch it is played in.
+
+    The text is what the mix takes of it in that epoch, from its first to its
+    last word taken; blocks of a source are played in order, so these words
+    adjoin, and a text taken whole stays as it is, blanks included.  Its n_chars,
+    where there is one, is the length.  Documents of which nothing is taken
+    (those without words among them) do not appear.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    held = stage(docs.select(F.monotonically_increasing_id().alias("row"), F.struct(*columns).alias("doc")))
+    described, pieces = mix(held.select("row", "doc.doc_id", "doc.text", "doc.source"), numbered=True, **options)
+    taken = pieces.groupBy("row", "epoch").agg(F.min("from_word").alias("first"), F.max("to_word").alias("last"))
+    whole = (F.col("first") == 0) & (F.col("last") == F.col("size"))
+    part = F.array_join(F.slice(words_of(F.col("doc.text")), F.col("first").cast("int") + 1, (F.col("last") - F.col("first")).cast("int")), " ")
+    joined = held.join(described.select("row", "size"), "row").join(taken, "row").select(
+        "doc", F.explode(F.array(F.when(whole, F.col("doc.text")).otherwise(part))).alias("text")
+    )
+    out = {c: F.col("doc").getField(c) for c in docs.columns} | {"text": F.col("text")}
+    if "n_chars" in out:
+        out["n_chars"] = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return joined.select(*[column.alias(c) for c, column in out.items()])
