@@ -20,6 +20,8 @@ LEAST = 32
 #: Of 64 bins in 16 bands so many bands are used: at similarity 0.8 a pair
 #: misses all with probability (1 - 0.8**4)**13, one in a thousand.
 BANDS = 13
+#: The least hashes a signature is made of.
+SAMPLE = 128
 
 
 def shingles(line: Column) -> Column:
@@ -61,8 +63,12 @@ def band_keys(line: Column) -> Column:
         )
 
     least = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_(x) != bin_(F.get(s, i - 1))))
+    # the least hashes of the line hold the least of nearly every bin: bins go by the lowest bits,
+    # order in a bin by the highest
+    lowest = F.slice(F.sort_array(shingles(line)), 1, SAMPLE)
+    binned = F.sort_array(F.transform(lowest, lambda x: F.shiftleft(x, 58).bitwiseOR(F.shiftrightunsigned(x, 6))))
     return F.when(F.length(line) < LEAST + SHINGLE - 1, F.array().cast("array<long>")).otherwise(
-        let(let(F.sort_array(shingles(line)), least), keys)
+        let(let(binned, least), keys)
     )
 
 
