@@ -221,7 +221,9 @@ def read_archives(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> D
     def scanned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for archive, size, block in batch.itertuples(index=False):
-                yield block_candidates(archive, size, block, block_bytes)
+                found = block_candidates(archive, size, block, block_bytes)
+                if len(found):
+                    yield found
 
     def loaded(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         names = ["record_id", "record_type", "refers_to", "url", "payload", "digest", "verified"]
@@ -241,7 +243,8 @@ def read_archives(spark: SparkSession, path: str, block_bytes: int = BLOCK) -> D
                         if waiting >= block_bytes:
                             yield pd.DataFrame(rows, columns=names)
                             rows, waiting = [], 0
-        yield pd.DataFrame(rows, columns=names)
+        if rows:
+            yield pd.DataFrame(rows, columns=names)
 
     candidates = stage(blocks.mapInPandas(scanned, CANDIDATE))
     kept = on_chain(candidates).repartition(tasks, "archive", "offset")
