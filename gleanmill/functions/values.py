@@ -232,11 +232,13 @@ def _kind(value: Column) -> Column:
     return F.coalesce(F.schema_of_variant(value), F.lit("VOID"))
 
 
-def _reason(parsed: Column, limit: int) -> Column:
-    return F.left(F.coalesce(F.try_variant_get(parsed, "$.reason", "string"), F.lit("")), F.lit(limit))
+def _reason(parsed: Column, limit: int | None) -> Column:
+    """The reply's reason, whole unless the caller asks for its first ``limit`` characters."""
+    whole = F.coalesce(F.try_variant_get(parsed, "$.reason", "string"), F.lit(""))
+    return whole if limit is None else F.left(whole, F.lit(limit))
 
 
-def relevant_unless_false(reply: Col, field: str = "relevant", limit: int = 200) -> Column:
+def relevant_unless_false(reply: Col, field: str = "relevant", limit: int | None = None) -> Column:
     """Only an explicit false (boolean or text) drops; struct(ok, value, reason)."""
     parsed = reply_object(reply)
     raw = F.try_variant_get(parsed, f"$.{field}", "variant")
@@ -245,7 +247,7 @@ def relevant_unless_false(reply: Col, field: str = "relevant", limit: int = 200)
     return F.struct(parsed.isNotNull().alias("ok"), (~explicit).alias("value"), _reason(parsed, limit).alias("reason"))
 
 
-def only_true(reply: Col, field: str = "relevant", limit: int = 120) -> Column:
+def only_true(reply: Col, field: str = "relevant", limit: int | None = None) -> Column:
     """Only a boolean true keeps."""
     parsed = reply_object(reply)
     raw = F.try_variant_get(parsed, f"$.{field}", "variant")
@@ -253,7 +255,7 @@ def only_true(reply: Col, field: str = "relevant", limit: int = 120) -> Column:
     return F.struct(parsed.isNotNull().alias("ok"), kept.alias("value"), _reason(parsed, limit).alias("reason"))
 
 
-def unless_boolean_false(reply: Col, field: str = "academic", limit: int = 120) -> Column:
+def unless_boolean_false(reply: Col, field: str = "academic", limit: int | None = None) -> Column:
     """Only a boolean false drops."""
     parsed = reply_object(reply)
     raw = F.try_variant_get(parsed, f"$.{field}", "variant")

@@ -27,7 +27,6 @@ from gleanmill.rules.cascades import news_body
 FINAL_RULES = ("trial-drop", "roundup-drop")
 TTL_DAYS = 30
 BATCH = 25
-NEWS_CHARS = 2000
 
 _STORED = (
     "map<string,struct<verdict:string,relevant:boolean,academic:boolean,by:string,reason:string,"
@@ -198,12 +197,12 @@ def _or_dash(value: str) -> Column:
     return F.coalesce(blank_to_null(value), F.lit("-"))
 
 
-def news_prompts(confirmed: DataFrame, instruction: str) -> DataFrame:
-    """Prompt per article nobody decided yet: title, keywords, first part of the body."""
+def news_prompts(confirmed: DataFrame, instruction: str, body_chars: int | None = None) -> DataFrame:
+    """Prompt per article nobody decided yet: title, keywords, the body or its first ``body_chars``."""
     pending = confirmed.where(
         F.col("verdict.by").isin("llm-error-keep", "rule-drop") & ~F.col("verdict.rule_by").isin(*FINAL_RULES)
     )
-    body = F.left(news_body("content"), F.lit(NEWS_CHARS))
+    body = news_body("content") if body_chars is None else F.left(news_body("content"), F.lit(body_chars))
     words = F.array_join(F.coalesce("matched_keywords", F.array().cast("array<string>")), ", ")
     prompt = F.concat(
         F.lit(instruction + "\n\n[기사]\n제목: "), trimmed("title"),

@@ -16,7 +16,6 @@ INLINE = {
 CHROME = {"script", "style", "noscript", "iframe", "header", "footer", "nav", "aside", "meta"}
 CONSENT = ("cookie", "consent", "gtm")
 MEDIA = {"img", "video", "audio", "picture", "source", "object", "embed", "canvas"}
-PARAGRAPH_LIMIT = 100
 
 
 def strip(text: str) -> str:
@@ -208,7 +207,7 @@ def _inner_html(node: Node) -> str:
     return "".join(out)
 
 
-def clean_html(root: Node, keep_media: bool) -> str:
+def clean_html(root: Node, keep_media: bool, paragraph_chars: int | None = None) -> str:
     """The page body without chrome, consent banners, empty tags and long paragraphs."""
     for node in list(root.walk()):
         name = node.attrs.get("class", "") + "\n" + node.attrs.get("id", "")
@@ -227,7 +226,7 @@ def clean_html(root: Node, keep_media: bool) -> str:
     for node in root.walk():
         if node.tag == "p":
             text = strip(node.text())
-            if len(text) > PARAGRAPH_LIMIT:
-                node.children = [text[:PARAGRAPH_LIMIT] + " ..."]
+            if paragraph_chars is not None and len(text) > paragraph_chars:
+                node.children = [text[:paragraph_chars] + " ..."]
     body = next((n for n in root.walk() if n.tag == "body"), root)
     return strip(re.sub(r"[\r\n]", " ", re.sub(r"\s{2,}", " ", _inner_html(body))))

@@ -169,7 +169,7 @@ def q_request_plan(spark, folder):
 
 
 @query("""
-WITH t AS (SELECT o_custkey, least(ceil(count(*) / 3.0), 4)::BIGINT AS pages FROM orders GROUP BY 1),
+WITH t AS (SELECT o_custkey, ceil(count(*) / 3.0)::BIGINT AS pages FROM orders GROUP BY 1),
 e AS (SELECT o_custkey, unnest(generate_series(1, pages)) AS page FROM t),
 c AS (SELECT DISTINCT o_custkey, o_orderkey % 4 + 1 AS page FROM orders WHERE o_orderstatus = 'F')
 SELECT o_custkey, page FROM e WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.o_custkey = e.o_custkey AND c.page = e.page)""")
@@ -177,7 +177,7 @@ def q_capture_gap(spark, folder):
     orders = table(spark, folder, "orders")
     totals = orders.groupBy("o_custkey").agg(F.count(F.lit(1)).alias("total")).withColumn("page_size", F.lit(3))
     captured = orders.where("o_orderstatus = 'F'").select("o_custkey", (F.col("o_orderkey") % 4 + 1).alias("page"))
-    return J.capture_gap(totals, captured, page_cap=4)
+    return J.capture_gap(totals, captured)
 
 
 @query("""

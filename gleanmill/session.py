@@ -37,11 +37,14 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach, for staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``.  Only a session that has
-    none (tests on one machine) gets a temporary folder.
+    A cluster names it in ``spark.checkpoint.dir``; without it a cluster session
+    fails here, since folders of its machines are not shared.  Only a session on
+    one machine gets a temporary folder.
     """
     path = spark.sparkContext.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if path is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="gleanmill-")
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -35,7 +35,8 @@ def test_block_text():
 
 
 def test_clean():
-    html = P.clean_html(parse(PAGE), keep_media=False)
+    html = P.clean_html(parse(PAGE), keep_media=False, paragraph_chars=100)
+    assert "..." not in P.clean_html(parse(PAGE), keep_media=False)
     assert "<nav" not in html and "accept" not in html and "<img" not in html and "<script" not in html
     assert ("long " * 40)[:100] + "..." in html and 'style="' not in html
     # an element without text and children counts as empty, a picture too
