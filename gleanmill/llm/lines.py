@@ -1,75 +1,110 @@
-"""Fuzzy line deduplication by MinHash (expressions only).
+"""Fuzzy line deduplication by MinHash.
 
 A line's signature has a coordinate per bin of the hash range: the least hash of
 its 9-character shingles that falls into the bin.  Four bins make a band, lines
 that agree in a band are candidates, candidates are linked by the exact Jaccard
 similarity of their shingle sets, and one line per component is kept.
+
+Signatures and exact similarities are computed on Arrow batches: as expressions a
+lambda per code point alone costs more than the whole job may (see the README).
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanmill.llm.common import WORD, let, perhaps_among, stage
+from gleanmill.llm.common import WORD, perhaps_among, stage
 from gleanmill.llm.components import components_in_buckets
+from gleanmill.llm.lm import mixed
 
 SHINGLE = 9
 #: Lines of fewer shingles have too few for a signature; they link with equal lines only.
 LEAST = 32
 #: Of 64 bins in 16 bands so many bands are used: at similarity 0.8 a pair
 #: misses all with probability (1 - 0.8**4)**13, one in a thousand.
-BANDS = 13
-#: The least hashes a signature is made of.
-SAMPLE = 128
-
-
-def shingles(line: Column) -> Column:
-    """64-bit hashes of all runs of 9 code points (a shorter line: of itself)."""
-    codes = F.encode(line, "UTF-32")  # four bytes a code point, so a place is found at once
-    return F.when(F.length(line) < SHINGLE, F.array(F.xxhash64(line))).otherwise(
-        let(
-            codes,
-            lambda b: F.transform(
-                F.sequence(F.lit(0), F.floor(F.octet_length(b) / 4).cast("int") - SHINGLE),
-                lambda i: F.xxhash64(F.substring(b, i * 4 + 1, F.lit(4 * SHINGLE))),
-            ),
+BINS, ROWS, BANDS = 64, 4, 13
+#: Code points hashed at a time, so that memory does not grow with a line.
+STEP = 1 << 18
+EMPTY = np.iinfo(np.uint64).max
+FACTORS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
+NEXT = np.uint64(0x9E3779B97F4A7C15)
+
+
+def window_hashes(text: str) -> np.ndarray:
+    """64-bit hashes of all runs of 9 code points."""
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
+    for k in range(SHINGLE):
+        h += codes[k : k + len(h)] * FACTORS[k]
+    return mixed(h)
+
+
+def least_hashes(lines: list[str]) -> np.ndarray:
+    """Per line its coordinates: bins go by the lowest bits, order in a bin by the others."""
+    out = np.full(len(lines) * BINS, EMPTY, np.uint64)
+
+    def place(rows: list[int], pieces: list[str]) -> None:
+        lengths = np.array([len(p) for p in pieces])
+        h = window_hashes("".join(pieces))
+        inside = np.ones(len(h), bool)
+        inside[(np.cumsum(lengths)[:-1, None] - np.arange(1, SHINGLE)).ravel()] = False
+        at = np.repeat(np.array(rows) * BINS, lengths)[: len(h)] + (h & np.uint64(BINS - 1)).astype(np.int64)
+        np.minimum.at(out, at[inside], (h >> np.uint64(6))[inside])
+
+    rows, pieces, size = [], [], 0
+    for i, line in enumerate(lines):
+        if len(line) < LEAST + SHINGLE - 1:
+            continue
+        for k in range(0, len(line) - SHINGLE + 1, STEP):
+            rows.append(i)
+            pieces.append(line[k : k + STEP + SHINGLE - 1])
+            size += len(pieces[-1])
+            if size >= STEP:
+                place(rows, pieces)
+                rows, pieces, size = [], [], 0
+    if rows:
+        place(rows, pieces)
+    return out.reshape(len(lines), BINS)
+
+
+def band_keys(lines: list[str]) -> pa.ListArray:
+    """Per line one key for each band with a coordinate; none for lines without a signature."""
+    bands = least_hashes(lines)[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
+    keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
+    for k in range(ROWS):
+        keys = mixed(keys * NEXT + bands[:, :, k])
+    filled = (bands != EMPTY).any(axis=2)
+    ends = np.concatenate([[0], np.cumsum(filled.sum(axis=1))]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[filled].view(np.int64), pa.int64()))
+
+
+def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    names = ["doc_id", "line_no", "h1", "h2", "size"]
+    for b in batches:
+        keys = band_keys(b["line"].to_pylist())
+        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), keys], names=[*names, "keys"])
+
+
+def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Exact set sizes of pairs; rows of one ``a`` come together, so its set is built once."""
+    last, known = None, np.empty(0, np.uint64)
+    for b in batches:
+        shared, both = [], []
+        for line_a, line_b in zip(b["line_a"].to_pylist(), b["line_b"].to_pylist()):
+            if line_a != last:
+                last, known = line_a, np.unique(window_hashes(line_a))
+            other = np.unique(window_hashes(line_b))
+            merged = np.sort(np.concatenate([known, other]))
+            shared.append(int((merged[1:] == merged[:-1]).sum()))
+            both.append(len(merged))
+        yield pa.RecordBatch.from_arrays(
+            [b["a"], b["b"], pa.array(shared, pa.int64()), pa.array(both, pa.int64())], names=["a", "b", "shared", "both"]
         )
-    )
-
-
-def band_keys(line: Column) -> Column:
-    """One key per band with a coordinate, for lines that have a signature."""
-    band = lambda x: F.shiftrightunsigned(x, 60)
-    bin_ = lambda x: F.shiftrightunsigned(x, 58)
-
-    def keys(least: Column) -> Column:
-        starts = F.filter(
-            F.sequence(F.lit(0), F.size(least) - 1),
-            lambda i: (i == 0) | (band(F.get(least, i)) != band(F.get(least, i - 1))),
-        )
-        return let(
-            starts,
-            lambda s: F.filter(
-                F.transform(
-                    s,
-                    lambda at, k: F.when(
-                        band(F.get(least, at)) < BANDS,
-                        F.xxhash64(F.slice(least, at + 1, F.coalesce(F.get(s, k + 1), F.size(least)) - at)),
-                    ),
-                ),
-                lambda key: key.isNotNull(),
-            ),
-        )
-
-    least = lambda s: F.filter(s, lambda x, i: (i == 0) | (bin_(x) != bin_(F.get(s, i - 1))))
-    # the least hashes of the line hold the least of nearly every bin: bins go by the lowest bits,
-    # order in a bin by the highest
-    lowest = F.slice(F.sort_array(shingles(line)), 1, SAMPLE)
-    binned = F.sort_array(F.transform(lowest, lambda x: F.shiftleft(x, 58).bitwiseOR(F.shiftrightunsigned(x, 6))))
-    return F.when(F.length(line) < LEAST + SHINGLE - 1, F.array().cast("array<long>")).otherwise(
-        let(let(binned, least), keys)
-    )
 
 
 def lines_of(docs: DataFrame) -> DataFrame:
@@ -92,8 +127,10 @@ def line_fates(docs: DataFrame, percent: int = 80) -> DataFrame:
     meet another in a band.
     """
     lines = lines_of(docs)
+    kind = docs.schema["doc_id"].dataType.simpleString()
     classes = stage(
-        lines.select("doc_id", "line_no", "h1", "h2", F.length("line").alias("size"), band_keys(F.col("line")).alias("keys"))
+        lines.select("doc_id", "line_no", "h1", "h2", F.length("line").alias("size"), "line")
+        .mapInArrow(signed, f"doc_id {kind}, line_no int, h1 long, h2 long, size int, keys array<long>")
         .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "size", "keys")).alias("c"))
         .select("h1", "h2", F.struct("c.doc_id", "c.line_no").alias("id"), "c.size", "c.keys")
     )
@@ -109,14 +146,11 @@ def line_fates(docs: DataFrame, percent: int = 80) -> DataFrame:
     def verified(pairs: DataFrame) -> DataFrame:
         a = texts.select(F.col("id").alias("a"), F.col("line").alias("line_a"))
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("line_b"))
-        sets = F.struct(F.array_distinct(shingles(F.col("line_a"))).alias("x"), F.array_distinct(shingles(F.col("line_b"))).alias("y"))
-        counted = let(sets, lambda s: F.struct(
-            F.size(F.array_intersect(s["x"], s["y"])).alias("shared"), (F.size(s["x"]) + F.size(s["y"])).alias("both")
-        ))
-        found = pairs.join(b, "b").join(a, "a").select("a", "b", F.explode(F.array(counted)).alias("n"))
-        return stage(found.select(
-            "a", "b", (100 * F.col("n.shared") >= percent * (F.col("n.both") - F.col("n.shared"))).alias("linked")
-        ).distinct())
+        found = pairs.join(b, "b").join(a, "a").select("a", "b", "line_a", "line_b").mapInArrow(
+            overlaps, f"a struct<doc_id:{kind},line_no:int>, b struct<doc_id:{kind},line_no:int>, shared long, both long"
+        )
+        linked = 100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))
+        return stage(found.select("a", "b", linked.alias("linked")).distinct())
 
     joined = components_in_buckets(members, verified)
     first = classes.join(joined, classes["id"] == joined["node"], "left").select(

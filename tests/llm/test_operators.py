@@ -262,6 +262,20 @@ def test_lines_against_all_pairs(spark, odd, empty):
     assert lines.line_fates(empty).count() == lines.without_repeats(empty).count() == 0
 
 
+def test_long_lines_are_hashed_in_pieces(monkeypatch):
+    rng = random.Random(12)
+    texts = ["".join(rng.choice("abcdé😀 ") for _ in range(n)) for n in (0, 9, 39, 40, 41, 500, 3000)]
+    whole = lines.least_hashes(texts)
+    for step in (7, 64, 1000):
+        monkeypatch.setattr(lines, "STEP", step)
+        assert (lines.least_hashes(texts) == whole).all()
+    hashes = lines.window_hashes(texts[-1])
+    assert len(hashes) == 2992 and all(
+        whole[-1][k] == min((h >> 6 for h in hashes.tolist() if h % 64 == k), default=2**64 - 1) for k in range(64)
+    )
+    assert [len(k) for k in lines.band_keys(texts).to_pylist()][:3] == [0, 0, 0]
+
+
 def test_media_round_trip_and_store(spark, odd, empty):
     prepared(spark)
     rng = random.Random(10)
