@@ -29,19 +29,44 @@ LEAST = 32
 #: misses all with probability (1 - 0.8**4)**13, one in a thousand.
 BINS, ROWS, BANDS = 64, 4, 13
 #: Code points hashed at a time, so that memory does not grow with a line.
-STEP = 1 << 18
+STEP = 1 << 15
 EMPTY = np.iinfo(np.uint64).max
-FACTORS = mixed(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | np.uint64(1)
 NEXT = np.uint64(0x9E3779B97F4A7C15)
+BASE = 0xD6E8FEB86659FD93
 
 
 def window_hashes(text: str) -> np.ndarray:
-    """64-bit hashes of all runs of 9 code points."""
+    """64-bit hashes of all runs of 9 code points: a polynomial whose window doubles three times, then grows by one."""
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    h = np.zeros(max(0, len(codes) - SHINGLE + 1), np.uint64)
-    for k in range(SHINGLE):
-        h += codes[k : k + len(h)] * FACTORS[k]
-    return mixed(h)
+    if len(codes) < SHINGLE:
+        return np.empty(0, np.uint64)
+    h = codes
+    for width in (1, 2, 4):
+        h = h[:-width] * np.uint64(pow(BASE, width, 1 << 64)) + h[width:]
+    return mixed(h[:-1] * np.uint64(BASE) + codes[SHINGLE - 1 :])
+
+
+def distinct(hashes: np.ndarray) -> np.ndarray:
+    """The different hashes, sorted."""
+    ordered = np.sort(hashes)
+    fresh = np.ones(len(ordered), bool)
+    np.not_equal(ordered[1:], ordered[:-1], out=fresh[1:])
+    return ordered[fresh]
+
+
+def each_hashed(lines: list[str]) -> Iterator[np.ndarray]:
+    """The hashes of each line; short lines are hashed together."""
+    start = 0
+    while start < len(lines):
+        stop, size = start, 0
+        while stop < len(lines) and size < STEP:
+            size += len(lines[stop])
+            stop += 1
+        h, at = window_hashes("".join(lines[start:stop])), 0
+        for line in lines[start:stop]:
+            yield h[at : at + max(0, len(line) - SHINGLE + 1)]
+            at += len(line)
+        start = stop
 
 
 def least_hashes(lines: list[str]) -> np.ndarray:
@@ -95,12 +120,15 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     last, known = None, np.empty(0, np.uint64)
     for b in batches:
         shared, both = [], []
-        for line_a, line_b in zip(b["line_a"].to_pylist(), b["line_b"].to_pylist()):
+        lines_a, lines_b = b["line_a"].to_pylist(), b["line_b"].to_pylist()
+        fresh = [line for k, line in enumerate(lines_a) if line != (lines_a[k - 1] if k else last)]
+        of_a = each_hashed(fresh)
+        for line_a, of_b in zip(lines_a, each_hashed(lines_b)):
             if line_a != last:
-                last, known = line_a, np.unique(window_hashes(line_a))
-            other = np.unique(window_hashes(line_b))
+                last, known = line_a, distinct(next(of_a))
+            other = distinct(of_b)
             merged = np.sort(np.concatenate([known, other]))
-            shared.append(int((merged[1:] == merged[:-1]).sum()))
+            shared.append(np.count_nonzero(merged[1:] == merged[:-1]))
             both.append(len(merged))
         yield pa.RecordBatch.from_arrays(
             [b["a"], b["b"], pa.array(shared, pa.int64()), pa.array(both, pa.int64())], names=["a", "b", "shared", "both"]
