@@ -95,10 +95,15 @@ FILTER_BITS = 1 << 26
 
 
 def perhaps_among(rows: DataFrame, key: Sequence[str], members: DataFrame) -> DataFrame:
-    """Rows whose key may be one of the members', so that an exact join moves few others.
+    """Rows whose key may be one of the members', so that an exact join moves few others."""
+    return marked_among(rows, key, members, "_among").where("_among").drop("_among")
+
+
+def marked_among(rows: DataFrame, key: Sequence[str], members: DataFrame, name: str) -> DataFrame:
+    """``rows`` with a flag: false only where the key is none of the members'.
 
     One bit per hashed key, in bitmaps whose total size is fixed; that bound is
-    why they may be broadcast.  With very many members more rows pass, never fewer.
+    why they may be broadcast.  With very many members more rows are marked, never fewer.
     """
     place = F.pmod(F.xxhash64(*key), F.lit(FILTER_BITS))
     maps = members.groupBy(F.bitmap_bucket_number(place).alias("_map")).agg(
@@ -106,5 +111,6 @@ def perhaps_among(rows: DataFrame, key: Sequence[str], members: DataFrame) -> Da
     )
     at = F.bitmap_bit_position(place).cast("int")
     byte = F.conv(F.hex(F.substring(F.col("_bits"), F.floor(at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    marked = rows.withColumn("_map", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_map")
-    return marked.where(byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0).drop("_map", "_bits")
+    marked = rows.withColumn("_map", F.bitmap_bucket_number(place)).join(F.broadcast(maps), "_map", "left")
+    bit = byte.bitwiseAND(F.pow(F.lit(2), F.pmod(at, F.lit(8))).cast("int")) != 0
+    return marked.withColumn(name, F.coalesce(bit, F.lit(False))).drop("_map", "_bits")

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm.common import stage
+from gleanmill.llm.common import marked_among, stage
 
 MAGIC = b"WARC/1.1\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -45,22 +45,26 @@ def sha1_base32(payload: Column) -> Column:
 def with_roles(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
     """page_id, url, payload, digest, bytes, top: of equal payloads the page with the largest id is the response.
 
-    Payloads under ``least_bytes`` are all responses (top is null).  Pages that
-    share a payload are dealt out by a salt, the small side is repeated for it.
+    Payloads under ``least_bytes`` are all responses (top is null).  Only digests
+    are brought together; a payload moves where a bounded bitmap of the digests
+    found twice says that it may have equals.  Pages that share a payload are dealt
+    out by a salt, the small side is repeated for it.
     """
     keyed = pages.select(
         "page_id", "url", F.coalesce(F.col("html").cast("binary"), F.lit("").cast("binary")).alias("payload")
     ).select(
         "*", sha1_base32(F.col("payload")).alias("digest"), F.octet_length("payload").cast("long").alias("bytes"),
-        F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int").alias("salt"),
     )
-    shared = (
+    shared = stage(
         keyed.where(F.col("bytes") >= least_bytes)
         .groupBy("digest", "bytes").agg(F.max("page_id").alias("top"), F.count(F.lit(1)).alias("n"))
         .where("n > 1").drop("n")
-        .withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
-    return keyed.join(shared, ["digest", "bytes", "salt"], "left").drop("salt")
+    marked = marked_among(keyed, ["digest", "bytes"], shared, "met")
+    alone = marked.where("NOT met").drop("met").withColumn("top", F.lit(None).cast(pages.schema["page_id"].dataType))
+    salted = shared.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    meeting = marked.where("met").drop("met").withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)).cast("int"))
+    return alone.unionByName(meeting.join(salted, ["digest", "bytes", "salt"], "left").drop("salt"))
 
 
 def record_of(page: DataFrame, date: str) -> Column:
