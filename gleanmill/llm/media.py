@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanmill.llm.common import stage
+from gleanmill.llm.common import marked_among, perhaps_among, stage
 
 UNIT = 192
 LEAST, MOST, CUT_BITS = 256, 8192, 10
@@ -65,6 +65,12 @@ def chunk_ends(data: bytes) -> list[int]:
     return ends
 
 
+def chunks_of(payload: bytes) -> list[tuple[bytes, int]]:
+    """Digest and length of each chunk of a payload, in order."""
+    ends = chunk_ends(payload)
+    return [(hashlib.sha256(payload[a:b]).digest()[:20], b - a) for a, b in zip([0, *ends[:-1]], ends)]
+
+
 def payload_of(text: str | None) -> tuple[bytes, int]:
     """UTF-8 padded with blanks to a positive multiple of 192 bytes, and the size without padding."""
     data = (text or "").encode("utf-8", "surrogatepass")
@@ -120,13 +126,8 @@ def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return out
 
     for kind, doc_id, payload, n_bytes in each_text(batches):
-        ends = chunk_ends(payload)
-        starts = [0, *ends[:-1]]
-        rows.append((
-            doc_id, n_bytes, len(payload), hashlib.sha256(image_of(payload)).digest(),
-            [hashlib.sha256(payload[a:b]).digest()[:20] for a, b in zip(starts, ends)],
-            [b - a for a, b in zip(starts, ends)],
-        ))
+        digests, lengths = zip(*chunks_of(payload))
+        rows.append((doc_id, n_bytes, len(payload), hashlib.sha256(image_of(payload)).digest(), digests, lengths))
         if len(rows) >= 2000:
             yield batch()
     if rows:
@@ -156,6 +157,36 @@ def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 STORED = "media binary, payload_bytes long, own binary, chunks array<struct<digest binary, length int, owned boolean, shared boolean>>"
+CHUNK = pa.struct([("digest", pa.binary()), ("length", pa.int32()), ("owned", pa.bool_()), ("shared", pa.bool_())])
+
+
+def stored_whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Store rows of images that share no chunk: they own all of theirs."""
+    import zstandard
+
+    press = zstandard.ZstdCompressor(level=3)
+    rows: list[tuple] = []
+    size = 0
+
+    def batch():
+        types = (pa.binary(), pa.int64(), pa.binary(), pa.list_(CHUNK))
+        out = pa.RecordBatch.from_arrays(
+            [pa.array(c, t) for c, t in zip(zip(*rows), types)], names=["media", "payload_bytes", "own", "chunks"]
+        )
+        rows.clear()
+        return out
+
+    for _, _, payload, _ in each_text(batches):
+        chunks = [
+            {"digest": digest, "length": length, "owned": True, "shared": False} for digest, length in chunks_of(payload)
+        ]
+        rows.append((hashlib.sha256(image_of(payload)).digest(), len(payload), press.compress(payload), chunks))
+        size += len(rows[-1][2])
+        if size >= BATCH:
+            yield batch()
+            size = 0
+    if rows:
+        yield batch()
 
 
 def owned_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +221,21 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     blanks; repeated rows and equal texts share an image; an empty table gives an
     empty catalogue and store.  A chunk is owned by the image with the smallest
     digest among those that hold it, at its first place there.
+
+    Chunks are first counted by 64-bit hashes of their digests; documents none of
+    whose chunks come twice are stored where they are read, and only the others,
+    copies among them, meet in the joins.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     narrow = docs.select("doc_id", "text")
     catalogue = stage(narrow.mapInArrow(
         listed, f"doc_id {kind}, n_bytes long, payload_bytes long, media binary, digests array<binary>, lengths array<int>"
     ))
-    images = catalogue.groupBy("media").agg(
+    hashes = catalogue.select("doc_id", F.explode("digests").alias("digest")).select("doc_id", F.xxhash64("digest").alias("k"))
+    twice = stage(hashes.groupBy("k").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("k"))
+    meeting = stage(perhaps_among(hashes, ["k"], twice).join(twice, "k", "left_semi").select("doc_id").distinct())
+    # the flag goes by doc_id on both sides, so catalogue and texts agree on who meets
+    images = perhaps_among(catalogue, ["doc_id"], meeting).groupBy("media").agg(
         F.first("payload_bytes").alias("payload_bytes"), F.first("digests").alias("digests"), F.first("lengths").alias("lengths")
     )
     places = images.select(
@@ -215,8 +254,11 @@ def store_media(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         .groupBy("media").agg(F.first("payload_bytes").alias("payload_bytes"), F.sort_array(F.collect_list(F.struct("seq", "c"))).alias("list"))
         .select("media", "payload_bytes", F.col("list.c").alias("chunks"))
     )
-    packed = narrow.mapInArrow(compressed, "media binary, packed binary")
-    store = stage(lists.join(packed.hint("merge"), "media").select("media", "payload_bytes", "packed", "chunks").mapInArrow(owned_parts, STORED))
+    flagged = marked_among(narrow, ["doc_id"], meeting, "meets")
+    packed = flagged.where("meets").select("doc_id", "text").mapInArrow(compressed, "media binary, packed binary")
+    split = lists.join(packed.hint("merge"), "media").select("media", "payload_bytes", "packed", "chunks").mapInArrow(owned_parts, STORED)
+    alone = flagged.where("NOT meets").select("doc_id", "text").mapInArrow(stored_whole, STORED)
+    store = stage(split.unionByName(alone))
     return catalogue.select("doc_id", "n_bytes", "payload_bytes", "media"), store
 
 
@@ -245,7 +287,7 @@ def shared_chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(data, pa.binary())], names=["digest", "bytes"])
 
 
-REBUILT = "media binary, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+REBUILT = "media binary, payload binary, tail_crc32 long, media_bytes long, feature string"
 
 
 def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,14 +305,12 @@ def rebuilt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if hashlib.sha256(image).digest() != media:
                 raise ValueError("an image differs from its digest")
             samples = samples_of(image)
-            rows.append((
-                media, hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(image), media.hex(), feature_of(samples)
-            ))
-        types = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            rows.append((media, hashlib.sha256(samples).digest(), zlib.crc32(samples[-16:]), len(image), feature_of(samples)))
+        types = (pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.string())
         columns = list(zip(*rows)) or [()] * len(types)
         yield pa.RecordBatch.from_arrays(
             [pa.array(c, t) for c, t in zip(columns, types)],
-            names=["media", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+            names=["media", "payload", "tail_crc32", "media_bytes", "feature"],
         )
 
 
@@ -291,4 +331,8 @@ def read_media(store: DataFrame) -> DataFrame:
     fetched = wanted.join(chunks, "digest").groupBy("media").agg(F.collect_list(F.struct("seq", "bytes")).alias("fetched"))
     joined = parts.join(fetched, "media").select("media", "own", "chunks", "fetched")
     # the join that filled the store may have split the copies of an image between two tasks
-    return whole.unionByName(joined).mapInArrow(rebuilt, REBUILT).dropDuplicates(["media"])
+    once = whole.unionByName(joined).mapInArrow(rebuilt, REBUILT).dropDuplicates(["media"])
+    return once.select(
+        "media", F.lower(F.hex("payload")).alias("payload_sha256"), "tail_crc32", "media_bytes",
+        F.lower(F.hex("media")).alias("media_sha256"), "feature",
+    )
