@@ -72,31 +72,34 @@ def q_set_fill(spark, folder):
 
 
 @query("""
-WITH l AS (SELECT user_id AS crawl, day(ts)::BIGINT AS page, event_id AS pos, props AS url_key FROM events),
+WITH l AS (SELECT user_id AS crawl, day(ts)::BIGINT AS page, event_id AS pos, props AS url_key FROM events WHERE event_type <> 'error'),
+read AS (SELECT DISTINCT user_id AS crawl, day(ts)::BIGINT AS page FROM events),
 first AS (SELECT *, row_number() OVER (PARTITION BY crawl, url_key ORDER BY page, pos) = 1 AS fresh FROM l),
-pages AS (SELECT crawl, page, count(*) FILTER (fresh) AS n FROM first GROUP BY 1, 2),
+pages AS (SELECT crawl, page, count(*) FILTER (fresh) AS n FROM read LEFT JOIN first USING (crawl, page) GROUP BY 1, 2),
 stops AS (SELECT crawl, min(page) AS stop FROM pages WHERE n = 0 GROUP BY 1),
 open AS (SELECT f.* FROM first f LEFT JOIN stops s USING (crawl) WHERE fresh AND (stop IS NULL OR page < stop)),
 taken AS (SELECT *, row_number() OVER (PARTITION BY url_key ORDER BY crawl, page, pos) AS rn FROM open)
 SELECT url_key, crawl, page, pos FROM taken WHERE rn = 1""")
 def q_page_stop(spark, folder):
-    return W.frontier(_links(spark, folder))
+    return W.frontier(*_crawls(spark, folder))
 
 
-def _links(spark, folder):
-    """A user's days are the pages of one crawl, event properties the listed urls."""
-    return table(spark, folder, "events").select(
+def _crawls(spark, folder):
+    """Links and pages: a user's days are the pages of one crawl, properties the listed urls; an error lists none."""
+    events = table(spark, folder, "events").select(
         F.col("user_id").alias("crawl"), F.dayofmonth("ts").cast("long").alias("page"),
-        F.col("event_id").alias("pos"), F.col("props").alias("url_key"),
+        F.col("event_id").alias("pos"), F.col("props").alias("url_key"), "event_type",
     )
+    return events.where("event_type <> 'error'").drop("event_type"), events.select("crawl", "page")
 
 
 @query("""
-WITH l AS (SELECT user_id AS crawl, day(ts)::BIGINT AS page, event_id AS pos, props AS url_key FROM events),
+WITH l AS (SELECT user_id AS crawl, day(ts)::BIGINT AS page, event_id AS pos, props AS url_key FROM events WHERE event_type <> 'error'),
+read AS (SELECT DISTINCT user_id AS crawl, day(ts)::BIGINT AS page FROM events),
 first AS (SELECT *, row_number() OVER (PARTITION BY crawl, url_key ORDER BY page, pos) = 1 AS fresh FROM l)
-SELECT crawl, min(page) AS stop_page FROM (SELECT crawl, page, count(*) FILTER (fresh) AS n FROM first GROUP BY 1, 2) WHERE n = 0 GROUP BY 1""")
+SELECT crawl, min(page) AS stop_page FROM (SELECT crawl, page, count(*) FILTER (fresh) AS n FROM read LEFT JOIN first USING (crawl, page) GROUP BY 1, 2) WHERE n = 0 GROUP BY 1""")
 def q_stop_pages(spark, folder):
-    return W.page_stops(_links(spark, folder))
+    return W.page_stops(*_crawls(spark, folder))
 
 
 # ---- joins ------------------------------------------------------------------

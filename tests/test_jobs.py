@@ -263,6 +263,18 @@ def test_positions_in_a_hot_group(spark):
     assert [tuple(x) for x in spark.range(1).select(zipped).first()[0]] == [("a", 1), ("b", None)]
 
 
+def test_a_page_without_links_stops_its_crawl(spark):
+    from gleanmill.operators.frontier import frontier, page_stops
+
+    links = spark.createDataFrame(
+        [("a", 1, 0, "u1"), ("a", 3, 0, "u2"), ("b", 1, 0, "u1"), ("b", 2, 0, "u3")], "crawl string, page long, pos long, url_key string"
+    )
+    pages = spark.createDataFrame([("a", 1), ("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 3)], "crawl string, page long")
+    assert {tuple(r) for r in page_stops(links, pages).collect()} == {("a", 2), ("b", 3)}
+    assert {r.url_key: (r.crawl, r.page) for r in frontier(links, pages).collect()} == {"u1": ("a", 1), "u3": ("b", 2)}
+    assert {r.url_key for r in frontier(links).collect()} == {"u1", "u2", "u3"}
+
+
 def test_expected_pages_in_blocks(spark):
     totals = spark.createDataFrame([("a", 10_001, 1), ("b", 0, 10), ("c", 25, 10)], "k string, total long, page_size long")
     pages = J.expected_pages(totals, block=1000)
