@@ -33,7 +33,7 @@ def _sql_entities(value: str) -> str:
 _LINES = r"""[l for l in [regexp_replace(x, '^\s+|\s+$', '', 'g') for x in string_split_regex({0}, '\r?\n')] if l <> '']"""
 
 
-@query(f"""
+@query(rf"""
 WITH a AS (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(html, '<figure[\s\S]*?</figure>', chr(10), 'gi'),
     '<br\s*/?>', chr(10), 'gi'), '<[^>]+>', '', 'g') AS t FROM pages),
 b AS (SELECT page_id, {_sql_entities("t")} AS t FROM a)
@@ -42,7 +42,7 @@ def q_html_to_text(spark, folder):
     return table(spark, folder, "pages").select("page_id", X.html_to_text("html").alias("content"))
 
 
-@query(f"""
+@query(rf"""
 WITH a AS (SELECT doc_id, {_sql_trim("split_part(text, chr(10), 1)")} AS title, text, lang FROM documents),
 b AS (SELECT doc_id, title, {_LINES.format("title || chr(10) || lang || chr(10) || text")} AS l, lang FROM a),
 c AS (SELECT doc_id, l, list_position([x <> title AND x <> lang for x in l], true) AS p FROM b)
@@ -53,8 +53,8 @@ def q_body_text(spark, folder):
     return table(spark, folder, "documents").select("doc_id", X.body_to_text(body, title, "lang").alias("content"))
 
 
-@query(f"""
-SELECT page_id, {_sql_trim("regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')")} AS plain,
+@query(rf"""
+SELECT page_id, {_sql_trim(r"regexp_replace(regexp_replace(html, '<[^>]+>', '', 'g'), '\s+', ' ', 'g')")} AS plain,
     length(regexp_replace(html, '<span\b[^>]*>|</span>', '', 'gi')) AS kept FROM pages""")
 def q_strip_tags(spark, folder):
     return table(spark, folder, "pages").select(
@@ -67,7 +67,7 @@ for _old, _new in (("&lt;", "'<'"), ("&gt;", "'>'"), ("&quot;", "chr(34)"), ("&a
     _NAMED = f"replace({_NAMED}, '{_old}', {_new})"
 
 
-@query(f"""
+@query(rf"""
 SELECT page_id, chr((33 + page_id % 90)::INT) || '-' || chr((945 + page_id % 24)::INT) || {_NAMED} AS decoded,
     replace(replace(replace(replace(replace(replace(html, '&', '&amp;'), '&amp;amp;', '&amp;'), '&amp;lt;', '&lt;'),
         '&amp;gt;', '&gt;'), '&amp;quot;', '&quot;'), '&amp;apos;', '&apos;') AS escaped FROM pages""")
@@ -112,9 +112,9 @@ def q_authors(spark, folder):
     )
 
 
-@query(f"""
-SELECT doc_id, {_sql_trim("regexp_replace(regexp_replace(regexp_replace(text, '\s*[\r\n]+\s*', ' <br> ', 'g'), '\t+', ' ', 'g'), ' {{2,}}', ' ', 'g')")} AS tidy,
-    md5({_sql_trim("regexp_replace(text, '\s+', ' ', 'g')")}) AS one_line FROM documents""")
+@query(rf"""
+SELECT doc_id, {_sql_trim(r"regexp_replace(regexp_replace(regexp_replace(text, '\s*[\r\n]+\s*', ' <br> ', 'g'), '\t+', ' ', 'g'), ' {{2,}}', ' ', 'g')")} AS tidy,
+    md5({_sql_trim(r"regexp_replace(text, '\s+', ' ', 'g')")}) AS one_line FROM documents""")
 def q_text_cleanup(spark, folder):
     return table(spark, folder, "documents").select(
         "doc_id", X.text_cleanup("text").alias("tidy"), F.md5(X.one_line("text")).alias("one_line")
@@ -125,7 +125,7 @@ _ORIGIN = "regexp_extract(url, '^([a-z]+://[^/?#]+)', 1)"
 _PATH = "regexp_extract(url, '^[a-z]+://[^/?#]+([^?#]*)', 1)"
 
 
-@query(f"""
+@query(rf"""
 WITH u AS (SELECT page_id, url, {_ORIGIN} AS origin, {_PATH} AS path, regexp_extract(url, '#.*$') AS frag,
     CASE WHEN contains(url, '?') THEN regexp_extract(url, '\?([^#]*)', 1) ELSE '' END AS query FROM pages)
 SELECT page_id, origin, origin || path || (CASE WHEN query IN ('', 'ref=x') THEN '' ELSE '?' || replace(query, '&ref=x', '') END) || frag AS normal,
@@ -391,7 +391,7 @@ def q_file_rows(spark, folder):
     return rows.select("page_id", F.col("sort_order").cast("long").alias("sort_order"), "file_path", "file_ty", "mime_type", "file_name", "download_url")
 
 
-@query(f"""
+@query(rf"""
 WITH k AS (SELECT page_id, regexp_replace({_PATH}, '^/+', '') AS key FROM pages)
 SELECT page_id, key, CASE WHEN key = '' THEN 'empty' WHEN NOT contains(key, '/') THEN 'one segment'
     WHEN regexp_matches(key, '(^|/)\.{{0,2}}(/|$)') THEN 'bad segment' WHEN split_part(key, '/', 1) NOT IN ('en', 'fr') THEN 'prefix' END AS problem,
@@ -430,10 +430,10 @@ def _charrefs(value: str) -> str:
     return value
 
 
-@query(f"""
+@query(rf"""
 WITH t AS (SELECT page_id, {_charrefs("regexp_extract(html, '<title>([^<]*)</title>', 1)")} AS title,
     {_charrefs("regexp_extract(html, '<h1>([^<]*)</h1>', 1)")} AS head FROM pages)
-SELECT page_id, {_sql_trim("regexp_replace(title, '\s+', ' ', 'g')")} AS title, {_sql_trim("regexp_replace(head, '\s+', ' ', 'g')")} AS head FROM t
+SELECT page_id, {_sql_trim(r"regexp_replace(title, '\s+', ' ', 'g')")} AS title, {_sql_trim(r"regexp_replace(head, '\s+', ' ', 'g')")} AS head FROM t
 WHERE {_sql_trim("title")} <> ''""")
 def q_page_fields(spark, folder):
     """Recipe targets of each page's host; one recipe per host of the pages."""
