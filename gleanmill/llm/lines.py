@@ -5,13 +5,18 @@ its 9-character shingles that falls into the bin.  Four bins make a band, lines
 that agree in a band are candidates, candidates are linked by the exact Jaccard
 similarity of their shingle sets, and one line per component is kept.
 
+Small sets, whose bins would mostly be empty, meet by prefixes instead, which lose
+no pair: sets of n and m shingles of similarity p share one of the n - ceil(p n) + 1
+and m - ceil(p m) + 1 that come first in any order of all shingles.  The order
+puts common shingles last.
+
 Signatures and exact similarities are computed on Arrow batches: as expressions a
 lambda per code point alone costs more than the whole job may (see the README).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -23,8 +28,12 @@ from gleanmill.llm.components import components_in_buckets
 from gleanmill.llm.lm import mixed
 
 SHINGLE = 9
-#: Lines of fewer shingles have too few for a signature; they link with equal lines only.
+#: Lines of fewer shingles have too few for a signature; they meet others by prefixes.
+#: Lines under 9 characters have no shingle and link with equal lines only.
 LEAST = 32
+#: A shingle is common with more than one in so many of the small sets' shingles, so
+#: fewer than so many are common, which bounds what is broadcast.
+SHARE = 100_000
 #: Of 64 bins in 16 bands so many bands are used: at similarity 0.8 a pair
 #: misses all with probability (1 - 0.8**4)**13, one in a thousand.
 BINS, ROWS, BANDS = 64, 4, 13
@@ -99,7 +108,11 @@ def least_hashes(lines: list[str]) -> np.ndarray:
 
 def band_keys(lines: list[str]) -> pa.ListArray:
     """Per line one key for each band with a coordinate; none for lines without a signature."""
-    bands = least_hashes(lines)[:, : BANDS * ROWS].reshape(len(lines), BANDS, ROWS)
+    return banded(least_hashes(lines))
+
+
+def banded(least: np.ndarray) -> pa.ListArray:
+    bands = least[:, : BANDS * ROWS].reshape(len(least), BANDS, ROWS)
     keys = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), bands.shape[:2])
     for k in range(ROWS):
         keys = mixed(keys * NEXT + bands[:, :, k])
@@ -108,11 +121,53 @@ def band_keys(lines: list[str]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys[filled].view(np.int64), pa.int64()))
 
 
-def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def most_partners(percent: int) -> int:
+    """The largest set that can link with one too small for a signature."""
+    return (LEAST - 1) * 100 // percent
+
+
+def small_sets(lines: list[str], least: np.ndarray, most: int) -> pa.ListArray:
+    """Per line its different hashes if these are at most ``most``, else none."""
+    perhaps = (least != EMPTY).sum(axis=1) <= most
+    found = [np.empty(0, np.uint64)] * len(lines)
+    for i in np.flatnonzero(perhaps):
+        own, line = found[i], lines[i]
+        for k in range(0, len(line) - SHINGLE + 1, STEP):
+            own = distinct(np.concatenate([own, window_hashes(line[k : k + STEP + SHINGLE - 1])]))
+            if len(own) > most:
+                break
+        else:
+            found[i] = own
+    ends = np.cumsum([0, *map(len, found)]).astype(np.int32)
+    hashes = np.concatenate(found) if found else np.empty(0, np.uint64)
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64), pa.int64()))
+
+
+def signed(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     names = ["doc_id", "line_no", "h1", "h2", "size"]
-    for b in batches:
-        keys = band_keys(b["line"].to_pylist())
-        yield pa.RecordBatch.from_arrays([*(b[c] for c in names), keys], names=[*names, "keys"])
+
+    def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = b["line"].to_pylist()
+            least = least_hashes(lines)
+            yield pa.RecordBatch.from_arrays(
+                [*(b[c] for c in names), banded(least), small_sets(lines, least, most)], names=[*names, "keys", "few"]
+            )
+
+    return sign
+
+
+def prefixes(classes: DataFrame, percent: int) -> DataFrame:
+    """id, size, key of each class with a small set: the shingles that come first, common ones last."""
+    each = classes.select("id", "size", F.explode("few").alias("key"))
+    counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
+    common = counts.where((F.col("n") > 1) & (F.col("n") * SHARE > total))
+    placed = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")))
+    ordered = each.join(F.broadcast(common), "key", "left").groupBy("id", "size").agg(placed.alias("s"))
+    n = F.size("s")
+    first = F.slice("s", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
+    return ordered.select("id", "size", F.explode(first["key"]).alias("key"))
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -147,8 +202,9 @@ def line_fates(docs: DataFrame, percent: int = 80) -> DataFrame:
     """Per line with a word: doc_id, line_no, first_doc, first_line, kept.
 
     ``docs`` has doc_id and text; other columns are not read.  Equal lines are
-    one class; classes of at least 32 shingles link where their sets of
-    9-character shingles have a similarity of ``percent`` or more.  Of a component
+    one class; classes link where their sets of 9-character shingles have a
+    similarity of ``percent`` or more; lines under 9 characters have no shingle and
+    link with equal lines only.  Of a component
     the line with the smallest (doc_id, line_no) is kept; null ids come first.
     Null, empty and blank texts have no lines; repeated rows share ids and so
     their fate; an empty table gives no rows.  Texts move only for lines that
@@ -158,11 +214,15 @@ def line_fates(docs: DataFrame, percent: int = 80) -> DataFrame:
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = stage(
         lines.select("doc_id", "line_no", "h1", "h2", F.length("line").alias("size"), "line")
-        .mapInArrow(signed, f"doc_id {kind}, line_no int, h1 long, h2 long, size int, keys array<long>")
-        .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "size", "keys")).alias("c"))
-        .select("h1", "h2", F.struct("c.doc_id", "c.line_no").alias("id"), "c.size", "c.keys")
+        .mapInArrow(
+            signed(most_partners(percent)),
+            f"doc_id {kind}, line_no int, h1 long, h2 long, size int, keys array<long>, few array<long>",
+        )
+        .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "size", "keys", "few")).alias("c"))
+        .select("h1", "h2", F.struct("c.doc_id", "c.line_no").alias("id"), "c.size", "c.keys", "c.few")
     )
-    buckets = classes.select("id", "size", F.explode("keys").alias("key"))
+    short = stage(prefixes(classes, percent))
+    buckets = classes.select("id", "size", F.explode("keys").alias("key")).unionByName(short)
     several = stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
     members = perhaps_among(buckets, ["key"], several).join(several, "key").select("key", "id", "size")
     members = stage(members)

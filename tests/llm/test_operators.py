@@ -262,6 +262,25 @@ def test_lines_against_all_pairs(spark, odd, empty):
     assert lines.line_fates(empty).count() == lines.without_repeats(empty).count() == 0
 
 
+def test_short_lines_link(spark):
+    prepared(spark)
+    rng = random.Random(14)
+    rows = ["Subscribe to updates", "Subscribe to updates!", "tiny", "tiny!", "x" * 12, "x" * 300, "abcabcabcabc", "abc" * 90]
+    for _ in range(60):
+        base = "".join(rng.choice("abcdefghij ") for _ in range(rng.randrange(9, 60)))
+        rows += [base, base + rng.choice("xyz"), rng.choice("xyz") + base[1:], base + "some more of it"[: rng.randrange(15)]]
+    rows += ["Copyright 20" + str(k) for k in range(10, 60)]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    sets = [frozenset(t[k : k + 9] for k in range(len(t) - 8)) for t in rows]
+    links = [
+        (a, b) for a, b in itertools.combinations(range(len(rows)), 2)
+        if rows[a] == rows[b] or 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b]) > 0
+    ]
+    got = {r["doc_id"]: r["first_doc"] for r in lines.line_fates(docs).collect()}
+    assert got == smallest_reachable(range(len(rows)), links)
+    assert got[1] == 0 and got[3] == 3 and got[5] == 4
+
+
 def test_long_lines_are_hashed_in_pieces(monkeypatch):
     rng = random.Random(12)
     texts = ["".join(rng.choice("abcdé😀 ") for _ in range(n)) for n in (0, 9, 39, 40, 41, 500, 3000)]
