@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from gleanmill.llm import lines, mixing, neardup, packing, quality
 from gleanmill.llm.common import documents, prepared
-from gleanmill.llm.queries import public_vocabulary
+from gleanmill.llm.queries import public_specials, public_vocabulary
 from gleanmill.session import shared_dir
 
 
@@ -53,7 +53,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packed pieces with their ids."""
     prepared(spark)
-    return packing.pack(docs, *public_vocabulary())
+    return packing.pack(docs, *public_vocabulary(), specials=public_specials())
 
 
 STAGES = [

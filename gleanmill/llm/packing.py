@@ -28,13 +28,17 @@ BATCH = 500_000
 
 
 @lru_cache(maxsize=2)
-def encoder(ranks_path: str, pattern: str):
-    """Encoder of a byte-level BPE vocabulary given as ranks; the ids are those of its json form."""
+def encoder(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...] = ()):
+    """Encoder of a byte-level BPE vocabulary given as ranks; the ids are those of its json form.
+
+    ``specials`` are the json form's added tokens, which its default setting finds in texts;
+    without them such a text is encoded as any other.
+    """
     import tiktoken
 
     with open(ranks_path, "rb") as file:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -138,13 +142,15 @@ class Packer:
             yield from self.sequence(own)
 
 
-def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024) -> DataFrame:
+def pack(
+    docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024, specials: tuple[tuple[str, int], ...] = ()
+) -> DataFrame:
     """Pieces of documents in sequences of at most ``capacity`` ids.
 
     ``docs`` has doc_id and text; other columns are not read.  Returns per piece
     doc_id, start (ids of the document before it), length, ids (little-endian
     unsigned 32-bit), doc_tokens (with the end id), sequence_id and offset (place
-    in the sequence, without gaps).  Null and empty texts are documents of the
+    in the sequence, without gaps).  Texts of ``specials`` have their own id.  Null and empty texts are documents of the
     end id alone; null ids and repeated rows are documents of their own; an empty
     table gives no pieces.  Packing is a map over the partitions: no row moves,
     a task that is lost repeats its own, and sequence ids are its partition's
@@ -162,7 +168,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024) -
     ])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern).encode_to_numpy
+        encode = encoder(ranks_path, pattern, specials).encode_to_numpy
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         kinds = None
@@ -177,7 +183,7 @@ def pack(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = 1024) -
         for b in batches:
             kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids = np.append(encode(text or "", disallowed_special=()).astype("<u4"), end)
+                ids = np.append(encode(text or "", allowed_special="all", disallowed_special=()).astype("<u4"), end)
                 for row in packer.add(doc_id, ids):
                     rows.append(row)
                     size += row[2]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
 
@@ -182,9 +183,17 @@ def public_vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
 
 
+def public_specials() -> tuple[tuple[str, int], ...]:
+    """Added tokens of the vocabulary's json form, which it finds in texts by default."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return tuple((token["content"], token["id"]) for token in json.load(file)["added_tokens"])
+
+
 def op7_pack_sequences(spark: SparkSession, folder: str) -> DataFrame:
     ranks, pattern = public_vocabulary()
-    return packing.pack(documents(spark, folder), ranks, pattern).select(
+    return packing.pack(documents(spark, folder), ranks, pattern, specials=public_specials()).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
 

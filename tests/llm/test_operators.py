@@ -244,6 +244,32 @@ def test_packing_loses_nothing(spark, odd, empty):
     assert packing.pack(empty, *public_vocabulary()).count() == 0
 
 
+def test_packing_ids_are_the_default_json_ids(spark, tmp_path):
+    import numpy as np
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline
+    from gleanmill.llm.queries import op7_pack_sequences
+
+    prepared(spark)
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["<|endoftext|> x", "a <|endoftext|><|endoftext|>\n b", "a<|endoftext|>", "<|endoftext|", "x <|endoftext |>", "plain é😀", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    want = {i: own.encode(t or "", add_special_tokens=False).ids + [0] for i, t in enumerate(texts)}
+    assert want[0] == [50256, 2124, 0]
+    packed = corpus_pipeline.pack(spark, spark.read.parquet(str(tmp_path / "documents.parquet")), "").collect()
+    pieces = op7_pack_sequences(spark, str(tmp_path)).collect()
+    for i, ids in want.items():
+        mine = sorted((p for p in packed if p["doc_id"] == i), key=lambda p: p["start"])
+        assert np.concatenate([np.frombuffer(p["ids"], "<u4") for p in mine]).tolist() == ids
+        of_query = sorted((p for p in pieces if p["doc_id"] == i), key=lambda p: p["start"])
+        assert [p["ids_crc32"] for p in of_query] == [
+            zlib.crc32(np.array(ids[p["start"] : p["start"] + p["length"]], "<u4").tobytes()) for p in of_query
+        ]
+        assert {p["doc_tokens"] for p in of_query} == {len(ids)}
+
+
 def test_lines_against_all_pairs(spark, odd, empty):
     prepared(spark)
     rows = [(i, f"{t}\n{t[:200]}\nshort line") for i, t in varied(9, 60, 40, 3)]
