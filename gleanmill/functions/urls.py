@@ -284,6 +284,11 @@ def image_url_allowed(url: Col) -> Column:
 
 # ---- keys -------------------------------------------------------------------
 
+def riss_id(url: Col) -> Column:
+    """The record id a riss url carries; '' where it has none."""
+    return F.regexp_extract(col(url), "[?&]id=([A-Za-z0-9]+)", 1)
+
+
 def item_key(value: Col, length: int = 8) -> Column:
     return F.left(F.md5(col(value)), F.lit(length))
 

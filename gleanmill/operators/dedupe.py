@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gleanmill.functions.urls import riss_id
+
 
 def _names(keys: str | Sequence[str]) -> list[str]:
     return [keys] if isinstance(keys, str) else list(keys)
@@ -72,12 +74,24 @@ def ordered_distinct(rows: DataFrame, keys: str | Sequence[str], value: str, seq
     return firsts.groupBy(*names).agg(F.transform(gathered, lambda e: e["_value"]).alias(name), F.min("_seq").alias(seq))
 
 
+def with_url_key(items: DataFrame) -> DataFrame:
+    """Items with ``_url``: the url whose shortened digest is the source id, null where the service gave the id.
+
+    Different urls may share the 12 characters, so items are the same only if this agrees too.
+    """
+    if "detail_url" not in items.columns:
+        return items.withColumn("_url", F.lit(None).cast("string"))
+    return items.withColumn("_url", F.when((F.col("source") == "riss") & (riss_id("detail_url") == ""), F.col("detail_url")))
+
+
 def merge_by_source_id(items: DataFrame, seq: str = "seq") -> DataFrame:
     """First item per (source, source_id) kept whole, keywords gathered in arrival order.
 
+    Source ids that are shortened digests count with their whole url.
+
     The wide items are shuffled once, by their unique place.
     """
-    words = ordered_distinct(items, ["source", "source_id"], "matched_keyword", seq, "matched_keywords")
+    words = ordered_distinct(with_url_key(items), ["source", "source_id", "_url"], "matched_keyword", seq, "matched_keywords")
     return items.join(words.select(seq, "matched_keywords"), seq)
 
 

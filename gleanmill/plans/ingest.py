@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from gleanmill.functions.text import publisher_normalise, title_suffix
 from gleanmill.functions.urls import item_key
-from gleanmill.operators.dedupe import ordered_distinct
+from gleanmill.operators.dedupe import ordered_distinct, with_url_key
 from gleanmill.operators.joins import attach_translations, join_covers
 from gleanmill.operators.rollups import counters
 from gleanmill.operators.verdicts import (
@@ -33,7 +33,7 @@ def decisions(items: DataFrame, stored: DataFrame | None, store: DataFrame, repl
     The first reason to drop is the one counted.  Only the short fields the
     rules and keys need go through the joins.
     """
-    words = ordered_distinct(items, ["source", "source_id"], "matched_keyword", "seq", "matched_keywords")
+    words = ordered_distinct(with_url_key(items), ["source", "source_id", "_url"], "matched_keyword", "seq", "matched_keywords")
     short = items.select("seq", "source", "source_id", "title", "publisher", "sub_category", "material_type")
     merged = short.join(words.select("seq", "matched_keywords"), "seq").withColumns({
         "register_no": register_no(),

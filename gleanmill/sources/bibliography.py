@@ -27,6 +27,7 @@ from gleanmill.functions.text import (
     trimmed,
     volume_label,
 )
+from gleanmill.functions.urls import riss_id
 from gleanmill.functions.values import alias_pick, coded, json_entries, member, pick_by_lang, text_entries
 from gleanmill.operators.once import evaluated_once
 from gleanmill.rules.cascades import article_or_thesis
@@ -106,7 +107,7 @@ def riss(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _records(parsed, problem.isNull(), F.col("x.metadata"))
     r = lambda name: F.col("r")[name]
     url = trimmed(r("url"))
-    own_id = F.regexp_extract(url, "[?&]id=([A-Za-z0-9]+)", 1)
+    own_id = riss_id(url)
     kinds = F.when(F.col("kind") == "T", "thesis").when(F.col("kind") == "U", "book").otherwise("article")
     items = _bib(
         rows, "riss",

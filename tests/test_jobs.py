@@ -253,6 +253,19 @@ def test_order_does_not_matter(spark):
     assert {(r.source_id, r.seq, r.matched_keyword) for r in last.where("source_id = 'k0'").collect()} == {("k0", 0, "w2")}
 
 
+def test_urls_of_one_short_digest_stay_apart(spark):
+    rows = [
+        ("riss", "0123456789ab", "http://r/x", "w1", 1), ("riss", "0123456789ab", "http://r/y", "w2", 2), ("riss", "0123456789ab", "http://r/x", "w3", 3),
+        ("riss", "A1", "http://r/l?id=A1", "w1", 4), ("riss", "A1", "http://r/m?id=A1", "w2", 5), ("kci", "K", "http://k/1", "w1", 6), ("kci", "K", "http://k/2", "w2", 7),
+    ]
+    items = spark.createDataFrame(rows, "source string, source_id string, detail_url string, matched_keyword string, seq long")
+    got = {r.seq: r.matched_keywords for r in U.merge_by_source_id(items).collect()}
+    assert got == {1: ["w1", "w3"], 2: ["w2"], 4: ["w1", "w2"], 6: ["w1", "w2"]}
+    records = [bib(k, source="riss", source_id="0123456789ab", detail_url=f"http://r/{k % 2}") for k in range(4)]
+    decided = ingest.decisions(spark.createDataFrame(records, BIB_SCHEMA), None, spark.createDataFrame([], VERDICT), spark.createDataFrame([], REPLY))
+    assert {r.seq.pos for r in decided.collect()} == {0, 1}
+
+
 def test_positions_in_a_hot_group(spark):
     rows = spark.range(3000).select(F.when(F.col("id") % 10 < 9, "hot").otherwise(F.concat(F.lit("g"), (F.col("id") % 40).cast("string"))).alias("g"), ((F.col("id") * 7919) % 3001).alias("o"))
     got = B.with_position(rows, ["o"], ["g"]).toPandas().sort_values(["g", "o"])
