@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gleanmill.functions.patterns import SPACE_CHARS, java
 from gleanmill.functions.text import Col, bound, col, decode_entities, strip_tags, text_of, trimmed
@@ -107,16 +109,72 @@ def json_text(value: Column, depth: int = 2) -> Column:
     )
 
 
+def _parsed(text: str | None):
+    """The object or array a text holds if it nests over two levels; else None."""
+    if text is None or text[:1] not in ("{", "[") or text.count("{") + text.count("[") < 3:
+        return None
+    try:
+        value = json.loads(text, strict=False, parse_int=str, parse_float=str)
+    except (ValueError, RecursionError):
+        return None
+
+    level, depth = [value], 0
+    while level := [x for x in level if isinstance(x, (dict, list))]:
+        level, depth = [y for x in level for y in (x.values() if isinstance(x, dict) else x)], depth + 1
+    return value if depth > 2 else None
+
+
+def _leaves(value) -> Iterator[str]:
+    if isinstance(value, (dict, list)):
+        for member in value.values() if isinstance(value, dict) else value:
+            yield from _leaves(member)
+    else:
+        yield "" if value is None else str(value).lower() if isinstance(value, bool) else value
+
+
+def _gathered(value, texts: Iterator[str]) -> str:
+    """As json_text at any depth; ``texts`` are the clean leaves in order."""
+    if isinstance(value, list):
+        return ", ".join([t for v in value if (t := _gathered(v, texts))])
+    if isinstance(value, dict):
+        members = {k: _gathered(v, texts) for k, v in value.items()}
+        return next((members[k] for k in TEXT_KEYS if members.get(k)), " ".join(t for t in members.values() if t))
+    return next(texts)
+
+
+@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
+def _deep_leaves(values):
+    """Per value its leaves where it nests over two levels; null where no value does."""
+    found = [None if (v := _parsed(t)) is None else list(_leaves(v)) for t in values or []]
+    return found if any(f is not None for f in found) else None
+
+
+@F.udf(T.ArrayType(T.StringType()))
+def _deep_texts(values, leaves):
+    if leaves is None:
+        return None
+    return [None if own is None else _gathered(_parsed(t), iter(own)) for t, own in zip(values, leaves)]
+
+
 def text_entries(entries: Column) -> Column:
-    """json_entries with every value flattened to text, once for all later picks."""
-    return F.transform(
-        entries, lambda e: F.struct(e["k"].alias("k"), e["nk"].alias("nk"), json_text(e["v"]).alias("v"))
+    """json_entries with every value flattened to text, once for all later picks.
+
+    Values of more than two levels are walked in Python, their leaves cleaned as all others.
+    """
+    values = F.transform(entries, lambda e: e["v"])
+    clean = F.transform(_deep_leaves(values), lambda own: F.transform(own, lambda t: F.coalesce(_plain_text(t), F.lit(""))))
+    deep = F.coalesce(_deep_texts(values, clean), F.array().cast("array<string>"))
+    return F.zip_with(
+        entries, deep,
+        lambda e, t: F.struct(e["k"].alias("k"), e["nk"].alias("nk"), F.coalesce(t, json_text(e["v"])).alias("v")),
     )
 
 
 def alias_pick(texts: Column, aliases: Sequence[str]) -> Column:
     """First non-blank text among aliases, in alias order, over text_entries."""
-    found = F.filter(_members(texts, aliases), lambda v: v.isNotNull() & (v != ""))
+    # bound, since no Python function may stand inside a lambda
+    members = bound(texts, lambda t: _members(t, aliases))
+    found = F.filter(members, lambda v: v.isNotNull() & (v != ""))
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
 
 

@@ -201,6 +201,18 @@ def test_values(spark):
     assert evaluate(spark, ["123456789x", "1234567890123", "12", None], A.isbn_valid("v")) == [True, True, False, False]
 
 
+def test_texts_of_any_depth(spark):
+    deep = "5"
+    for _ in range(20):
+        deep = '{"a":' + deep + "}"
+    records = [
+        '{"title":{"a":{"b":{"c":"deep"}}}}', '{"title":[["x",[{"q":" ","name":{"ko":["<b>a</b> &amp;  b"]}}]],{"z":{"y":[true,1.50,null]}}]}',
+        '{"title":{"name":{"ko":{"a":" "}},"text":{"b":{"c":{"d":"t"}}}}}', '{"title":{"ko":"flat"}}', '{"title":' + deep + "}", "bad",
+    ]
+    got = evaluate(spark, records, A.alias_pick(A.text_entries(A.json_entries("v")), ["title"]))
+    assert got == ["deep", "x, a & b, true, 1.5", "t", "flat", "5", ""]
+
+
 def test_files(spark):
     got = evaluate(spark, ["s3://b/a.JPG?x", "a.hwp", "a.do", "a"], A.file_kind("v"), A.mime_type("v"), A.mime_type("v", A.OFFICE_OVERRIDES))
     octet = A.UNKNOWN_MIME
