@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import chat, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
+from gleanmill.llm import centroids, chat, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
 from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
@@ -274,14 +274,53 @@ SELECT doc_id, coalesce(n, 0) AS n_shingles, component_id, doc_id = component_id
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS component_id FROM reached GROUP BY node) USING (doc_id)
 """
 
+
+def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
+    return centroids.clustered(documents(spark, folder, "embeddings"))
+
+
+def clustering_sql(size: int, clusters: int, rounds: int, seed: int) -> str:
+    """Lloyd rounds by measuring every vector against every centroid, one set of expressions per round."""
+    steps = [f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS row, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS e
+  FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(CAST(x AS DOUBLE)))) = {size}
+), c0 AS MATERIALIZED (
+  SELECT CAST(row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) - 1 AS INT) AS k, e AS c
+  FROM v QUALIFY row_number() OVER (ORDER BY sha256('{seed}:' || vec_id)) <= {clusters}
+)"""]
+    for n in range(rounds + 1):
+        steps.append(f""", a{n} AS MATERIALIZED (
+  SELECT row, any_value(vec_id) AS vec_id, any_value(e) AS e,
+    min({{'d': CAST(list_sum(list_transform(list_zip(e, c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), 'k': k}}) AS near
+  FROM v, c{n} GROUP BY row
+)""")
+        if n < rounds:
+            steps.append(f""", m{n} AS (
+  SELECT k, i, sum(x) AS s, count(*) AS n FROM (SELECT near.k AS k, unnest(e) AS x, generate_subscripts(e, 1) AS i FROM a{n}) GROUP BY k, i
+), c{n + 1} AS MATERIALIZED (
+  SELECT k, coalesce(moved, c) AS c FROM c{n} LEFT JOIN (
+    SELECT k, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS moved FROM m{n} GROUP BY k) USING (k)
+)""")
+    return "".join(steps) + f"""
+SELECT vec_id, near.k AS cluster, near.d AS distance, CAST(sum(near.d) OVER (PARTITION BY near.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(near.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} ON k = near.k
+"""
+
+
+OP13_SQL = clustering_sql(centroids.SIZE, centroids.CLUSTERS, centroids.ROUNDS, 2)
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op6_lm_score,
-        op7_pack_sequences, op8_line_dedup, op9_media_chunks, op10_near_duplicates,
+        op7_pack_sequences, op8_line_dedup, op9_media_chunks, op10_near_duplicates, op13_centroid_clusters,
     )
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL, "op3_warc_pages": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
     "op8_line_dedup": OP8_SQL, "op10_near_duplicates": OP10_SQL,
+    "op13_centroid_clusters": OP13_SQL,
 }
