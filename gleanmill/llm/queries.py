@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import centroids, chat, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
+from gleanmill.llm import centroids, chat, licenses, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
 from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
@@ -275,6 +275,10 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS comp
 """
 
 
+def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, folder)).drop("spans")
+
+
 def op13_centroid_clusters(spark: SparkSession, folder: str) -> DataFrame:
     return centroids.clustered(documents(spark, folder, "embeddings"))
 
@@ -316,7 +320,8 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op6_lm_score,
-        op7_pack_sequences, op8_line_dedup, op9_media_chunks, op10_near_duplicates, op13_centroid_clusters,
+        op7_pack_sequences, op8_line_dedup, op9_media_chunks, op10_near_duplicates,
+        op12_license_scan, op13_centroid_clusters,
     )
 }
 SQL: dict[str, str] = {
