@@ -9,7 +9,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleanmill.llm import centroids, chat, licenses, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
+from gleanmill.llm import centroids, chat, licenses, lines, lm, media, mixing, neardup, packing, prefixes, quality, toxicity, warc
 from gleanmill.llm.common import documents, held_out
 from gleanmill.session import shared_dir
 
@@ -275,6 +275,54 @@ FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node AS doc_id, min(seen) AS comp
 """
 
 
+def op11_prefix_trie(spark: SparkSession, folder: str) -> DataFrame:
+    turns = prefixes.numbered_turns(documents(spark, folder, "conversations"))
+    return prefixes.prefix_trie(prefixes.spliced_turns(turns))
+
+
+# crc32 of the decimal id, by the reflected polynomial, bit by bit
+OP11_SQL = r"""
+WITH RECURSIVE ids AS (
+  SELECT DISTINCT conv_id AS c, CAST(conv_id AS VARCHAR) AS s FROM conversations WHERE conv_id IS NOT NULL
+), crc AS (
+  SELECT c, s, 1 AS i, 4294967295 AS v FROM ids
+  UNION ALL
+  SELECT c, s, i + 1, list_reduce([xor(v, CAST(ord(s[i]) AS BIGINT)), 0, 0, 0, 0, 0, 0, 0, 0],
+    lambda a, b: CASE WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)
+  FROM crc WHERE i <= length(s)
+), h AS (
+  SELECT c, c - c % 5 AS b, xor(v, 4294967295) % 9 AS h FROM crc WHERE i = length(s) + 1
+), t AS (
+  SELECT conv_id AS c, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k
+  FROM conversations WHERE conv_id IS NOT NULL
+), r AS (
+  SELECT h.c, k, role, text FROM h JOIN t ON t.c = h.b WHERE k <= h
+  UNION ALL SELECT h.c, k, role, text FROM h JOIN t ON t.c = h.c WHERE k > h
+), q AS MATERIALIZED (
+  SELECT c, row_number() OVER (PARTITION BY c ORDER BY k) AS d, strlen(text) AS w,
+    list({'role': role, 'text': text}) OVER (PARTITION BY c ORDER BY k) AS path FROM r
+  UNION ALL SELECT c, 0, 0, [] FROM h
+), top AS (
+  SELECT c, max(d) AS n FROM q GROUP BY c
+), nodes AS MATERIALIZED (
+  SELECT row_number() OVER () AS node, path, d, min(c) AS id, count(*) AS n, any_value(w) AS w,
+    coalesce(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) FILTER (WHERE n = d), '') AS ends
+  FROM q JOIN top USING (c) GROUP BY path, d
+), line AS (
+  SELECT a.node AS node, b.node AS below, b.n AS n, b.w AS w, b.d = a.d + 1 AS child
+  FROM nodes a JOIN nodes b ON b.d >= a.d AND b.path[1:a.d] = a.path
+), family AS (
+  SELECT node, count(*) FILTER (WHERE child) AS n_children, sum((n - 1) * w) AS saved FROM line GROUP BY node
+), leaves AS (
+  SELECT line.node AS node, count(*) AS n_leaves FROM line JOIN family f ON f.node = line.below WHERE f.n_children = 0 GROUP BY 1
+)
+SELECT a.id AS conv_id, a.d AS depth, p.id AS parent_conv_id, a.n AS n_convs, n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, sha256(a.ends) AS ends_sha256
+FROM nodes a JOIN family USING (node) JOIN leaves USING (node) LEFT JOIN nodes p ON p.d = a.d - 1 AND p.path = a.path[1:a.d - 1]
+"""
+
+
 def op12_license_scan(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.license_scan(documents(spark, folder)).drop("spans")
 
@@ -321,11 +369,11 @@ QUERIES: dict[str, Query] = {
     for f in (
         op1_chat_format, op2_toxicity, op3_warc_pages, op4_mix_sources, op5_quality_lines, op6_lm_score,
         op7_pack_sequences, op8_line_dedup, op9_media_chunks, op10_near_duplicates,
-        op12_license_scan, op13_centroid_clusters,
+        op11_prefix_trie, op12_license_scan, op13_centroid_clusters,
     )
 }
 SQL: dict[str, str] = {
     "op1_chat_format": OP1_SQL, "op3_warc_pages": OP3_SQL, "op4_mix_sources": OP4_SQL, "op5_quality_lines": OP5_SQL,
     "op8_line_dedup": OP8_SQL, "op10_near_duplicates": OP10_SQL,
-    "op13_centroid_clusters": OP13_SQL,
+    "op11_prefix_trie": OP11_SQL, "op13_centroid_clusters": OP13_SQL,
 }
