@@ -1,8 +1,10 @@
 """Six bibliographic services to one record shape.
 
 Input is a table of captured responses (schemas.CAPTURE): one row per page of a
-request.  Each service yields records and errors; a bad envelope becomes an
-error row instead of silent nulls.
+request.  Each service reads a page once and gives one frame of records and
+problems: a bad envelope becomes a row with a message instead of silent nulls,
+with the whole reply unless ``error_chars`` asks for its start.  ``split`` parts
+the frame into items and errors.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ from gleanmill.functions.urls import riss_id
 from gleanmill.functions.values import alias_pick, coded, json_entries, member, pick_by_lang, text_entries
 from gleanmill.operators.once import evaluated_once
 from gleanmill.rules.cascades import article_or_thesis
+from gleanmill.session import cut_lineage
 
 KEEP = ["request_no", "page", "kind", "keyword"]
 
@@ -43,21 +46,29 @@ def _seq(pos: str = "pos") -> Column:
     return F.struct("request_no", "page", F.col(pos).alias("pos"))
 
 
+def _shown(body: Column | str, most: int | None) -> Column:
+    """The reply an error row quotes: all of it, or its first characters."""
+    whole = F.col(body) if isinstance(body, str) else body
+    return whole if most is None else F.left(whole, F.lit(most))
+
+
 def _bib(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
-    """Project onto the common record; fields not given are null."""
+    """Project onto the common record, fields not given being null; a problem has its message alone."""
     made = {"source": F.lit(source), "matched_keyword": F.col("keyword"), "seq": _seq(), **fields}
-    out = [made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in S.BIB_FIELDS.items()]
-    return rows.select(*out).where("title <> '' and source_id <> ''")
+    own = [made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in S.BIB_FIELDS.items()]
+    return rows.select(*KEEP, "message", *own).where("message IS NOT NULL OR title <> '' AND source_id <> ''")
 
 
-def _errors(parsed: DataFrame, source: str, problem: Column) -> DataFrame:
-    return parsed.where(problem.isNotNull()).select(
-        F.lit(source).alias("source"), *KEEP, problem.alias("message")
-    )
+def _records(parsed: DataFrame, problem: Column, records: Column) -> DataFrame:
+    """A row per record of a good page, one row per page with a problem."""
+    opened = parsed.select(*KEEP, problem.alias("message"), F.posexplode_outer(F.when(problem.isNull(), records)).alias("pos", "r"))
+    return opened.where("message IS NOT NULL OR r IS NOT NULL")
 
 
-def _records(parsed: DataFrame, ok: Column, records: Column) -> DataFrame:
-    return parsed.where(ok).select(*KEEP, F.posexplode(records).alias("pos", "r"))
+def split(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Items and errors of what the services read."""
+    items = rows.where("message IS NULL").select(*S.BIB_FIELDS)
+    return items, rows.where("message IS NOT NULL").select("source", *KEEP, "message")
 
 
 def _root(body: Column, tag: str) -> Column:
@@ -67,18 +78,18 @@ def _root(body: Column, tag: str) -> Column:
 
 # ---- the six services -------------------------------------------------------
 
-def kci(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def kci(captures: DataFrame, error_chars: int | None = None) -> DataFrame:
     # the root element is not part of the schema
     parsed = evaluated_once(_captures(captures, "kci"), "x", F.from_xml("body", S.KCI_RESPONSE))
     good = _root(F.col("body"), "MetaData") & F.col("x.outputData").isNotNull()
-    problem = F.when(~F.coalesce(good, F.lit(False)), F.concat(F.lit("outputData missing: "), F.left(strip_tags("body"), F.lit(200))))
-    rows = _records(parsed, good, F.col("x.outputData.record"))
+    problem = F.when(~F.coalesce(good, F.lit(False)), F.concat(F.lit("outputData missing: "), _shown(strip_tags("body"), error_chars)))
+    rows = _records(parsed, problem, F.col("x.outputData.record"))
     info, journal = F.col("r.articleInfo"), F.col("r.journalInfo")
     titles, abstracts = info["title-group"]["article-title"], info["abstract-group"]["abstract"]
     authors = info["author-group"]["author"]
     names = cleaned(F.transform(authors, lambda a: F.coalesce(a["_VALUE"], F.lit(""))))
     english = cleaned(F.transform(authors, lambda a: F.coalesce(a["_english"], F.lit(""))))
-    items = _bib(
+    return _bib(
         rows, "kci",
         source_id=trimmed(info["_article-id"]),
         title=pick_by_lang(titles, "original"),
@@ -94,22 +105,21 @@ def kci(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         summary_en=blank_to_null(pick_by_lang(abstracts, "english")),
         author_en=blank_to_null(F.array_join(english, ", ")),
     )
-    return items, _errors(parsed, "kci", problem)
 
 
-def riss(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def riss(captures: DataFrame, error_chars: int | None = None) -> DataFrame:
     parsed = evaluated_once(_captures(captures, "riss"), "x", F.from_xml("body", S.RISS_RESPONSE))
     has_head = _root(F.col("body"), "record") & F.col("x.head").isNotNull()
     code = F.coalesce("x.head.Error", F.lit("0"))
     problem = F.when(
-        ~F.coalesce(has_head, F.lit(False)), F.concat(F.lit("head missing: "), F.left("body", F.lit(200)))
+        ~F.coalesce(has_head, F.lit(False)), F.concat(F.lit("head missing: "), _shown("body", error_chars))
     ).when(code != "0", F.concat(F.lit("["), code, F.lit("]: "), text_of("x.head.ErrorMessage")))
-    rows = _records(parsed, problem.isNull(), F.col("x.metadata"))
+    rows = _records(parsed, problem, F.col("x.metadata"))
     r = lambda name: F.col("r")[name]
     url = trimmed(r("url"))
     own_id = riss_id(url)
     kinds = F.when(F.col("kind") == "T", "thesis").when(F.col("kind") == "U", "book").otherwise("article")
-    items = _bib(
+    return _bib(
         rows, "riss",
         source_id=F.when(url == "", "").when(own_id != "", own_id).otherwise(F.left(F.md5(url), F.lit(12))),
         title=trimmed(r("riss.title")),
@@ -121,24 +131,23 @@ def riss(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         isbn=blank_to_null(r("riss.isbn")),
         material_type=kinds,
     )
-    return items, _errors(parsed, "riss", problem)
 
 
-def ntis(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def ntis(captures: DataFrame, error_chars: int | None = None) -> DataFrame:
     repaired = strip_highlight(escape_bare_amp("body"))
     parsed = evaluated_once(evaluated_once(_captures(captures, "ntis"), "xml", repaired), "x", F.from_xml("xml", S.NTIS_RESPONSE))
     is_result = _root(F.col("xml"), "RESULT")
     parsed_any = F.coalesce("x.TOTALHITS", "x.resMsg").isNotNull() | F.col("x.RESULTSET").isNotNull()
     problem = (
         F.when(_root(F.col("xml"), "error"), F.concat(F.lit("error reply: "), strip_tags("xml")))
-        .when(~is_result | ~F.coalesce(parsed_any, F.lit(False)), F.concat(F.lit("bad reply: "), F.left("body", F.lit(200))))
+        .when(~is_result | ~F.coalesce(parsed_any, F.lit(False)), F.concat(F.lit("bad reply: "), _shown("body", error_chars)))
         .when(text_of("x.resMsg") != "", F.concat(F.lit("error reply: "), F.col("x.resMsg")))
     )
-    rows = _records(parsed, problem.isNull(), F.col("x.RESULTSET.HIT"))
+    rows = _records(parsed, problem, F.col("x.RESULTSET.HIT"))
     r = lambda name: F.col("r")[name]
     tag_free = lambda name: strip_tags(r(name))
     either = lambda a, b: F.when(tag_free(a) != "", tag_free(a)).otherwise(tag_free(b))
-    items = _bib(
+    return _bib(
         rows, "ntis",
         source_id=either("ResearchPublicNo", "TermSn"),
         title=strip_tags(r("ResultTitle")["Korean"]),
@@ -153,11 +162,10 @@ def ntis(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         title_en=blank_to_null(strip_tags(r("ResultTitle")["English"])),
         summary_en=blank_to_null(strip_tags(r("Abstract")["English"])),
     )
-    return items, _errors(parsed, "ntis", problem)
 
 
-def losi(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """JSON whose ``result`` may be an object or a list."""
+def losi(captures: DataFrame, error_chars: int | None = None, keywords: int | None = None) -> DataFrame:
+    """JSON whose ``result`` may be an object or a list; ``keywords`` limits those that stand for a missing journal."""
     body = F.col("body")
     wrap = F.coalesce(
         F.get_json_object(body, "$.result[0]"), F.get_json_object(body, "$.result"), body
@@ -165,21 +173,21 @@ def losi(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
     parsed = evaluated_once(_captures(captures, "losi"), "w", F.when(F.try_parse_json("body").isNotNull(), wrap))
     error = F.coalesce(F.get_json_object("w", "$.error"), F.get_json_object("body", "$.error"))
     first = F.coalesce(F.get_json_object(error, "$[0]"), error)
-    problem = F.when(F.col("w").isNull(), F.concat(F.lit("bad reply: "), F.left("body", F.lit(200)))).when(
+    problem = F.when(F.col("w").isNull(), F.concat(F.lit("bad reply: "), _shown("body", error_chars))).when(
         error.isNotNull(),
         F.concat(
             F.lit("["), text_of(F.get_json_object(first, "$.code")), F.lit("]: "),
-            F.coalesce(F.get_json_object(first, "$.message"), F.left(error, F.lit(150))),
+            F.coalesce(F.get_json_object(first, "$.message"), _shown(error, error_chars)),
         ),
     )
     listed = F.from_json(F.get_json_object("w", "$.searchList"), S.LOSI_LIST)
-    rows = _records(parsed, problem.isNull(), listed)
+    rows = _records(parsed, problem, listed)
     r = lambda name: F.col("r")[name]
     plain = lambda c: trimmed(decode_entities(c))
     names = cleaned(F.transform(r("authorList"), lambda a: decode_entities(a["name"])))
     words = cleaned(F.transform(r("keywordList"), lambda k: decode_entities(k["name"])))
     kinds = F.when(F.col("kind") == "THESIS", "thesis").when(F.col("kind") == "BOOK", "book").otherwise("article")
-    items = _bib(
+    return _bib(
         rows, "losi",
         source_id=trimmed(r("lodID")),
         title=plain(r("title")),
@@ -187,29 +195,28 @@ def losi(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         author=F.coalesce(local_names(names), F.lit("")),
         publish_year=year_of(r("pubYear")),
         sub_category=F.coalesce(
-            F.nullif(plain(r("journal")["title"]), F.lit("")), blank_to_null(F.array_join(F.slice(words, 1, 5), ", "))
+            F.nullif(plain(r("journal")["title"]), F.lit("")), blank_to_null(F.array_join(words if keywords is None else F.slice(words, 1, keywords), ", "))
         ),
         summary=blank_to_null(r("abstractCont")),
         detail_url=blank_to_null(r("url")),
         material_type=kinds,
     )
-    return items, _errors(parsed, "losi", problem)
 
 
-def kisti(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
+def kisti(captures: DataFrame, error_chars: int | None = None) -> DataFrame:
     parsed = evaluated_once(_captures(captures, "kisti"), "x", F.from_xml("body", S.KISTI_RESPONSE))
     good = _root(F.col("body"), "MetaData") & (
         F.col("x.resultSummary").isNotNull() | F.col("x.recordList").isNotNull() | F.col("x.errorDetail").isNotNull()
     )
     code = F.col("x.errorDetail.errorCode")
     problem = F.when(
-        ~F.coalesce(good, F.lit(False)), F.concat(F.lit("MetaData missing: "), F.left("body", F.lit(200)))
+        ~F.coalesce(good, F.lit(False)), F.concat(F.lit("MetaData missing: "), _shown("body", error_chars))
     ).when(text_of(code) != "", F.concat(F.lit("["), code, F.lit("]: "), text_of("x.errorDetail.errorMessage")))
-    rows = _records(parsed, problem.isNull(), F.col("x.recordList.record"))
+    rows = _records(parsed, problem, F.col("x.recordList.record"))
     f = lambda name: coded(F.col("r")["item"], name)
     or_else = lambda a, b: F.coalesce(F.nullif(f(a), F.lit("")), F.nullif(f(b), F.lit("")))
     optional = lambda name: F.nullif(f(name), F.lit(""))
-    items = _bib(
+    return _bib(
         rows, "kisti",
         source_id=f("CN"),
         title=f("Title"),
@@ -225,7 +232,6 @@ def kisti(captures: DataFrame) -> tuple[DataFrame, DataFrame]:
         summary_en=optional("Abstract2"),
         author_en=optional("Author2"),
     )
-    return items, _errors(parsed, "kisti", problem)
 
 
 # Names under which the encyclopedia may answer.
@@ -289,13 +295,13 @@ def ency_eid(entries: Column) -> Column:
     return F.when(own != "", own).otherwise(by_url)
 
 
-def encykorea(captures: DataFrame, details: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def encykorea(captures: DataFrame, details: DataFrame | None = None, error_chars: int | None = None) -> DataFrame:
     """Schema-tolerant JSON; ``details`` (eid, body) overlays list rows that need it."""
     parsed = evaluated_once(
         _captures(captures, "encykorea"), "payload", F.when(F.try_parse_json("body").isNotNull(), _unwrap(F.col("body")))
     )
-    problem = F.when(F.col("payload").isNull(), F.concat(F.lit("bad reply: "), F.left("body", F.lit(200))))
-    rows = _records(parsed, problem.isNull(), ency_records(F.col("payload")))
+    problem = F.when(F.col("payload").isNull(), F.concat(F.lit("bad reply: "), _shown("body", error_chars)))
+    rows = _records(parsed, problem, ency_records(F.col("payload")))
     rows = evaluated_once(rows, "e", text_entries(json_entries("r"))).withColumn("eid", ency_eid(F.col("e")))
     if details is not None:
         wanted = evaluated_once(details, "_d", text_entries(json_entries(ency_article(F.col("body"))))).select(
@@ -309,7 +315,7 @@ def encykorea(captures: DataFrame, details: DataFrame | None = None) -> tuple[Da
     e = F.col("e")
     rows = evaluated_once(rows, "_url", alias_pick(e, URL_KEYS))
     kind_and_nature = F.array(alias_pick(e, TYPE_KEYS), alias_pick(e, NATURE_KEYS))
-    items = _bib(
+    return _bib(
         rows, "encykorea",
         source_id=F.col("eid"),
         title=alias_pick(e, TITLE_KEYS),
@@ -322,7 +328,6 @@ def encykorea(captures: DataFrame, details: DataFrame | None = None) -> tuple[Da
         detail_url=F.when(F.col("_url") != "", F.col("_url")).otherwise(F.concat(F.lit(ENCY_ORIGIN + "/Article/"), "eid")),
         material_type=F.lit("article"),
     )
-    return items, _errors(parsed, "encykorea", problem)
 
 
 def needs_detail(entries: Column) -> Column:
@@ -338,14 +343,18 @@ def needs_detail(entries: Column) -> Column:
 SERVICES = {"kci": kci, "riss": riss, "ntis": ntis, "losi": losi, "kisti": kisti, "encykorea": encykorea}
 
 
-def harvest(captures: DataFrame, sources: tuple[str, ...] = tuple(SERVICES)) -> tuple[DataFrame, DataFrame]:
-    """All services in one record frame, and their errors in one error frame."""
-    items = errors = None
+def harvest_rows(captures: DataFrame, sources: tuple[str, ...] = tuple(SERVICES), error_chars: int | None = None) -> DataFrame:
+    """What all services read, records and problems in one frame."""
+    rows = None
     for source in sources:
-        got, bad = SERVICES[source](captures)
-        items = got if items is None else items.unionByName(got)
-        errors = bad if errors is None else errors.unionByName(bad)
-    return items, errors
+        read = SERVICES[source](captures, error_chars=error_chars)
+        rows = read if rows is None else rows.unionByName(read)
+    return rows
+
+
+def harvest(captures: DataFrame, sources: tuple[str, ...] = tuple(SERVICES)) -> tuple[DataFrame, DataFrame]:
+    """All services in one record frame, and their errors in one error frame; replies are parsed once for both."""
+    return split(cut_lineage(harvest_rows(captures, sources)))
 
 
 def reported_totals(captures: DataFrame) -> DataFrame:

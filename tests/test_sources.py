@@ -120,7 +120,7 @@ def test_six_services(spark):
     ntis = rows["TRKO1"]
     assert (ntis.title, ntis.title_en, ntis.publish_year, ntis.sub_category, ntis.author, ntis.summary) == ("국가R&D와 DMZ", "R&D", "2019", "생태, 습지", "박다", None)
     losi = rows["KDM1"]
-    assert (losi.title, losi.author, losi.publish_year, losi.sub_category, losi.summary, losi.material_type) == ("DMZ · 평화", "홍길동", "2018", "k0, k1, k2, k3, k4", None, "thesis")
+    assert (losi.title, losi.author, losi.publish_year, losi.sub_category, losi.summary, losi.material_type) == ("DMZ · 평화", "홍길동", "2018", "k0, k1, k2, k3, k4, k5, k6", None, "thesis")
     kisti = rows["DIKO7"]
     assert (kisti.title, kisti.publisher, kisti.publish_year, kisti.author, kisti.material_type, kisti.title_en) == ("DMZ 논문", "저널", "2017", "나", "thesis", "DMZ paper")
     ency = rows["E0012345"]
@@ -141,12 +141,16 @@ def test_bad_envelopes(spark):
     messages = sorted((r.source, r.request_no) for r in errors.collect())
     assert [n for _, n in messages] == [8, 0, 7, 5, 6, 3, 4, 1, 2] or len(messages) == 9
     assert {r.message for r in errors.collect()} >= {"[9]: no key", "[E1]: bad", "[E4103]: token", "error reply: denied"}
+    long = captured(spark, ("kisti", "", "<html>" + "x" * 5000), ("losi", "ARTI", LOSI))
+    assert [len(r.message) for r in B.kisti(long).collect()] == [len("MetaData missing: ") + 5006]
+    assert [len(r.message) for r in B.kisti(long, error_chars=200).collect()] == [len("MetaData missing: ") + 200]
+    assert [r.sub_category for r in B.losi(long, keywords=5).collect()] == ["k0, k1, k2, k3, k4"]
 
 
 def test_ency_details_and_totals(spark):
     listed = json.dumps({"items": [{"eid": "E0000001", "title": "가"}, {"eid": "E0000002", "title": "나", "summary": "s", "writer": "w", "field": "f", "year": "2001"}]}, ensure_ascii=False)
     details = spark.createDataFrame([("e0000001", '{"article": {"summary": "상세", "title": ""}}'), ("E0000002", '{"article": {"summary": "무시"}}')], "eid string, body string")
-    items, _ = B.encykorea(captured(spark, ("encykorea", "", listed)), details)
+    items, _ = B.split(B.encykorea(captured(spark, ("encykorea", "", listed)), details))
     rows = {r.source_id: r for r in items.collect()}
     # the overlaid title is blank, and a blank title drops the record
     assert set(rows) == {"E0000002"} and rows["E0000002"].summary == "s"
