@@ -54,7 +54,8 @@ def _shown(body: Column | str, most: int | None) -> Column:
 
 def _bib(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
     """Project onto the common record, fields not given being null; a problem has its message alone."""
-    made = {"source": F.lit(source), "matched_keyword": F.col("keyword"), "seq": _seq(), **fields}
+    known = F.col("message").isNull()
+    made = {"source": F.lit(source), "matched_keyword": F.col("keyword"), "seq": _seq(), **{k: F.when(known, v) for k, v in fields.items()}}
     own = [made.get(name, F.lit(None)).cast(kind).alias(name) for name, kind in S.BIB_FIELDS.items()]
     return rows.select(*KEEP, "message", *own).where("message IS NOT NULL OR title <> '' AND source_id <> ''")
 
