@@ -6,6 +6,7 @@ so an origin that holds most rows is still rewritten in small parts.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +47,11 @@ def insert_new(rows: DataFrame, path: str, key: str, origin: str = "origin_id",
     return new
 
 
+def append_rows(rows: DataFrame, path: str, key: str, origin: str = "origin_id", buckets: int = BUCKETS) -> None:
+    """Append rows whose keys are known to be new, without a look at the table."""
+    rows.withColumn("bucket", bucket_of(key, buckets)).write.mode("append").partitionBy(origin, "bucket").parquet(path)
+
+
 def upsert(rows: DataFrame, path: str, key: str, origin: str = "origin_id", buckets: int = BUCKETS) -> None:
     """Overwrite rows of the same (origin, key), add the others.
 
@@ -86,19 +92,78 @@ def rewrite_changed(path: str, changes: DataFrame, key: str, fields: Sequence[st
     staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(origin, "bucket").parquet(path)
 
 
+#: Buckets of a verdict store, and deltas of a bucket that are merged into one.
+VERDICT_BUCKETS, DELTAS = 16, 8
+
+
+def read_verdicts(spark: SparkSession, path: str, as_of: Column | None = None, expiring: Sequence[str] = ("news",)) -> DataFrame | None:
+    """The verdicts of a store, one per key, without those that have expired; None before its first flush.
+
+    Deltas that overlap, as a compaction that was cut short leaves them, agree
+    after that, so a reader never sees a verdict twice or none.
+    """
+    stored = read_table(spark, path)
+    if stored is None:
+        return None
+    kept = latest_verdicts(stored)
+    return kept if as_of is None else kept.where(~F.col("classifier").isin(*expiring) | fresh(as_of))
+
+
 def flush_verdicts(path: str, new: DataFrame, as_of: Column, expiring: Sequence[str] = ("news",)) -> bool:
-    """Add new verdicts, one per key, and prune expired ones; nothing is written without news."""
-    new = cut_lineage(new)
-    if new.isEmpty():
+    """Add new verdicts as a delta: what is written and read is in proportion to the news.
+
+    One verdict per key; expired ones are left out.  The delta is one Spark
+    append, so a flush that fails adds nothing and loses nothing.  Without news
+    nothing is written.
+    """
+    kept = latest_verdicts(new).where(~F.col("classifier").isin(*expiring) | fresh(as_of))
+    rows = cut_lineage(kept.withColumn("bucket", bucket_of("key", VERDICT_BUCKETS)))
+    if rows.isEmpty():
         return False
-    stored = read_table(new.sparkSession, path)
-    merged = new if stored is None else stored.unionByName(new)
-    kept = latest_verdicts(merged).where(~F.col("classifier").isin(*expiring) | fresh(as_of))
-    staged = cut_lineage(kept)
-    staged.write.mode("overwrite").partitionBy("classifier").parquet(path)
+    _append_delta(rows, path)
     return True
 
 
+def _append_delta(rows: DataFrame, path: str) -> str:
+    name = uuid.uuid4().hex
+    rows.withColumn("delta", F.lit(f"d{name}")).repartition("classifier", "bucket").write.mode("append").partitionBy(
+        "classifier", "bucket", "delta"
+    ).parquet(path)
+    return name
+
+
+def compact_verdicts(path: str, spark: SparkSession, as_of: Column, most: int = DELTAS, expiring: Sequence[str] = ("news",)) -> int:
+    """Merge the deltas of buckets that have more than ``most``; returns how many buckets.
+
+    A bucket's verdicts are first written as one new delta, expired ones left out,
+    and only then are the deltas they came from deleted.  A run that dies between
+    leaves both, which read the same; no other bucket is touched.
+    """
+    stored = read_table(spark, path)
+    if stored is None:
+        return 0
+    deltas = stored.select("classifier", "bucket", "delta").distinct()
+    full = deltas.groupBy("classifier", "bucket").agg(F.collect_list("delta").alias("deltas")).where(F.size("deltas") > most)
+    # names of folders, a bounded number of deltas for each of a fixed number of buckets
+    old = [(r["classifier"], r["bucket"], r["deltas"]) for r in full.collect()]
+    if not old:
+        return 0
+    chosen = stored.join(F.broadcast(full.select("classifier", "bucket")), ["classifier", "bucket"], "left_semi")
+    merged = latest_verdicts(chosen).where(~F.col("classifier").isin(*expiring) | fresh(as_of))
+    _append_delta(cut_lineage(merged.withColumn("bucket", bucket_of("key", VERDICT_BUCKETS))), path)
+    for classifier, bucket, names in old:
+        for name in names:
+            remove_folder(spark, f"{path}/classifier={classifier}/bucket={bucket}/delta={name}")
+    return len(old)
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of a table where the table lives."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def write_run_logs(logs: DataFrame, path: str) -> None:
     logs.withColumn("date", F.date_format("startedAt", "yyyy-MM-dd")).write.mode("append").partitionBy(
         "configId", "date"

@@ -27,11 +27,13 @@ def _month_folder(path: Column) -> Column:
     return F.regexp_extract(path, r"/(\d{6})/[^/]+\z", 1)
 
 
-def scan_news_xml(spark: SparkSession, root: str, month: str | None = None) -> DataFrame:
+def scan_news_xml(spark: SparkSession, root: str, month: str | None = None, files: str = "*.[xX][mM][lL]") -> DataFrame:
     """Every article file of the YYYYMM folders, or of one month.
 
     The month is a path glob, so other folders are not listed.  ``seq`` is
-    (month, file name), the order the archive was written in.
+    (month, file name), the order the archive was written in.  A file may hold
+    several articles; what cannot be read becomes a row with its text in
+    ``_corrupt_record``, the others of the file are read all the same.
     """
     path = FILE
     folder = month or "[0-9][0-9][0-9][0-9][0-9][0-9]"
@@ -40,7 +42,9 @@ def scan_news_xml(spark: SparkSession, root: str, month: str | None = None) -> D
         .option("rowTag", "YNewsML")
         .option("mode", "PERMISSIVE")
         .option("columnNameOfCorruptRecord", "_corrupt_record")
-        .option("pathGlobFilter", "*.[xX][mM][lL]")
+        # record by record: the other parser gives up a file at its first damaged article
+        .option("useLegacyXMLParser", True)
+        .option("pathGlobFilter", files)
         .schema(NEWS_XML)
         .load(f"{root}/{folder}/")
         .select(
@@ -99,6 +103,7 @@ def rss_reader(reader, path: str) -> DataFrame:
     return (
         reader.format("xml")
         .option("rowTag", "item")
+        .option("useLegacyXMLParser", True)
         .option("columnNameOfCorruptRecord", "_corrupt_record")
         .schema(RSS_ITEM)
         .load(path)

@@ -1,6 +1,7 @@
 import json
 import os
 
+import pytest
 from pyspark.sql import functions as F
 
 from gleanmill.operators import dedupe as U
@@ -204,7 +205,43 @@ def test_verdict_flush(spark, tmp_path):
     assert K.flush_verdicts(path, rows(("news", "a", "true", "llm", "")), at("2026-01-02"))
     newer = rows(("news", "b", "true", "llm", ""), ("publisher", "p", "GOV", "llm", "")).withColumn("decided_at", at("2026-03-01"))
     assert K.flush_verdicts(path, newer, at("2026-03-02"))
-    assert sorted((r.classifier, r.key) for r in spark.read.parquet(path).collect()) == [("news", "b"), ("publisher", "p")]
+    assert sorted((r.classifier, r.key) for r in K.read_verdicts(spark, path, at("2026-03-02")).collect()) == [("news", "b"), ("publisher", "p")]
+
+
+def test_verdict_store_grows_by_deltas(spark, tmp_path):
+    path = str(tmp_path / "v")
+    at = lambda d: F.to_timestamp(F.lit(d))
+    rows = lambda day, *r: spark.createDataFrame([(*x, "llm", "") for x in r], "classifier string, key string, value string, by string, reason string").withColumn("decided_at", at(day))
+    K.flush_verdicts(path, rows("2026-01-01", *[("news", f"k{i}", "true") for i in range(300)], ("publisher", "p", "GOV")), at("2026-01-01"))
+    files = lambda: {os.path.join(d, f) for d, _, fs in os.walk(path) for f in fs if f.endswith(".parquet")}
+    before = files()
+    K.flush_verdicts(path, rows("2026-01-03", ("news", "k7", "false")), at("2026-01-03"))
+    assert before <= files() and len(files() - before) == 1  # one key, one file, nothing rewritten
+    read = lambda day: {(r.classifier, r.key): r.value for r in K.read_verdicts(spark, path, at(day)).collect()}
+    want = read("2026-01-03")
+    assert len(want) == 301 and want["news", "k7"] == "false"
+    # a flush that fails on the way adds nothing
+    broken = rows("2026-01-04", ("news", "x", "true")).withColumn("value", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception):
+        K.flush_verdicts(path, broken, at("2026-01-04"))
+    assert read("2026-01-03") == want
+    for n in range(4):
+        K.flush_verdicts(path, rows("2026-01-05", ("news", "k7", f"v{n}") if n == 3 else ("publisher", "p", "GOV")), at("2026-01-05"))
+    # a compaction that dies before it deletes leaves the same verdicts
+    want, removed = read("2026-01-05"), K.remove_folder
+    K.remove_folder = lambda *_: (_ for _ in ()).throw(OSError("gone"))
+    try:
+        with pytest.raises(OSError):
+            K.compact_verdicts(path, spark, at("2026-01-05"), most=2)
+    finally:
+        K.remove_folder = removed
+    assert read("2026-01-05") == want
+    untouched = {f for f in files() if "bucket=" in f}
+    assert K.compact_verdicts(path, spark, at("2026-01-05"), most=2) == 2
+    assert read("2026-01-05") == want and untouched & files()
+    assert len(files()) < len(untouched)
+    # expiry is by the verdict's own time, at the reader and at the next merge
+    assert set(read("2030-01-01")) == {("publisher", "p")}
 
 
 def test_small_sinks(spark, tmp_path):
@@ -334,6 +371,29 @@ def test_search(spark):
     assert [(r.id, r.total) for r in page] == [(1, 3)]
 
 
+def items_of(spark, landing):
+    from gleanmill.functions.urls import article_identity
+
+    return N.articles_from_rss(N.rss_reader(spark.read, landing)).withColumn("identity", article_identity("guid", "link"))
+
+
+def test_stream_reads_news_only(spark, tmp_path):
+    """Rows a batch reads depend on what is new, not on the table's history."""
+    landing, table, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "cp")
+    item = "<item><title>DMZ {i}</title><link>https://n.example/{i}</link><guid>A{i}</guid></item>"
+    verdicts = lambda: (nothing(spark, VERDICT), nothing(spark, REPLY))
+    read = []
+    for n in range(3):
+        write(f"{landing}/{n}.xml", "<rss>" + "".join(item.format(i=i) for i in range(n * 20, n * 20 + 25)) + "</rss>")
+        query = feed.poll(spark, landing, table, checkpoint, 25, verdicts, every=None)
+        query.awaitTermination()
+        read.append(sum(p["numInputRows"] for p in query.recentProgress))
+    stored = [r.identity for r in spark.read.parquet(table).collect()]
+    assert sorted(stored) == sorted(f"A{i}" for i in range(65))
+    # the last poll reads its 25 items and the 20 rows the poll before it stored
+    assert read[2] <= read[1] <= 50
+
+
 def test_stream_equals_batch(spark, tmp_path):
     landing, table, checkpoint = str(tmp_path / "in"), str(tmp_path / "table"), str(tmp_path / "cp")
     os.makedirs(landing)
@@ -351,6 +411,11 @@ def test_stream_equals_batch(spark, tmp_path):
     # a fresh checkpoint replays everything and adds nothing: history is the table
     feed.poll(spark, landing, table, str(tmp_path / "cp2"), 25, verdicts, every=None).awaitTermination()
     assert spark.read.parquet(table).count() == 2
+    # a batch that is tried again adds nothing
+    before = spark.read.parquet(table).count()
+    offers = items_of(spark, landing).withColumn("again", F.lit(False))
+    feed.batch_writer(table, 25, verdicts, checkpoint)(offers, 0)
+    assert spark.read.parquet(table).count() == before
     # an unread reply kept nothing out: the dropped item is still judged each time, and batch agrees
     items = N.articles_from_rss(N.rss_reader(spark.read, landing)).withColumn("seq", F.struct("captured_at", "capture", "link"))
     judged = collect.judged_articles(items, None, *verdicts())

@@ -54,6 +54,15 @@ def test_news_xml(spark, archive):
     second = rows[("202603", "AKR20260305000200.XML")]
     assert second.writer == "이다라" and second.reg_dt is not None
     assert N.articles_from_xml(N.scan_news_xml(spark, archive, month="202604")).count() == 1
+    one_month = N.scan_news_xml(spark, archive, month="202604")
+    assert all("/202604/" in name for name in one_month.inputFiles()) and len(one_month.inputFiles()) == 3
+    # a damaged article does not take the others of its file with it
+    parts = [ARTICLE.format(id=f"P{i}", date="20260501", title=f"제목 {i}", writer="").split("?>", 1)[1] for i in range(4)]
+    parts[1] = parts[1].replace("</Header>", "</Head>")
+    write(f"{archive}/202605/many.xml", "<Feed>" + "\n".join(parts) + "</Feed>")
+    many = N.scan_news_xml(spark, archive, month="202605")
+    assert sorted(r.guid for r in N.articles_from_xml(many).collect()) == ["P0", "P2", "P3"]
+    assert [r.problem for r in N.news_xml_errors(many).collect()] == ["unreadable"]
     problems = {r.problem for r in N.news_xml_errors(scanned).collect()}
     assert "no title" in problems and len(problems) >= 1
 
