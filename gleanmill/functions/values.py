@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from gleanmill.functions.patterns import SPACE_CHARS, java
 from gleanmill.functions.text import Col, bound, col, decode_entities, strip_tags, text_of, trimmed
@@ -82,97 +80,75 @@ def _plain_text(value: Column) -> Column:
     return F.when(value.rlike(java(r"[<&]|\s")), full).otherwise(value)
 
 
-def _joined(values: Column, glue: str, flatten) -> Column:
-    return F.array_join(F.filter(F.transform(values, flatten), lambda t: t != ""), glue)
+#: Stands before a text that came out of a container, so that it is not cleaned again.
+CLEAN = "\ue000"
+# A JSON container without another one in it; strings are passed over whole.
+INNERMOST = r'[\[{][^\[\]{}"]*+(?:"[^"\\]*+(?:\\.[^"\\]*+)*+"[^\[\]{}"]*+)*+[\]}]'
 
 
-def json_text(value: Column, depth: int = 2) -> Column:
-    """Text of a JSON value: arrays joined by ', ', objects by a preferred key or by ' '."""
-    plain = F.coalesce(_plain_text(value), F.lit(""))
-    if depth == 0:
-        return plain
+def _leaf(value: Column) -> Column:
+    text = F.coalesce(value, F.lit(""))
+    done = F.startswith(text, F.lit(CLEAN))
+    return F.when(done, F.substring(text, 2, 1 << 30)).otherwise(F.coalesce(_plain_text(text), F.lit("")))
 
-    def inner(v: Column) -> Column:
-        return json_text(F.coalesce(v, F.lit("")), depth - 1)
 
-    def of_object(members: Column) -> Column:
-        keys = F.filter(F.array(*[F.lit(key) for key in TEXT_KEYS]), lambda k: F.map_contains_key(members, k))
-        by_key = F.filter(F.transform(keys, lambda k: inner(F.try_element_at(members, k))), lambda t: t != "")
-        return F.coalesce(F.try_element_at(by_key, F.lit(1)), _joined(F.map_values(members), " ", inner))
+def _flat_text(container: Column) -> Column:
+    """Text of a container of plain members: arrays joined by ', ', objects by a preferred key or by ' '."""
 
-    as_list = bound(F.from_json(value, "array<string>"), lambda items: _joined(items, ", ", inner))
-    as_object = bound(F.from_json(value, "map<string,string>"), of_object)
-    return (
-        F.when(F.startswith(value, F.lit("[")), F.coalesce(as_list, plain))
-        .when(F.startswith(value, F.lit("{")), F.coalesce(as_object, plain))
-        .otherwise(plain)
-    )
+    def joined(values: Column, glue: str) -> Column:
+        return F.array_join(F.filter(F.transform(values, _leaf), lambda t: t != ""), glue)
 
+    def of_object(members: Column) -> Column:
+        keys = F.filter(F.array(*[F.lit(key) for key in TEXT_KEYS]), lambda k: F.map_contains_key(members, k))
+        by_key = F.filter(F.transform(keys, lambda k: _leaf(F.try_element_at(members, k))), lambda t: t != "")
+        return F.coalesce(F.try_element_at(by_key, F.lit(1)), joined(F.map_values(members), " "))
 
-def _parsed(text: str | None):
-    """The object or array a text holds if it nests over two levels; else None."""
-    if text is None or text[:1] not in ("{", "[") or text.count("{") + text.count("[") < 3:
-        return None
-    try:
-        value = json.loads(text, strict=False, parse_int=str, parse_float=str)
-    except (ValueError, RecursionError):
-        return None
+    of_list = joined(F.from_json(container, "array<string>"), ", ")
+    as_object = bound(F.from_json(container, "map<string,string>"), of_object)
+    return F.coalesce(F.when(F.startswith(container, F.lit("[")), of_list).otherwise(as_object), F.lit(""))
 
-    level, depth = [value], 0
-    while level := [x for x in level if isinstance(x, (dict, list))]:
-        level, depth = [y for x in level for y in (x.values() if isinstance(x, dict) else x)], depth + 1
-    return value if depth > 2 else None
 
+def _quoted(text: Column) -> Column:
+    """A text as a JSON string."""
+    listed = F.to_json(F.array(text))
+    return F.substring(listed, F.lit(2), F.length(listed) - 2)
 
-def _leaves(value) -> Iterator[str]:
-    if isinstance(value, (dict, list)):
-        for member in value.values() if isinstance(value, dict) else value:
-            yield from _leaves(member)
-    else:
-        yield "" if value is None else str(value).lower() if isinstance(value, bool) else value
 
+def _opens(value: Column) -> Column:
+    return F.startswith(value, F.lit("{")) | F.startswith(value, F.lit("["))
 
-def _gathered(value, texts: Iterator[str]) -> str:
-    """As json_text at any depth; ``texts`` are the clean leaves in order."""
-    if isinstance(value, list):
-        return ", ".join([t for v in value if (t := _gathered(v, texts))])
-    if isinstance(value, dict):
-        members = {k: _gathered(v, texts) for k, v in value.items()}
-        return next((members[k] for k in TEXT_KEYS if members.get(k)), " ".join(t for t in members.values() if t))
-    return next(texts)
 
+def json_text(value: Column) -> Column:
+    """Text of a JSON value of any depth: arrays joined by ', ', objects by a preferred key or by ' '.
 
-@F.udf(T.ArrayType(T.ArrayType(T.StringType())))
-def _deep_leaves(values):
-    """Per value its leaves where it nests over two levels; null where no value does."""
-    found = [None if (v := _parsed(t)) is None else list(_leaves(v)) for t in values or []]
-    return found if any(f is not None for f in found) else None
+    The innermost containers become strings, all of them in one step, until the
+    value is a string itself; so the steps are as many as the value is deep.
+    """
 
+    def step(text: Column) -> Column:
+        inner = F.transform(
+            F.regexp_extract_all(text, F.lit(INNERMOST), F.lit(0)), lambda c: _quoted(F.concat(F.lit(CLEAN), _flat_text(c)))
+        )
+        pieces = F.split(text, INNERMOST, -1)
+        return F.array_join(F.zip_with(pieces, inner, lambda p, i: F.concat(p, F.coalesce(i, F.lit("")))), "")
 
-@F.udf(T.ArrayType(T.StringType()))
-def _deep_texts(values, leaves):
-    if leaves is None:
-        return None
-    return [None if own is None else _gathered(_parsed(t), iter(own)) for t, own in zip(values, leaves)]
+    # no value is deeper than it has opening brackets
+    most = F.length(value) - F.length(F.translate(value, "{[", ""))
+    string = F.aggregate(F.sequence(F.lit(1), most), value, lambda text, _: F.when(_opens(text), step(text)).otherwise(text))
+    flat = F.substring(F.get(F.from_json(F.concat(F.lit("["), string, F.lit("]")), "array<string>"), F.lit(0)), 2, 1 << 30)
+    whole = F.when(
+        F.startswith(value, F.lit("[")), F.from_json(value, "array<string>").isNotNull()
+    ).otherwise(F.from_json(value, "map<string,string>").isNotNull())
+    return F.when(_opens(value) & whole, F.coalesce(flat, F.lit(""))).otherwise(_leaf(value))
 
 
 def text_entries(entries: Column) -> Column:
-    """json_entries with every value flattened to text, once for all later picks.
-
-    Values of more than two levels are walked in Python, their leaves cleaned as all others.
-    """
-    values = F.transform(entries, lambda e: e["v"])
-    clean = F.transform(_deep_leaves(values), lambda own: F.transform(own, lambda t: F.coalesce(_plain_text(t), F.lit(""))))
-    deep = F.coalesce(_deep_texts(values, clean), F.array().cast("array<string>"))
-    return F.zip_with(
-        entries, deep,
-        lambda e, t: F.struct(e["k"].alias("k"), e["nk"].alias("nk"), F.coalesce(t, json_text(e["v"])).alias("v")),
-    )
+    """json_entries with every value flattened to text, once for all later picks."""
+    return F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["nk"].alias("nk"), json_text(e["v"]).alias("v")))
 
 
 def alias_pick(texts: Column, aliases: Sequence[str]) -> Column:
     """First non-blank text among aliases, in alias order, over text_entries."""
-    # bound, since no Python function may stand inside a lambda
     members = bound(texts, lambda t: _members(t, aliases))
     found = F.filter(members, lambda v: v.isNotNull() & (v != ""))
     return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))

@@ -270,12 +270,16 @@ def q_token_extract(spark, folder):
 
 @query("""
 SELECT event_id, json_extract_string(props, '$.k') AS total, event_type AS name,
-    event_type || ', ' || user_id AS people, 't' || json_extract_string(props, '$.k') AS title FROM events""")
+    event_type || ', ' || user_id AS people, 't' || json_extract_string(props, '$.k') AS title,
+    event_type || ', [{' || user_id || '}], "q" & <x> y, 7' AS deep FROM events""")
 def q_alias_pick(spark, folder):
     record = F.concat(
         F.lit('{"Total_Count": '), F.get_json_object("props", "$.k"), F.lit(', "count": null, "Entry-Name": " '), "event_type",
         F.lit('", "headword": " ", "authors": ["'), "event_type", F.lit('", {"x": 1, "name": "<b>'), F.col("user_id").cast("string"),
-        F.lit('</b>"}], "term": {"en": "e", "kr": "t'), F.get_json_object("props", "$.k"), F.lit('"}}'),
+        F.lit('</b>"}], "term": {"en": "e", "kr": "t'), F.get_json_object("props", "$.k"),
+        # five levels, brackets and quotes inside texts, an empty preferred key on the way
+        F.lit('"}, "Body-Text": {"a": [[{"ko": {"value": ["'), "event_type", F.lit('"]}}, [{"name": " ", "b": {"c": [["[{'), F.col("user_id").cast("string"),
+        F.lit('}]"]]}}]], {"text": {"x": "\\"q\\" &amp;  &lt;x&gt; <i>y</i>", "z": []}}, 7], "d": {}}}'),
     )
     # the flattened entries are computed once and read by four picks
     rows = table(spark, folder, "events").select("event_id", A.text_entries(A.json_entries(record)).alias("e"))
@@ -286,6 +290,7 @@ def q_alias_pick(spark, folder):
         A.alias_pick(e, ("headword", "entryName")).alias("name"),
         A.alias_pick(e, ("writer", "Authors")).alias("people"),
         A.alias_pick(e, ("headword", "term")).alias("title"),
+        A.alias_pick(e, ("bodyText",)).alias("deep"),
     )
 
 
