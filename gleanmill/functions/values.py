@@ -76,7 +76,8 @@ def member(entries: Column, aliases: Sequence[str]) -> Column:
 
 def _plain_text(value: Column) -> Column:
     """Tag-free, decoded, one-line text; values with nothing to clean pass untouched."""
-    full = F.btrim(F.regexp_replace(decode_entities(strip_tags(value)), java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    bare = bound(strip_tags(value), decode_entities)
+    full = F.btrim(F.regexp_replace(bare, java(r"\s+"), " "), F.lit(SPACE_CHARS))
     return F.when(value.rlike(java(r"[<&]|\s")), full).otherwise(value)
 
 
@@ -93,7 +94,7 @@ def _leaf(value: Column) -> Column:
 
 
 def _flat_text(container: Column) -> Column:
-    """Text of a container of plain members: arrays joined by ', ', objects by a preferred key or by ' '."""
+    """Text of a container of plain members: arrays joined by ', ', objects by a preferred key or by ' '; null: no JSON."""
 
     def joined(values: Column, glue: str) -> Column:
         return F.array_join(F.filter(F.transform(values, _leaf), lambda t: t != ""), glue)
@@ -105,13 +106,12 @@ def _flat_text(container: Column) -> Column:
 
     of_list = joined(F.from_json(container, "array<string>"), ", ")
     as_object = bound(F.from_json(container, "map<string,string>"), of_object)
-    return F.coalesce(F.when(F.startswith(container, F.lit("[")), of_list).otherwise(as_object), F.lit(""))
+    return F.when(F.startswith(container, F.lit("[")), of_list).otherwise(as_object)
 
 
 def _quoted(text: Column) -> Column:
     """A text as a JSON string."""
-    listed = F.to_json(F.array(text))
-    return F.substring(listed, F.lit(2), F.length(listed) - 2)
+    return F.btrim(F.to_json(F.array(text)), F.lit("[]"))
 
 
 def _opens(value: Column) -> Column:
@@ -126,20 +126,21 @@ def json_text(value: Column) -> Column:
     """
 
     def step(text: Column) -> Column:
-        inner = F.transform(
-            F.regexp_extract_all(text, F.lit(INNERMOST), F.lit(0)), lambda c: _quoted(F.concat(F.lit(CLEAN), _flat_text(c)))
-        )
-        pieces = F.split(text, INNERMOST, -1)
-        return F.array_join(F.zip_with(pieces, inner, lambda p, i: F.concat(p, F.coalesce(i, F.lit("")))), "")
+        inner = F.transform(F.regexp_extract_all(text, F.lit(INNERMOST), F.lit(0)), _flat_text)
+
+        def put_back(texts: Column) -> Column:
+            quoted = F.transform(texts, lambda t: _quoted(F.concat(F.lit(CLEAN), t)))
+            parts = F.zip_with(F.split(text, INNERMOST, -1), quoted, lambda p, q: F.concat(p, F.coalesce(q, F.lit(""))))
+            return F.when(~F.exists(texts, lambda t: t.isNull()), F.array_join(parts, ""))
+
+        return bound(inner, put_back)
 
     # no value is deeper than it has opening brackets
     most = F.length(value) - F.length(F.translate(value, "{[", ""))
     string = F.aggregate(F.sequence(F.lit(1), most), value, lambda text, _: F.when(_opens(text), step(text)).otherwise(text))
     flat = F.substring(F.get(F.from_json(F.concat(F.lit("["), string, F.lit("]")), "array<string>"), F.lit(0)), 2, 1 << 30)
-    whole = F.when(
-        F.startswith(value, F.lit("[")), F.from_json(value, "array<string>").isNotNull()
-    ).otherwise(F.from_json(value, "map<string,string>").isNotNull())
-    return F.when(_opens(value) & whole, F.coalesce(flat, F.lit(""))).otherwise(_leaf(value))
+    # what only looks like JSON is plain text
+    return F.when(_opens(value), F.coalesce(flat, _leaf(value))).otherwise(_leaf(value))
 
 
 def text_entries(entries: Column) -> Column:

@@ -14,7 +14,7 @@ from gleanmill.pages import extract as E
 from gleanmill.queries.registry import query
 from gleanmill.schemas import ARTICLE_META
 from gleanmill.sources.stored import page_captures, parse_metas, readable, register_numbers
-from gleanmill.session import table
+from gleanmill.session import spread, table
 
 
 _TRIM = r"regexp_replace({0}, '^\s+|\s+$', '', 'g')"
@@ -282,7 +282,8 @@ def q_alias_pick(spark, folder):
         F.lit('}]"]]}}]], {"text": {"x": "\\"q\\" &amp;  &lt;x&gt; <i>y</i>", "z": []}}, 7], "d": {}}}'),
     )
     # the flattened entries are computed once and read by four picks
-    rows = table(spark, folder, "events").select("event_id", A.text_entries(A.json_entries(record)).alias("e"))
+    rows = spread(table(spark, folder, "events").select("event_id", "event_type", "user_id", "props"))
+    rows = rows.select("event_id", A.text_entries(A.json_entries(record)).alias("e"))
     e = F.col("e")
     return rows.select(
         "event_id",

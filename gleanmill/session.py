@@ -61,5 +61,15 @@ def cut_lineage(rows: DataFrame) -> DataFrame:
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt out anew where a costly expression would run in fewer tasks than there are cores.
+
+    A file of one row group is one task however many cores wait; a table of many
+    splits stays as it is and is not shuffled.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")

@@ -211,6 +211,8 @@ def test_texts_of_any_depth(spark):
     ]
     got = evaluate(spark, records, A.alias_pick(A.text_entries(A.json_entries("v")), ["title"]))
     assert got == ["deep", "x, a & b, true, 1.5", "t", "flat", "5", ""]
+    looks = ['{"title":"[abc]"}', '{"title":"{a: [1]"}', '{"title":"[1] and [2]"}', '{"title":[]}', '{"title":{"x":[{},[]]}}', '{"title":"[[\\"x\\"], {\\"b\\": 1}]"}']
+    assert evaluate(spark, looks, A.alias_pick(A.text_entries(A.json_entries("v")), ["title"])) == ["[abc]", "{a: [1]", "[1] and [2]", "", "", "x, 1"]
 
 
 def test_files(spark):
