@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanmill.functions.text import blank_to_null
@@ -125,11 +125,50 @@ def expected_pages(totals: DataFrame, page_cap: int | None = None, block: int =
     return blocks.select(*keys, F.explode(F.sequence(first, last)).alias("page"))
 
 
-def capture_gap(totals: DataFrame, captured: DataFrame, page_cap: int | None = None) -> DataFrame:
-    """Expected pages that were not captured."""
+def capture_gaps(totals: DataFrame, captured: DataFrame, page_cap: int | None = None, block: int = 4096) -> DataFrame:
+    """Runs of expected pages that were not captured: the keys of a request, first_page, last_page.
+
+    Only captured pages and requests are rows, however many pages a request has.
+    Captured pages are compared with the one before inside blocks of pages, then
+    the blocks with each other, so no task holds all captures of a request.
+    """
     keys = [c for c in totals.columns if c not in ("total", "page_size")]
-    have = captured.select(*keys, "page").distinct()
-    return expected_pages(totals, page_cap).join(have, [*keys, "page"], "left_anti")
+    pages = F.ceil(F.col("total") / F.col("page_size")).cast("long")
+    if page_cap is not None:
+        pages = F.least(pages, F.lit(page_cap).cast("long"))
+    have = captured.select(*keys, F.col("page").cast("long").alias("page")).where("page >= 1").dropna(subset=keys).distinct()
+    have = have.withColumn("_block", F.floor((F.col("page") - 1) / block))
+    gap = lambda before, after: F.struct((before + 1).alias("first_page"), (after - 1).alias("last_page"))
+    inside = have.withColumn("_before", F.lag("page").over(Window.partitionBy(*keys, "_block").orderBy("page"))).where("_before < page - 1")
+    ends = have.groupBy(*keys, "_block").agg(F.min("page").alias("_low"), F.max("page").alias("_high"))
+    by_block = Window.partitionBy(*keys).orderBy("_block")
+    between = ends.withColumn("_before", F.coalesce(F.lag("_high").over(by_block), F.lit(0).cast("long"))).where("_before < _low - 1")
+    # after the last captured page: open until the request's last one
+    rest = ends.groupBy(*keys).agg(F.max("_high").alias("_last"))
+    gaps = (
+        inside.select(*keys, gap(F.col("_before"), F.col("page")).alias("_g"))
+        .unionByName(between.select(*keys, gap(F.col("_before"), F.col("_low")).alias("_g")))
+        .unionByName(rest.select(*keys, gap(F.col("_last"), F.lit(None).cast("long")).alias("_g")))
+    )
+    first = F.coalesce("_g.first_page", F.lit(1).cast("long"))
+    last = F.least(F.coalesce("_g.last_page", "_pages"), "_pages")
+    return (
+        totals.select(*keys, pages.alias("_pages")).join(gaps, keys, "left")
+        .select(*keys, first.alias("first_page"), last.alias("last_page")).where("first_page <= last_page")
+    )
+
+
+def expanded(gaps: DataFrame, block: int = 4096) -> DataFrame:
+    """The pages of runs as rows; long runs are cut into blocks that are spread before."""
+    keys = [c for c in gaps.columns if c not in ("first_page", "last_page")]
+    start = F.explode(F.sequence("first_page", "last_page", F.lit(block).cast("long")))
+    starts = gaps.withColumn("_start", start).repartition(*keys, "_start")
+    return starts.select(*keys, F.explode(F.sequence("_start", F.least("last_page", F.col("_start") + block - 1))).alias("page"))
+
+
+def capture_gap(totals: DataFrame, captured: DataFrame, page_cap: int | None = None) -> DataFrame:
+    """Expected pages that were not captured, one row each."""
+    return expanded(capture_gaps(totals, captured, page_cap))
 
 
 # Each source's rule for asking another page, over page, page_size,

@@ -183,6 +183,20 @@ def q_capture_gap(spark, folder):
     return J.capture_gap(totals, captured)
 
 
+@query("""
+WITH t AS (SELECT l_suppkey, max(l_orderkey) + 3 AS total FROM lineitem GROUP BY 1),
+c AS (SELECT DISTINCT l_suppkey, l_orderkey AS page FROM lineitem WHERE l_orderkey >= 1
+      UNION ALL SELECT l_suppkey, total + 1 FROM t)
+SELECT l_suppkey, first_page, last_page FROM (
+  SELECT l_suppkey, coalesce(lag(page) OVER (PARTITION BY l_suppkey ORDER BY page), 0) + 1 AS first_page, page - 1 AS last_page FROM c)
+WHERE first_page <= last_page""")
+def q_capture_gaps(spark, folder):
+    """Order numbers as pages of a supplier: long gaps stay one row each."""
+    lines = table(spark, folder, "lineitem")
+    totals = lines.groupBy("l_suppkey").agg((F.max("l_orderkey") + 3).alias("total")).withColumn("page_size", F.lit(1))
+    return J.capture_gaps(totals, lines.select("l_suppkey", F.col("l_orderkey").alias("page")))
+
+
 @query("""
 SELECT p_partkey, CASE WHEN menu = 'BOOKS' AND regexp_full_match(isbn, '[0-9]{10}') THEN cover END AS cover_url FROM (
     SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' THEN 'BOOKS' ELSE 'PAPERS' END AS menu,
