@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from gleanmill.functions.text import pad_left, pad_right, sql_literal, text_of
@@ -29,6 +29,18 @@ def counters(rows: DataFrame, tests: Mapping[str, Column]) -> DataFrame:
     return rows.agg(*[F.count_if(test).alias(name) for name, test in tests.items()])
 
 
+def written_counts(rows: DataFrame, tests: Mapping[str, Column], write: Callable[[DataFrame], None]) -> DataFrame:
+    """The one row of ``counters``, taken while ``write`` writes the rows: no second pass over them.
+
+    Counts are those of the write as it ended; a task that is tried again counts once.
+    """
+    seen = Observation()
+    write(rows.observe(seen, *[F.count_if(test).alias(name) for name, test in tests.items()]))
+    # an input without rows may be written without a task, which counts nothing
+    counts = [int(seen.get.get(name) or 0) for name in tests]
+    return rows.sparkSession.createDataFrame([tuple(counts)], ", ".join(f"{name} long" for name in tests))
+
+
 def status_counters(rows: DataFrame, statuses: Sequence[str], status: str = "status") -> DataFrame:
     return rows.agg(
         F.count(F.lit(1)).alias("total"), *[F.count_if(F.col(status) == s).alias(s) for s in statuses]

@@ -9,7 +9,7 @@ from gleanmill.functions.text import text_of
 from gleanmill.functions.urls import article_identity, item_key, verdict_key
 from gleanmill.operators.dedupe import first_per_key
 from gleanmill.operators.joins import attach_translations
-from gleanmill.operators.rollups import counters
+from gleanmill.operators.rollups import counters, written_counts
 from gleanmill.operators.verdicts import confirm_news
 from gleanmill.rules.cascades import NewsRules, with_news_rule
 from gleanmill.session import cut_lineage
@@ -77,11 +77,11 @@ def judged_articles(articles: DataFrame, *args, seq: str = "seq", **options) ->
     return articles.join(decided, seq).withColumn("item_hash", item_key("identity"))
 
 
-def collect_summary(judged: DataFrame) -> DataFrame:
-    """All counters of a run in one pass over its decisions."""
+def collect_tests() -> dict[str, Column]:
+    """What a run counts of its decisions."""
     status, by = F.col("status"), F.col("verdict.by")
     reached = ~status.isin("no_keyword", "duplicate", "existing")
-    return counters(judged, {
+    return {
         "total_items": F.lit(True),
         "keyword_matched": F.size("matched_keywords") > 0,
         "skipped_duplicate": status.isin("duplicate", "existing"),
@@ -91,7 +91,17 @@ def collect_summary(judged: DataFrame) -> DataFrame:
         "trial_dropped": reached & (by == "trial-drop"),
         "roundup_dropped": reached & (by == "roundup-drop"),
         "saved": status == "saved",
-    })
+    }
+
+
+def collect_summary(judged: DataFrame) -> DataFrame:
+    """All counters of a run in one pass over its decisions."""
+    return counters(judged, collect_tests())
+
+
+def write_collected(judged: DataFrame, path: str) -> DataFrame:
+    """Write a run's decisions; returns its summary, counted while they are written."""
+    return written_counts(judged, collect_tests(), lambda rows: rows.write.mode("append").parquet(path))
 
 
 def preview_counts(judged: DataFrame) -> DataFrame:
@@ -104,17 +114,20 @@ def preview_counts(judged: DataFrame) -> DataFrame:
     })
 
 
-def backfill_summary(scanned: DataFrame, errors: DataFrame, judged: DataFrame) -> DataFrame:
-    """Files, parse errors and outcomes of a backfill, as one row."""
-    files = scanned.agg(F.count(F.lit(1)).alias("n")).scalar()
-    bad = errors.agg(F.count(F.lit(1)).alias("n")).scalar()
-    counts = counters(judged, {
+def backfill_tests() -> dict[str, Column]:
+    return {
         "parsed": F.lit(True),
         "keyword_matched": F.size("matched_keywords") > 0,
         "skipped_duplicate": F.col("status").isin("duplicate", "existing"),
         "saved": F.col("status") == "saved",
-    })
-    return counts.select(files.alias("total_files"), "*", bad.alias("parse_errors"))
+    }
+
+
+def backfill_summary(scanned: DataFrame, errors: DataFrame, judged: DataFrame) -> DataFrame:
+    """Files, parse errors and outcomes of a backfill, as one row."""
+    files = scanned.agg(F.count(F.lit(1)).alias("n")).scalar()
+    bad = errors.agg(F.count(F.lit(1)).alias("n")).scalar()
+    return counters(judged, backfill_tests()).select(files.alias("total_files"), "*", bad.alias("parse_errors"))
 
 
 def article_metas(judged: DataFrame, origin_id: int, translations: DataFrame | None = None) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,12 +12,12 @@ from gleanmill.functions import values as A
 from gleanmill.operators import rollups as G
 from gleanmill.operators import verdicts as R
 from gleanmill.plans import collect
-from gleanmill.queries.registry import query, words
+from gleanmill.queries.registry import SQL, query, words
 from gleanmill.rules import cascades as C
 from gleanmill.rules import vocabulary as V
 from gleanmill.rules.pack import Rule, RulePack
 from gleanmill.schemas import VERDICT
-from gleanmill.session import cut_lineage, table
+from gleanmill.session import cut_lineage, shared_dir, table
 
 TERMS = ("the", "that", "oui", "nicht", "para", "license")
 REPLY = "classifier string, key string, reply_text string"
@@ -208,6 +210,12 @@ def q_status_summary(spark, folder):
     return collect.collect_summary(judged_documents(spark, folder))
 
 
+@query(SQL["q_status_summary"])
+def q_written_summary(spark, folder):
+    """The same summary, counted while the decisions are written."""
+    return collect.write_collected(judged_documents(spark, folder), f"{shared_dir(spark).rstrip('/')}/collected-{uuid.uuid4().hex}")
+
+
 @query(_STATUS_SQL + """
 SELECT status, CASE WHEN status IN ('irrelevant', 'saved') THEN "by" ELSE '' END AS "by", count(*) AS n FROM status GROUP BY 1, 2""")
 def q_status_by_reason(spark, folder):
