@@ -58,32 +58,34 @@ def source_targets(
     return rated.select("skey", "source_size", target.alias("target"))
 
 
-def schedule(targets: DataFrame, block_words: int, cap: float = 2.0) -> DataFrame:
-    """The slots: slot, skey, epoch, block.
+def own_block(source_size: Column, block_words: int) -> Column:
+    """Words of a source's blocks: fewer in a source of less than 64 whole blocks, so that it has enough of them."""
+    return F.least(F.lit(block_words), F.greatest(F.lit(1), F.floor(source_size / 64))).cast("long")
 
-    As many slots as blocks make up all targets.  A slot whose source has played
-    all blocks ``cap`` times stays empty and is left out.
+
+def schedule(targets: DataFrame) -> DataFrame:
+    """The slots: slot, skey, epoch, block; (slot, skey) is unique.
+
+    ``targets`` has skey, source_size, target and block_words.  A source is due as
+    many slots as its blocks make up its target, and the points fall to sources
+    by what they are due.  Points miss that number by a few; slots beyond it are
+    left out, those that lack follow after the last point, so every source comes
+    within a block of its target, also one whose share is below the points' grid.
     """
     spark = targets.sparkSession
-    everything = Window.partitionBy(F.lit(0)).orderBy("skey")
-    ends = F.sum("target").over(everything)
-    whole = F.sum("target").over(Window.partitionBy(F.lit(0)))
-    shares = (
-        targets.where("target > 0")
-        .select(
-            "skey",
-            F.ceil(F.col("source_size") / block_words).alias("blocks"),
-            F.floor((ends - F.col("target")) / whole * POINTS).alias("low"),
-            F.floor(ends / whole * POINTS).alias("high"),
-        )
-        .where("high > low")
-        .withColumn(
-            "cell",
-            F.explode(F.sequence(F.floor(F.col("low") * CELLS / POINTS), F.floor((F.col("high") - 1) * CELLS / POINTS))),
-        )
+    everything = Window.partitionBy(F.lit(0))
+    in_order = everything.orderBy("skey")
+    need = F.col("target") / F.col("block_words")
+    due = stage(
+        targets.where("target > 0").select(
+            "skey", "block_words", F.ceil(F.col("source_size") / F.col("block_words")).alias("blocks"), F.ceil(need).cast("long").alias("due"),
+            F.floor(F.sum(need).over(in_order) / F.sum(need).over(everything) * POINTS).alias("high"),
+        ).withColumn("low", F.coalesce(F.lag("high").over(in_order), F.lit(0)))
     )
+    cells = F.sequence(F.floor(F.col("low") * CELLS / POINTS), F.floor((F.col("high") - 1) * CELLS / POINTS))
+    shares = due.where("high > low").withColumn("cell", F.explode(cells))
     # one number comes to the driver: how many slots there are
-    total = targets.agg(F.coalesce(F.ceil(F.sum("target") / block_words), F.lit(0)).cast("long")).first()[0]
+    total = due.agg(F.coalesce(F.sum("due"), F.lit(0)).cast("long")).first()[0]
     slots = (
         spark.range(total).withColumnRenamed("id", "slot")
         .withColumn("point", golden_point(F.col("slot")))
@@ -92,13 +94,18 @@ def schedule(targets: DataFrame, block_words: int, cap: float = 2.0) -> DataFram
     hit = (
         slots.join(shares, "cell")
         .where("point >= low AND point < high")
-        .select("slot", "skey", "blocks", F.floor(F.col("slot") / RUN).alias("run"))
+        .select("slot", "skey", "blocks", "due", F.floor(F.col("slot") / RUN).alias("run"))
     )
     ranked = running_total(hit, "skey", "run", ["slot"], F.lit(1), "rank")
-    return ranked.where(F.col("rank") < cap * F.col("blocks")).select(
-        "slot", "skey",
-        F.floor(F.col("rank") / F.col("blocks")).alias("epoch"),
-        F.pmod("rank", "blocks").alias("block"),
+    ranked = stage(ranked.where("rank < due").select("slot", "skey", "blocks", "rank"))
+    given = ranked.groupBy("skey").agg(F.count(F.lit(1)).alias("given"))
+    lacking = (
+        due.join(given, "skey", "left").withColumn("given", F.coalesce("given", F.lit(0).cast("long"))).where("given < due")
+        .select("skey", "blocks", F.explode(F.sequence("given", F.col("due") - 1)).alias("rank"))
+        .select((F.col("rank") + total).alias("slot"), "skey", "blocks", "rank")
+    )
+    return ranked.unionByName(lacking).select(
+        "slot", "skey", F.floor(F.col("rank") / F.col("blocks")).alias("epoch"), F.pmod("rank", "blocks").alias("block")
     )
 
 
@@ -121,8 +128,8 @@ def mix(
     source of its own, after the others; repeated rows are documents of their
     own; an empty table gives empty results.  The order of a source's documents
     is by md5 of seed and id, ties by id and size, so reruns agree.  Taken words
-    differ from the target by a few blocks at most (the discrepancy of the
-    points), and no document is taken more than ``cap`` times.
+    differ from the target by less than a block, which is ``block_words`` or a
+    64th of a small source, and no document is taken more than ``cap`` times.
     """
     narrow = stage(
         docs.select(
@@ -133,28 +140,29 @@ def mix(
             F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("shuffle"),
         )
     )
-    targets = stage(source_targets(narrow, weights, share, cap))
-    dealt = narrow.withColumn("deal", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int"))
+    targets = stage(
+        source_targets(narrow, weights, share, cap).withColumn("block_words", own_block(F.col("source_size"), block_words))
+    )
+    # a source with a third of the rows is dealt out over this join by row
+    copies = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
+    described = (
+        narrow.withColumn("salt", F.pmod(F.col("row"), F.lit(64)).cast("int")).join(copies, ["skey", "salt"]).drop("salt")
+    )
+    dealt = described.withColumn("deal", F.conv(F.substring("shuffle", 1, 3), 16, 10).cast("int"))
     laid = running_total(dealt, "skey", "deal", ["shuffle", "doc_id", "size", "row"], F.col("size"), "start")
     # where a piece of a document lies: the blocks it covers
-    first, last = F.floor(F.col("start") / block_words), F.floor((F.col("start") + F.col("size") - 1) / block_words)
+    words = F.col("block_words")
+    first, last = F.floor(F.col("start") / words), F.floor((F.col("start") + F.col("size") - 1) / words)
     covered = (
         laid.where("size > 0")
-        .select("row", "skey", "start", "size", F.explode(F.sequence(first, last)).alias("block"))
+        .select("row", "skey", "start", "size", "block_words", F.explode(F.sequence(first, last)).alias("block"))
     )
-    pieces = covered.join(schedule(targets, block_words, cap), ["skey", "block"]).select(
+    pieces = covered.join(schedule(targets), ["skey", "block"]).select(
         "slot", "epoch", "skey", "block", "row",
-        F.greatest(F.lit(0), F.col("block") * block_words - F.col("start")).alias("from_word"),
-        F.least(F.col("size"), (F.col("block") + 1) * block_words - F.col("start")).alias("to_word"),
-    )
-    # a source with a third of the rows is dealt out over this join by the same buckets
-    copies = targets.select("*", F.explode(F.sequence(F.lit(0), F.lit(63))).alias("salt"))
-    described = (
-        narrow.withColumn("salt", F.pmod(F.col("row"), F.lit(64)).cast("int"))
-        .join(copies, ["skey", "salt"])
-        .drop("shuffle", "salt")
+        F.greatest(F.lit(0), F.col("block") * words - F.col("start")).alias("from_word"),
+        F.least(F.col("size"), (F.col("block") + 1) * words - F.col("start")).alias("to_word"),
     )
-    return described, pieces
+    return described.drop("shuffle", "block_words"), pieces
 
 
 def mixed_totals(docs: DataFrame, **options) -> DataFrame:

@@ -81,24 +81,18 @@ WITH n AS (
   SELECT skey, source_size, CASE WHEN rate * w >= cap THEN cap
     ELSE max(CASE WHEN rate * w < cap THEN rate END) OVER () * w END AS target FROM r
 ), c AS (
-  SELECT skey, (source_size + 63) // 64 AS blocks,
-    floor((sum(target) OVER (ORDER BY skey) - target) / (sum(target) OVER ()) * 4294967296) AS low,
-    floor(sum(target) OVER (ORDER BY skey) / (sum(target) OVER ()) * 4294967296) AS high
-  FROM t WHERE target > 0
-), slots AS (
-  SELECT range AS slot, (range % 65536 * 2654435769 + range // 65536 * 2654435769 % 65536 * 65536) % 4294967296 AS point
-  FROM range((SELECT CAST(ceil(sum(target) / 64) AS BIGINT) FROM t))
+  SELECT *, least(64, greatest(1, source_size // 64)) AS b FROM t WHERE target > 0
 ), k AS (
-  SELECT skey, blocks, row_number() OVER (PARTITION BY skey ORDER BY slot) - 1 AS rank
-  FROM slots JOIN c ON point >= low AND point < high
+  SELECT *, CAST(ceil(target / b) AS BIGINT) AS due, (source_size + b - 1) // b AS blocks FROM c
 ), p AS (
-  SELECT skey, rank % blocks AS block, count(*) AS times FROM k WHERE rank < 2 * blocks GROUP BY ALL
+  SELECT skey, b, block, due // blocks + CASE WHEN block < due % blocks THEN 1 ELSE 0 END AS times
+  FROM (SELECT *, unnest(range(blocks)) AS block FROM k)
 ), laid AS (
   SELECT *, row_number() OVER () AS row, coalesce(sum(size) OVER (PARTITION BY skey ORDER BY h, doc_id, size
     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start FROM n
 ), taken AS (
-  SELECT row, sum(times * (least(start + size, (block + 1) * 64) - greatest(start, block * 64))) AS taken
-  FROM laid JOIN p ON laid.skey = p.skey AND size > 0 AND block >= start // 64 AND block <= (start + size - 1) // 64
+  SELECT row, sum(times * (least(start + size, (block + 1) * b) - greatest(start, block * b))) AS taken
+  FROM laid JOIN p ON laid.skey = p.skey AND size > 0 AND block >= start // b AND block <= (start + size - 1) // b
   GROUP BY row
 )
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target, CAST(coalesce(taken, 0) AS BIGINT) AS taken
@@ -218,13 +212,14 @@ def op8_line_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 OP8_SQL = r"""
 WITH RECURSIVE l AS (
-  SELECT doc_id, i - 1 AS line_no, line FROM (
-    SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
-    FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]')
+  SELECT *, row_number() OVER (ORDER BY doc_id, line_no) AS place FROM (
+    SELECT doc_id, i - 1 AS line_no, line FROM (
+      SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i
+      FROM documents) WHERE regexp_matches(line, '[^\x20\x09-\x0D]'))
 ), c AS (
-  SELECT line, min(doc_id * 1000000 + line_no) AS id FROM l GROUP BY line
+  SELECT line, min(place) AS id FROM l GROUP BY line
 ), g AS (
-  SELECT DISTINCT id, substr(line, i, 9) AS s FROM (SELECT id, line, unnest(range(1, length(line) - 7)) AS i FROM c WHERE length(line) >= 40)
+  SELECT DISTINCT id, substr(line, i, 9) AS s FROM (SELECT id, line, unnest(range(1, length(line) - 7)) AS i FROM c)
 ), n AS (
   SELECT id, count(*) AS n FROM g GROUP BY id
 ), links AS (
@@ -235,9 +230,8 @@ WITH RECURSIVE l AS (
 ), f AS (
   SELECT node, min(seen) AS first FROM reached GROUP BY node
 )
-SELECT l.doc_id, CAST(l.line_no AS INT) AS line_no, first // 1000000 AS first_doc, CAST(first % 1000000 AS INT) AS first_line,
-  l.doc_id * 1000000 + l.line_no = first AS kept
-FROM l JOIN c USING (line) JOIN f ON node = c.id
+SELECT l.doc_id, CAST(l.line_no AS INT) AS line_no, o.doc_id AS first_doc, CAST(o.line_no AS INT) AS first_line, l.place = first AS kept
+FROM l JOIN c USING (line) JOIN f ON node = c.id JOIN l o ON o.place = first
 """
 
 
