@@ -112,23 +112,35 @@ def opened(path: str):
     return store.open_input_file(inside)
 
 
+#: Bytes of a field name at most, and what may begin a line: an end, a name, or a name with its colon.
+LONGEST_NAME = 256
+MAYBE_NAME = re.compile(rb"\r\Z|[!-9;-~]{1,%d}(?::|\r?\Z)" % LONGEST_NAME)
+
+
 def header_at(file, offset: int, size: int) -> tuple[dict[str, str], int] | None:
-    """Fields of a header and the offset behind it; None where the lines are none."""
-    data, at, end = b"", offset + len(MAGIC), 0
+    """Fields of a header and the offset behind it; None where the lines are none.
+
+    Bytes are read and searched once, and a line is given up as soon as what
+    stands before a colon cannot be a name.
+    """
+    data, at, end, searched, step = bytearray(), offset + len(MAGIC), 0, 0, 4096
     fields: dict[str, str] = {}
     while True:
-        stop = data.find(b"\r\n", end)
+        stop = data.find(b"\r\n", max(end, searched - 1))
         if stop < 0:
-            if at >= size:
+            searched = len(data)
+            name = bytes(data[end : end + LONGEST_NAME + 1])
+            if at >= size or name and not MAYBE_NAME.match(name):
                 return None
-            more = file.read_at(min(4096, size - at), at)
-            data, at = data + more, at + len(more)
+            more = file.read_at(min(step, size - at), at)
+            data += more
+            at, step = at + len(more), step * 2
             continue
-        line, end = data[end:stop], stop + 2
+        line, end = bytes(data[end:stop]), stop + 2
         if not line:
             return fields, offset + len(MAGIC) + end
         name, colon, value = line.partition(b":")
-        if not colon or not re.fullmatch(rb"[!-9;-~]+", name):
+        if not colon or len(name) > LONGEST_NAME or not re.fullmatch(rb"[!-9;-~]+", name):
             return None
         fields[name.decode().lower()] = value.strip().decode("utf-8", "replace")
 
