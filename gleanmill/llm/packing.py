@@ -11,6 +11,7 @@ the counts allow.
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -41,6 +42,31 @@ def encoder(ranks_path: str, pattern: str, specials: tuple[tuple[str, int], ...]
     return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=dict(specials))
 
 
+#: Runs of blanks this long are encoded apart; the pattern itself would try every length of them.
+LONG_RUN = 1000
+# The blanks of the pattern: the characters with Unicode's property White_Space.
+RUNS = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]{%d,}" % LONG_RUN)
+
+
+def encoded(model, text: str) -> np.ndarray:
+    """Ids of a text of any shape.
+
+    The pattern makes one word of a run of blanks, all of it where the text or
+    one of its special tokens comes next, else all but its last blank; so a long
+    run is such a word by itself and the text around it is encoded as usual.
+    """
+    parts, start = [], 0
+    whole = lambda piece: model.encode_to_numpy(piece, allowed_special="all", disallowed_special=())
+    for run in RUNS.finditer(text):
+        first, end = run.span()
+        last = end == len(text) or any(text.startswith(special, end) for special in model.special_tokens_set)
+        stop = end if last else end - 1
+        parts += [whole(text[start:first]), np.array(model._encode_single_piece(text[first:stop]), np.uint32)]
+        start = stop
+    parts.append(whole(text[start:]))
+    return np.concatenate(parts) if len(parts) > 1 else parts[0]
+
+
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
     """Counts per length, within those given, whose sum is the largest up to ``room``."""
     reach, mask, steps = 1, (1 << (room + 1)) - 1, []
@@ -168,7 +194,7 @@ def pack(
     ])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(ranks_path, pattern, specials).encode_to_numpy
+        model = encoder(ranks_path, pattern, specials)
         packer = Packer(capacity, TaskContext.get().partitionId() << 33)
         rows: list[tuple] = []
         kinds = None
@@ -183,7 +209,7 @@ def pack(
         for b in batches:
             kinds = [b.schema.field("doc_id").type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             for doc_id, text in zip(b["doc_id"].to_pylist(), b["text"].to_pylist()):
-                ids = np.append(encode(text or "", allowed_special="all", disallowed_special=()).astype("<u4"), end)
+                ids = np.append(encoded(model, text or "").astype("<u4"), end)
                 for row in packer.add(doc_id, ids):
                     rows.append(row)
                     size += row[2]
