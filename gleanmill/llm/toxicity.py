@@ -199,7 +199,7 @@ def learn(rows: list[tuple[str | None, int]], least_ratio: float = 20.0) -> Mode
         if not sharper and not any(term.startswith(s) for s in stems):
             stems.append(term)
     words = [w for w in in_bad if len(w) >= 3 and telling(w, in_bad, in_good) and not any(w.startswith(s) for s in stems)]
-    terms = sorted([(s, True, len(s) >= 6) for s in stems] + [(w, False, len(w) >= 5) for w in words])
+    terms = sorted([(s, True, True) for s in stems] + [(w, False, True) for w in words])
     # a term whose misspellings turn up in clean texts is held to its exact letters
     model, loose = Model(terms, [0.0] * 5), Counter()
     for _, words_, toxic in texts:

@@ -5,6 +5,7 @@ import itertools
 import random
 import zlib
 
+import numpy as np
 import pytest
 
 from gleanmill.llm import chat, lines, lm, media, mixing, neardup, packing, quality, toxicity, warc
@@ -270,16 +271,85 @@ def test_packing_ids_are_the_default_json_ids(spark, tmp_path):
         assert {p["doc_tokens"] for p in of_query} == {len(ids)}
 
 
+def test_packing_of_long_runs(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    from gleanmill.llm.queries import public_specials
+
+    own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    model = packing.encoder(*public_vocabulary(), public_specials())
+    runs = [" " * 2000, "\n" * 1500 + " ", "\u3000 \t" * 700, " " * 999, " " * 1000, " " * 1001 + "\u2003"]
+    for run in runs:
+        for text in (run, "a" + run, run + "b", f"a{run}b{run}.", f"x{run}<|endoftext|>{run}y", f"{run}\x1c{run}é", run + "'s"):
+            assert packing.encoded(model, text).tolist() == own.encode(text, add_special_tokens=False).ids, (run[:3], text[-3:])
+    rng = random.Random(21)
+    blanks, word = "a" + " " * 2_000_000 + "b", "".join(rng.choice("abcdefgh") for _ in range(5_000_000))
+    prepared(spark)
+    packed = packing.pack(spark.createDataFrame([(1, blanks), (2, word)], "doc_id long, text string"), *public_vocabulary()).collect()
+    for i, text in ((1, blanks), (2, word)):
+        mine = sorted((p for p in packed if p["doc_id"] == i), key=lambda p: p["start"])
+        ids = np.concatenate([np.frombuffer(p["ids"], "<u4") for p in mine]).tolist()
+        assert ids[-1] == 0 and b"".join(map(model.decode_single_token_bytes, ids[:-1])) == text.encode()
+
+
+def test_header_scan_is_linear(tmp_path):
+    import time
+
+    from pyarrow import fs
+
+    for name, tail in (("blank", b"a b" * 6_000_000), ("letters", b"a" * 16_000_000), ("value", b"x:" + b"a" * 16_000_000), ("none", b"\r" * 16_000_000)):
+        path = tmp_path / name
+        path.write_bytes(warc.MAGIC + tail)
+        with fs.LocalFileSystem().open_input_file(str(path)) as file:
+            start = time.time()
+            assert warc.header_at(file, 0, path.stat().st_size) is None
+            assert time.time() - start < 2, name
+    good = tmp_path / "good"
+    good.write_bytes(warc.MAGIC + b"A: " + b"v" * 10_000 + b"\r\nContent-Length: 3\r\n\r\nabc")
+    with fs.LocalFileSystem().open_input_file(str(good)) as file:
+        fields, end = warc.header_at(file, 0, good.stat().st_size)
+        assert (fields["content-length"], len(fields["a"]), end) == ("3", 10_000, good.stat().st_size - 3)
+
+
+def test_mix_of_small_sources(spark):
+    rng = random.Random(22)
+    sizes = [30000, 5, 10, 12, 20, 30, 41, 55, 60, 63, 1, 70, 640]
+    rows = []
+    for k, size in enumerate(sizes):
+        left = size
+        while left:
+            n = min(left, rng.randrange(1, 400))
+            rows.append((len(rows), "w " * n, f"s{k:02}"))
+            left -= n
+    got = mixing.mixed_totals(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)).collect()
+    for k, size in enumerate(sizes):
+        own = [r for r in got if rows[r["doc_id"]][2] == f"s{k:02}"]
+        taken, target = sum(r["taken"] for r in own), own[0]["target"]
+        assert own[0]["source_size"] == size and abs(taken - target) <= max(1, min(64, size // 64)), (size, taken, target)
+        assert all(r["taken"] <= 2 * r["size"] for r in own)
+
+
+def test_short_terms_may_be_misspelled():
+    rng = random.Random(23)
+    plain = lambda: " ".join(f"w{rng.randrange(900):03}" for _ in range(40))
+    model = toxicity.learn([(plain(), 0) for _ in range(300)] + [(f"{plain()} scum {plain()}", 1) for _ in range(60)])
+    assert model.score("you scvm " + plain()) > 0.5 > model.score(plain())
+    # a near word of clean texts is no misspelling
+    clean = [(plain() + " scam", 0) for _ in range(300)]
+    model = toxicity.learn(clean + [(f"{plain()} scum {plain()}", 1) for _ in range(60)])
+    assert model.score("scam " + plain()) < 0.5 < model.score("scum " + plain())
+
+
 def test_lines_against_all_pairs(spark, odd, empty):
     prepared(spark)
     rows = [(i, f"{t}\n{t[:200]}\nshort line") for i, t in varied(9, 60, 40, 3)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     texts = {(i, k): line for i, t in rows for k, line in enumerate(t.split("\n"))}
-    sets = {p: frozenset(t[k : k + 9] for k in range(max(1, len(t) - 8))) for p, t in texts.items()}
+    sets = {p: frozenset(t[k : k + 9] for k in range(len(t) - 8)) for p, t in texts.items()}
     links = [
         (a, b) for a, b in itertools.combinations(sorted(texts), 2)
-        if texts[a] == texts[b]
-        or min(len(texts[a]), len(texts[b])) >= 40 and len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])
+        if texts[a] == texts[b] or len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b]) > 0
     ]
     want = smallest_reachable(texts, links)
     got = {(r["doc_id"], r["line_no"]): (r["first_doc"], r["first_line"]) for r in lines.line_fates(docs).collect()}
