@@ -447,3 +447,14 @@ def test_pipeline_keeps_columns(spark, odd, empty):
             if name != "packing":
                 assert out.columns == docs.columns, name
             assert docs is not empty or out.count() == 0
+
+
+def test_pipeline_drops_copies_by_row(spark):
+    import corpus_pipeline
+
+    base = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, base), (1, base), (None, base + " end"), (None, None), (2, ""), (2, ""), (3, "alone and short"), (4, "start " + base), (5, " ".join(f"v{i}" for i in range(80)))]
+    docs = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "doc_id long, text string, _at long")
+    left = sorted(r["_at"] for r in corpus_pipeline.drop_copies(spark, docs, "").collect())
+    assert len([i for i in left if i in (0, 1, 2, 7)]) == 1
+    assert set(left) >= {3, 4, 5, 6, 8}
