@@ -38,10 +38,17 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates (similarity 0.8 of 5-word shingles)."""
+    """One document of each group of near duplicates (similarity 0.8 of 5-word shingles).
+
+    Rows go by their place in the stored table, so of rows that repeat an id, or
+    have none, also one stays.
+    """
     prepared(spark)
-    gone = neardup.near_duplicates(docs, percent=80, bands=64).where("NOT kept").select(F.col("doc_id").alias("gone")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    # both sides number the same splits of the same files, so a row has one number
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    narrow = numbered.select(F.col("_row").alias("doc_id"), "text")
+    gone = neardup.near_duplicates(narrow, percent=80, bands=64).where("NOT kept").select(F.col("doc_id").alias("_row"))
+    return numbered.join(gone, "_row", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
