@@ -36,6 +36,7 @@ def components(links: DataFrame) -> DataFrame:
 
 
 #: Members of a bucket compared with all its others in one round, and its growth.
+#: A bucket of no more members is compared whole, which is linear in its rows.
 HUBS, FASTER = 16, 4
 
 
@@ -51,44 +52,106 @@ def relabelled(labels: DataFrame, links: DataFrame) -> DataFrame:
     return stage(moved.unionByName(fresh))
 
 
-def components_in_buckets(members: DataFrame, verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def size_class(n: str) -> str:
+    """SQL for the class of a set size: sizes under 64 are their own, larger ones share a class within 1/32."""
+    shift = f"greatest(length(bin({n})) - 6, 0)"
+    return f"(32 * {shift} + shiftright({n}, {shift}))"
+
+
+def prefix_members(elements: DataFrame, percent: int) -> DataFrame:
+    """Buckets in which all pairs of sets of this similarity meet: key, id, size, place.
+
+    ``elements`` has id and element, the different elements of each set.  They are
+    ordered rarest first.  If sets of n and m elements link, the first one they
+    share has at least the needed overlap of elements from its place on, in both.
+    So an element at a place is only of use for partners up to some size, and a
+    key is an element with the classes of both sizes.  Elements that one set alone
+    has make no key; sets that differ by their rare elements have no key in common.
+    """
+    counts = elements.groupBy("element").agg(F.count(F.lit(1)).alias("n"))
+    ordered = (
+        elements.join(counts, "element").groupBy("id")
+        .agg(F.array_sort(F.collect_list(F.struct("n", "element"))).alias("s")).withColumn("size", F.size("s").cast("long"))
+    )
+    least = F.expr(f"({percent} * size + 99) div 100")
+    first = F.slice("s", F.lit(1), (F.col("size") - least + 1).cast("int"))
+    placed = ordered.select("id", "size", least.alias("least"), F.posexplode(first).alias("place", "e")).where("e.n > 1")
+    most = f"(((size - place) * {100 + percent} - {percent} * size) div {percent})"
+    classed = placed.withColumn("most", F.expr(most)).where("most >= least").select(
+        "id", "size", F.col("place").cast("long").alias("place"), F.col("e.element").alias("element"),
+        F.expr(size_class("size")).alias("own"),
+        F.explode(F.expr(f"sequence({size_class('least')}, {size_class('most')})")).alias("other"),
+    )
+    return classed.select(F.xxhash64("element", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "id", "size", "place")
+
+
+def components_in_buckets(
+    members: DataFrame,
+    verify: Callable[[DataFrame], DataFrame],
+    elements: Callable[[DataFrame], DataFrame],
+    percent: int,
+) -> DataFrame:
     """Components of the verified links between members of a bucket: node, component.
 
-    ``members`` has key, id and size; ``verify`` turns pairs (a, b, n_a, n_b),
-    a < b, into a staged frame (a, b, linked).  Never all pairs of a bucket: the
-    member that meets most others is its hub and is compared with all.  Where a
-    bucket is then still in several components, members outside its largest one
-    are compared with all others, a growing number per round, until none waits; so
-    no link inside a bucket is lost, and a round is linear in the members of the
-    buckets that are still open.
+    ``members`` has key, id, size and place: the size of the id's set (null:
+    unknown) and how many of its elements come before the key's (0 where the key is
+    no element).  ``verify`` turns pairs (a, b, n_a, n_b), a < b, into a staged
+    frame (a, b, linked); ``elements`` turns a frame of id into (id, element); sets
+    link at a similarity of ``percent``.
+
+    The member of a bucket that meets most others is its hub and is compared with
+    all.  A bucket that is then still in several components is compared whole if it
+    has no more than HUBS members; the sets of all larger ones are dealt anew by
+    their rarest elements (prefix_members), which loses no link.  There members outside
+    the largest component of a key are compared with all others, a growing number
+    per round, until none waits.  Pairs whose sizes and places rule a link out
+    are never made; what can grow with the square of a group is only the pairs of sets
+    that share their rarest elements and do not link all the same.
     """
-    sizes = members.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
-    degree = members.join(sizes, "key").groupBy("id").agg(F.sum("m").alias("degree"))
-    members = stage(members.join(degree, "id").select("key", "id", "size", "degree"))
+
+    def ranked(rows: DataFrame) -> DataFrame:
+        sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("m"))
+        counted = rows.join(sizes.where("m > 1"), "key")
+        degree = counted.groupBy("id").agg(F.sum("m").alias("degree"))
+        return stage(counted.join(degree, "id").select("key", "id", "size", "place", "degree", "m"))
 
     def paired(one: DataFrame, other: DataFrame) -> DataFrame:
-        x = one.select("key", F.col("id").alias("x"), F.col("size").alias("n_x"), F.col("c").alias("c_x"))
-        y = other.select("key", F.col("id").alias("y"), F.col("size").alias("n_y"), F.col("c").alias("c_y"))
+        side = lambda rows, s: rows.select(
+            "key", F.col("id").alias(s), F.col("size").alias(f"n_{s}"), F.col("place").alias(f"i_{s}"), F.col("c").alias(f"c_{s}")
+        )
+        need = f"{percent} * (n_x + n_y)"
+        room = f"(n_x - i_x) * {100 + percent} >= {need} AND (n_y - i_y) * {100 + percent} >= {need}"
         first = F.col("x") < F.col("y")
         either = lambda p, q: F.when(first, F.col(p)).otherwise(F.col(q))
-        return x.join(y, "key").where("x <> y AND c_x <> c_y").select(
+        return side(one, "x").join(side(other, "y"), "key").where(f"x <> y AND c_x <> c_y AND coalesce({room}, true)").select(
             either("x", "y").alias("a"), either("y", "x").alias("b"), either("n_x", "n_y").alias("n_a"), either("n_y", "n_x").alias("n_b")
         ).distinct()
 
-    single = members.withColumn("c", F.col("id"))
-    hubs = members.groupBy("key").agg(F.max(F.struct("degree", "id", "size")).alias("h")).select(
-        "key", "h.id", "h.size", F.col("h.id").alias("c")
-    )
-    judged = verify(paired(hubs, single))
-    joined, done, most = components(judged.where("linked")), hubs.select("key", "id"), HUBS
-    while True:
+    def placed_in(rows: DataFrame, joined: DataFrame) -> DataFrame:
+        """Rows of the buckets that are in several components, with these."""
         placed = stage(
-            members.join(joined, members["id"] == joined["node"], "left")
-            .select("key", "id", "size", "degree", F.coalesce("component", "id").alias("c"))
+            rows.join(joined, rows["id"] == joined["node"], "left")
+            .select("key", "id", "size", "place", "degree", "m", F.coalesce("component", "id").alias("c"))
         )
         torn = placed.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("key")
         # a bucket of one component stays one, so only the others go on
-        open_rows = stage(placed.join(torn, "key"))
+        return stage(placed.join(torn, "key"))
+
+    members = ranked(members)
+    hubs = members.groupBy("key").agg(F.max(F.struct("degree", "id", "size", "place")).alias("h")).select(
+        "key", "h.id", "h.size", "h.place", F.col("h.id").alias("c")
+    )
+    judged = verify(paired(hubs, members.withColumn("c", F.col("id"))))
+    joined = components(judged.where("linked"))
+    # the hub of a pair was all there was to compare
+    torn = placed_in(members, joined).where("m > 2")
+    large = stage(torn.where(F.col("m") > HUBS).select("id").distinct())
+    members = torn.where(F.col("m") <= HUBS).drop("c")
+    if large.head(1):
+        members = members.unionByName(ranked(prefix_members(stage(elements(large)), percent)))
+    done, most = hubs.select("key", "id"), HUBS
+    while True:
+        open_rows = placed_in(members, joined)
         members = open_rows.drop("c")
         groups = open_rows.groupBy("key", "c").agg(F.count(F.lit(1)).alias("n"))
         largest = groups.groupBy("key").agg(F.max(F.struct("n", "c")).alias("top")).select("key", F.col("top.c").alias("c"))

@@ -144,7 +144,7 @@ def small_sets(lines: list[str], least: np.ndarray, most: int) -> pa.ListArray:
 
 
 def signed(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    names = ["doc_id", "line_no", "h1", "h2", "size"]
+    names = ["doc_id", "line_no", "h1", "h2"]
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -158,16 +158,16 @@ def signed(most: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.Record
 
 
 def prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """id, size, key of each class with a small set: the shingles that come first, common ones last."""
-    each = classes.select("id", "size", F.explode("few").alias("key"))
+    """id, size, key, place of each class with a small set: the shingles that come first, common ones last."""
+    each = classes.select("id", F.explode("few").alias("key"))
     counts = each.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).scalar()
     common = counts.where((F.col("n") > 1) & (F.col("n") * SHARE > total))
     placed = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "key")))
-    ordered = each.join(F.broadcast(common), "key", "left").groupBy("id", "size").agg(placed.alias("s"))
+    ordered = each.join(F.broadcast(common), "key", "left").groupBy("id").agg(placed.alias("s"))
     n = F.size("s")
     first = F.slice("s", F.lit(1), n - F.ceil(n * percent / 100).cast("int") + 1)
-    return ordered.select("id", "size", F.explode(first["key"]).alias("key"))
+    return ordered.select("id", n.cast("long").alias("size"), F.posexplode(first["key"]).alias("place", "key"))
 
 
 def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,6 +190,15 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [distinct(h) for h in each_hashed(b["line"].to_pylist())]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([b["id"], lists], names=["id", "elements"])
+
+
 def lines_of(docs: DataFrame) -> DataFrame:
     """doc_id, line_no (from 0), line, h1, h2: all lines with a word."""
     cut = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("line_no", "line"))
@@ -213,18 +222,21 @@ def line_fates(docs: DataFrame, percent: int = 80) -> DataFrame:
     lines = lines_of(docs)
     kind = docs.schema["doc_id"].dataType.simpleString()
     classes = stage(
-        lines.select("doc_id", "line_no", "h1", "h2", F.length("line").alias("size"), "line")
+        lines.select("doc_id", "line_no", "h1", "h2", "line")
         .mapInArrow(
             signed(most_partners(percent)),
-            f"doc_id {kind}, line_no int, h1 long, h2 long, size int, keys array<long>, few array<long>",
+            f"doc_id {kind}, line_no int, h1 long, h2 long, keys array<long>, few array<long>",
         )
-        .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "size", "keys", "few")).alias("c"))
-        .select("h1", "h2", F.struct("c.doc_id", "c.line_no").alias("id"), "c.size", "c.keys", "c.few")
+        .groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no", "keys", "few")).alias("c"))
+        .select("h1", "h2", F.struct("c.doc_id", "c.line_no").alias("id"), "c.keys", "c.few")
     )
-    short = stage(prefixes(classes, percent))
-    buckets = classes.select("id", "size", F.explode("keys").alias("key")).unionByName(short)
+    short = stage(prefixes(classes, percent).withColumn("place", F.col("place").cast("long")))
+    # how many shingles are different is known of small sets only
+    count = F.when(F.size("few") > 0, F.size("few")).cast("long")
+    banded_rows = classes.select("id", count.alias("size"), F.lit(0).cast("long").alias("place"), F.explode("keys").alias("key"))
+    buckets = banded_rows.unionByName(short)
     several = stage(buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
-    members = perhaps_among(buckets, ["key"], several).join(several, "key").select("key", "id", "size")
+    members = perhaps_among(buckets, ["key"], several).join(several, "key").select("key", "id", "size", "place")
     members = stage(members)
     ids = members.select("id").distinct()
     texts = stage(
@@ -240,7 +252,13 @@ def line_fates(docs: DataFrame, percent: int = 80) -> DataFrame:
         linked = 100 * F.col("shared") >= percent * (F.col("both") - F.col("shared"))
         return stage(found.select("a", "b", linked.alias("linked")).distinct())
 
-    joined = components_in_buckets(members, verified)
+    def elements(some: DataFrame) -> DataFrame:
+        held = texts.join(some, "id", "left_semi").select("id", "line").mapInArrow(
+            listed, f"id struct<doc_id:{kind},line_no:int>, elements array<long>"
+        )
+        return held.select("id", F.explode("elements").alias("element"))
+
+    joined = components_in_buckets(members, verified, elements, percent)
     first = classes.join(joined, classes["id"] == joined["node"], "left").select(
         "h1", "h2", F.coalesce("component", "id").alias("first")
     )

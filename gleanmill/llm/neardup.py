@@ -95,6 +95,15 @@ def overlaps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b["a"], b["b"], b["n_a"], b["n_b"], pa.array(shared, pa.int64())], names=["a", "b", "n_a", "n_b", "shared"])
 
 
+def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        sets = [shingle_set(text) for text in b["text"].to_pylist()]
+        ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+        hashes = np.concatenate(sets) if sets else np.empty(0, np.uint64)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes.view(np.int64), pa.int64()))
+        yield pa.RecordBatch.from_arrays([b["doc_id"], lists], names=["id", "elements"])
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Per input row doc_id, n_shingles, component_id, kept.
 
@@ -118,7 +127,7 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     reps = full.join(classes, ["digest", "doc_id"]).dropDuplicates(["digest"])
     buckets = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
     several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stage(buckets.join(several, "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size")))
+    members = stage(buckets.join(several, "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.lit(0).cast("long").alias("place")))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = stage(perhaps_among(known, ["doc_id"], ids).join(ids, "doc_id").select("doc_id", "text"))
 
@@ -133,7 +142,11 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
         linked = 100 * F.col("shared") >= percent * (F.col("n_a") + F.col("n_b") - F.col("shared"))
         return stage(found.select("a", "b", linked.alias("linked")))
 
-    joined = components_in_buckets(members, verified)
+    def elements(some: DataFrame) -> DataFrame:
+        held = texts.join(some.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
+        return held.mapInArrow(listed, f"id {kind}, elements array<long>").select("id", F.explode("elements").alias("element"))
+
+    joined = components_in_buckets(members, verified, elements, percent)
     fate = reps.select("digest", F.col("doc_id").alias("node")).join(joined, "node", "left").select(
         "digest", F.coalesce("component", "node").alias("reached")
     )
