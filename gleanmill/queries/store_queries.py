@@ -12,7 +12,7 @@ from gleanmill.queries.registry import query
 from gleanmill.session import shared_dir, table
 from gleanmill.sinks import tables as K
 from gleanmill.sources import news as N
-from gleanmill.streaming import feed
+from gleanmill.streaming import feed, replies
 
 
 def fresh_folder(spark, name: str) -> str:
@@ -126,3 +126,48 @@ def q_stream_offers(spark, folder):
     ).start()
     query_.awaitTermination()
     return spark.read.parquet(f"{out}/rows").select("user_id", "part", "event_id", "again")
+
+
+# ---- replies that arrive later ----------------------------------------------
+
+WAIT, LATE = "120 days", "12 hours"
+
+
+def _era(at):
+    """Parts in the order of time, as a landing folder gets them."""
+    return F.least(F.greatest(F.floor((F.year(at) - 1993) / 2), F.lit(0)), F.lit(PARTS - 1))
+
+
+@query("""
+WITH r AS (SELECT l_orderkey, l_shipdate AS came, l_linenumber % 3 <> 0 AS ok, l_returnflag <> 'R' AS keep, l_shipdate::DATE || ' ' || l_linenumber AS why,
+    CASE WHEN l_linenumber % 3 = 0 THEN 'sorry' ELSE '{"relevant":' || (l_returnflag <> 'R') || ',"reason":"' || l_shipdate::DATE || ' ' || l_linenumber || '"}' END AS reply FROM lineitem),
+w AS (SELECT least((SELECT max(o_orderdate) FROM orders), (SELECT max(l_shipdate) FROM lineitem)) - INTERVAL 12 HOUR AS mark),
+j AS (SELECT o.*, r.*, coalesce(ok, false) AS good FROM orders o LEFT JOIN r ON l_orderkey = o_orderkey AND came >= o_orderdate AND came <= o_orderdate + INTERVAL 120 DAY),
+n AS (SELECT *, row_number() OVER (PARTITION BY o_orderkey ORDER BY NOT good, CASE WHEN good THEN came END, reply) AS place FROM j)
+SELECT o_orderkey, CASE WHEN good THEN keep ELSE o_orderstatus <> 'F' END AS relevant,
+    CASE WHEN good THEN CASE WHEN keep THEN 'llm-keep' ELSE 'llm-drop' END WHEN o_orderstatus <> 'F' THEN 'llm-error-keep' ELSE 'rule-drop' END AS by,
+    CASE WHEN good THEN why ELSE o_orderpriority END AS reason, CASE WHEN good THEN came ELSE o_orderdate + INTERVAL 120 DAY END AS decided_at
+FROM n, w WHERE place = 1 AND (came IS NOT NULL OR o_orderdate + INTERVAL 120 DAY < mark)""")
+def q_late_replies(spark, folder):
+    """Orders wait for their lines as replies, four parts of each arriving in turn; the last ones still wait."""
+    asked, answers, out = (fresh_folder(spark, name) for name in ("asked", "answers", "verdicts"))
+    pending = table(spark, folder, "orders").select(
+        "o_orderkey", F.col("o_orderdate").cast("timestamp").alias("asked_at"),
+        F.struct((F.col("o_orderstatus") != "F").alias("relevant"), F.col("o_orderpriority").alias("reason")).alias("rule"),
+    )
+    why = F.concat_ws(" ", F.date_format("l_shipdate", "yyyy-MM-dd"), F.col("l_linenumber").cast("string"))
+    reply = F.to_json(F.struct((F.col("l_returnflag") != "R").alias("relevant"), why.alias("reason")))
+    replied = table(spark, folder, "lineitem").select(
+        F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp").alias("replied_at"),
+        F.when(F.col("l_linenumber") % 3 == 0, "sorry").otherwise(reply).alias("reply_text"),
+    )
+    for part in range(PARTS):
+        pending.where(_era("asked_at") == part).coalesce(1).write.mode("append").parquet(asked)
+        replied.where(_era("replied_at") == part).coalesce(1).write.mode("append").parquet(answers)
+    follow = lambda path, like: spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)
+    met = replies.answered_rows(follow(asked, pending), follow(answers, replied), "o_orderkey", wait=WAIT, late=LATE)
+    verdicts = replies.reply_verdicts(met, "o_orderkey", wait=WAIT)
+    replies.follow_replies(verdicts, f"{out}/rows", f"{out}/checkpoint", every=None).awaitTermination()
+    return replies.read_replies(spark, f"{out}/rows", "o_orderkey").select(
+        "o_orderkey", "relevant", "by", "reason", F.col("decided_at").cast("timestamp_ntz").alias("decided_at")
+    )
