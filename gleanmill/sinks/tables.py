@@ -165,6 +165,7 @@ def remove_folder(spark: SparkSession, path: str) -> None:
 
 
 def write_run_logs(logs: DataFrame, path: str) -> None:
+    """A JSON object per run and line, in a folder per configId and day; ``sources.stored.run_logs`` reads it."""
     logs.withColumn("date", F.date_format("startedAt", "yyyy-MM-dd")).write.mode("append").partitionBy(
         "configId", "date"
     ).json(path)

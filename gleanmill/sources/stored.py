@@ -88,8 +88,23 @@ def register_numbers(lines: DataFrame, seq: str, text: str = "value", pattern: s
     return found.groupBy("register_no").agg(F.min(F.struct(seq, "pos")).alias("seq"))
 
 
-def page_captures(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path).select("page_id", "url", "html", host_of("url").alias("host"))
+CAPTURES = "page_id long, url string, html string"
+
+
+def page_captures(spark: SparkSession, path: str, follow: bool = False) -> DataFrame:
+    """Captures of a folder: those that are there, or a stream of those that come."""
+    captured = spark.readStream.schema(CAPTURES).parquet(path) if follow else spark.read.parquet(path)
+    return captured.select("page_id", "url", "html", host_of("url").alias("host"))
+
+
+LIST_CAPTURES = "crawl string, page long, page_url string, body string, list_path string, total_path string"
+
+
+def list_captures(spark: SparkSession, path: str, follow: bool = False, files: int = 1000) -> DataFrame:
+    """JSON list pages of a folder: those that are there, or a stream of those that come, ``files`` of them a batch."""
+    if follow:
+        return spark.readStream.schema(LIST_CAPTURES).option("maxFilesPerTrigger", files).json(path)
+    return spark.read.schema(LIST_CAPTURES).json(path)
 
 
 def ajax_rows(captures: DataFrame) -> DataFrame:
@@ -122,10 +137,20 @@ def dimension(spark: SparkSession, path: str | None = None, **jdbc: str) -> Data
 
 
 def run_logs(spark: SparkSession, root: str) -> DataFrame:
-    """log/{configId}/{date}/*.json."""
-    return _json_files(spark, f"{root}/log", RUN_LOG).select(
-        "*", F.regexp_extract("file_path", r"/log/\d+/([^/]+)/", 1).alias("date")
+    """log/{configId}/{date}/*.json, or the folders that ``sinks.tables.write_run_logs`` names.
+
+    A file holds one object, or one per line.  A run's configId is its own, or
+    that of its folder.
+    """
+    # an object begins where a line begins with a brace, so files of many runs are read in splits
+    reader = spark.read.option("pathGlobFilter", "*.json").option("recursiveFileLookup", True).option("lineSep", "\n{")
+    whole = F.when(F.startswith(F.ltrim("value"), F.lit("{")), F.col("value")).otherwise(F.concat(F.lit("{"), "value"))
+    files = reader.text(f"{root}/log").where(F.btrim("value") != "").select(
+        whole.alias("value"), F.col("_metadata.file_path").alias("file_path"), F.col("_metadata.file_modification_time").alias("modified_at")
     )
+    logs = parse_metas(files, "value", RUN_LOG)
+    place = lambda n: F.regexp_extract("file_path", r"/log/(?:configId=)?(\d+)/(?:date=)?([^/]+)/", n)
+    return logs.withColumns({"configId": F.coalesce("configId", place(1).try_cast("long")), "date": place(2)})
 
 
 def key_listing(spark: SparkSession, root: str, prefix: str = "") -> DataFrame:
