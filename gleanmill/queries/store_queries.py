@@ -104,6 +104,21 @@ def q_verdict_store(spark, folder):
     return K.read_verdicts(spark, path, as_of).select("classifier", "key", "value", F.col("decided_at").cast("timestamp_ntz").alias("decided_at"))
 
 
+# ---- tables that change -----------------------------------------------------
+
+@query("""
+SELECT o_orderkey, o_custkey % 5 AS origin_id, CASE WHEN o_orderkey % 11 = 0 THEN 'changed' WHEN o_orderkey % 3 = 0 THEN 'twice' ELSE o_orderpriority END AS value FROM orders""")
+def q_upsert_table(spark, folder):
+    """Two thirds of the orders inserted, half overwritten or added, some changed in place, the rest inserted."""
+    path, n = fresh_folder(spark, "orders"), F.col("o_orderkey")
+    rows = table(spark, folder, "orders").select("o_orderkey", (F.col("o_custkey") % 5).alias("origin_id"), F.col("o_orderpriority").alias("value"))
+    K.insert_new(rows.where(n % 3 != 1), path, "o_orderkey", buckets=4)
+    K.upsert(rows.where((n % 3 == 0) | (n % 6 == 1)).withColumn("value", F.when(n % 3 == 0, "twice").otherwise(F.col("value"))), path, "o_orderkey", buckets=4)
+    K.insert_new(rows, path, "o_orderkey", buckets=4)
+    K.rewrite_changed(path, rows.where(n % 11 == 0).withColumn("value", F.lit("changed")), "o_orderkey", ["value"], buckets=4)
+    return K.read_table(spark, path).select("o_orderkey", F.col("origin_id").cast("long").alias("origin_id"), "value")
+
+
 # ---- stream dedupe ----------------------------------------------------------
 
 PARTS = 4

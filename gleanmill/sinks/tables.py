@@ -1,7 +1,10 @@
 """Parquet tables that grow by inserts and change by rewriting few partitions.
 
-A table is partitioned by (origin_id, bucket): the bucket is a hash of the key,
-so an origin that holds most rows is still rewritten in small parts.
+A table is partitioned by (origin_id, bucket, table_version): the bucket is a hash of
+the key, so an origin that holds most rows is still rewritten in small parts.  A
+rewrite adds a new version of the buckets it touches beside the old ones; which
+version is read is said by the last list of versions that was written to its end,
+so a rewrite that dies leaves the table as it was.  A table has one writer.
 """
 
 from __future__ import annotations
@@ -24,8 +27,23 @@ def bucket_of(key: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
 
 
+#: Version of rows that were only appended, and the folder of the lists of versions.
+VERSION, FIRST, LIVE = "table_version", "v0", "_live"
+
+
 def read_table(spark: SparkSession, path: str) -> DataFrame | None:
     """The table, or None before its first write."""
+    stored = _all_versions(spark, path)
+    if stored is None or VERSION not in stored.columns:
+        return stored
+    live = live_versions(spark, path)
+    if live is None:
+        return stored.where(F.col(VERSION) == FIRST).drop(VERSION)
+    place = [c for c in live.columns if c != "_live"]
+    return stored.join(live, place, "left").where(F.col(VERSION) == F.coalesce("_live", F.lit(FIRST))).select(*[c for c in stored.columns if c != VERSION])
+
+
+def _all_versions(spark: SparkSession, path: str) -> DataFrame | None:
     try:
         return spark.read.parquet(path)
     except AnalysisException as problem:
@@ -34,6 +52,81 @@ def read_table(spark: SparkSession, path: str) -> DataFrame | None:
         raise
 
 
+def _last_commit(spark: SparkSession, path: str) -> int:
+    """Number of the last list of versions that was written to its end; 0 before the first."""
+    files, folder = _folder(spark, f"{path}/{LIVE}")
+    if not files.exists(folder):
+        return 0
+    jvm = spark.sparkContext._jvm
+    numbers = [int(entry.getPath().getName()) for entry in files.listStatus(folder)]
+    done = [n for n in numbers if files.exists(jvm.org.apache.hadoop.fs.Path(f"{path}/{LIVE}/{n}/_SUCCESS"))]
+    return max(done, default=0)
+
+
+def live_versions(spark: SparkSession, path: str) -> DataFrame | None:
+    """(origin, bucket, _live) of the buckets that were ever rewritten, one row each; None if none was."""
+    last = _last_commit(spark, path)
+    return spark.read.parquet(f"{path}/{LIVE}/{last}") if last else None
+
+
+def _append(rows: DataFrame, path: str, key: str, origin: str, buckets: int) -> None:
+    """Append rows to the versions that are read."""
+    rows = rows.withColumn("bucket", bucket_of(key, buckets))
+    live = live_versions(rows.sparkSession, path)
+    if live is None:
+        rows = rows.withColumn(VERSION, F.lit(FIRST))
+    else:
+        names = rows.columns
+        rows = rows.join(live, [origin, "bucket"], "left").select(*names, F.coalesce("_live", F.lit(FIRST)).alias(VERSION))
+    rows.write.mode("append").partitionBy(origin, "bucket", VERSION).parquet(path)
+
+
+def _replace(rows: DataFrame, path: str, origin: str) -> None:
+    """Make ``rows`` (with their bucket) the whole content of the buckets they are in.
+
+    The new version is written first and read by nobody; the list of versions
+    that names it is the commit.
+    """
+    spark, version = rows.sparkSession, f"v{uuid.uuid4().hex}"
+    rows.withColumn(VERSION, F.lit(version)).write.mode("append").partitionBy(origin, "bucket", VERSION).parquet(path)
+    written = _all_versions(spark, path)
+    if written is None:
+        return
+    # from the folders' names; a bucket without rows wrote none and is not touched
+    touched = written.where(F.col(VERSION) == version).select(origin, "bucket").distinct().withColumn("_live", F.lit(version))
+    last, live = _last_commit(spark, path), live_versions(spark, path)
+    if live is not None:
+        touched = live.join(touched, [origin, "bucket"], "left_anti").unionByName(touched)
+    _commit(touched, path, last + 1)
+
+
+def _commit(live: DataFrame, path: str, number: int) -> None:
+    live.write.mode("overwrite").parquet(f"{path}/{LIVE}/{number}")
+
+
+def vacuum(spark: SparkSession, path: str, origin: str = "origin_id") -> int:
+    """Delete the versions that are no longer read, or never were; returns how many folders.
+
+    For a time when nobody still reads an older state of the table.
+    """
+    stored, live, last = _all_versions(spark, path), live_versions(spark, path), _last_commit(spark, path)
+    if stored is None or VERSION not in stored.columns:
+        return 0
+    folders = stored.select(origin, "bucket", VERSION).distinct()
+    if live is None:
+        dead = folders.where(F.col(VERSION) != FIRST)
+    else:
+        dead = folders.join(live, [origin, "bucket"], "left").where(F.col(VERSION) != F.coalesce("_live", F.lit(FIRST)))
+    n = 0
+    # names of folders, one at a time; rows stay where they are
+    for r in cut_lineage(dead.select(origin, "bucket", VERSION)).toLocalIterator():
+        remove_folder(spark, f"{path}/{origin}={r[origin]}/bucket={r['bucket']}/{VERSION}={r[VERSION]}")
+        n += 1
+    for number in range(1, last):
+        remove_folder(spark, f"{path}/{LIVE}/{number}")
+    return n
+
+
 def insert_new(rows: DataFrame, path: str, key: str, origin: str = "origin_id", buckets: int = BUCKETS) -> DataFrame:
     """Append the rows whose (origin, key) the table lacks; returns what was added.
 
@@ -42,54 +135,47 @@ def insert_new(rows: DataFrame, path: str, key: str, origin: str = "origin_id",
     """
     stored = read_table(rows.sparkSession, path)
     new = rows if stored is None else without_stored(rows, stored, [origin, key])
-    new = cut_lineage(new.withColumn("bucket", bucket_of(key, buckets)))
-    new.write.mode("append").partitionBy(origin, "bucket").parquet(path)
+    new = cut_lineage(new)
+    _append(new, path, key, origin, buckets)
     return new
 
 
 def append_rows(rows: DataFrame, path: str, key: str, origin: str = "origin_id", buckets: int = BUCKETS) -> None:
     """Append rows whose keys are known to be new, without a look at the table."""
-    rows.withColumn("bucket", bucket_of(key, buckets)).write.mode("append").partitionBy(origin, "bucket").parquet(path)
+    _append(rows, path, key, origin, buckets)
 
 
 def upsert(rows: DataFrame, path: str, key: str, origin: str = "origin_id", buckets: int = BUCKETS) -> None:
     """Overwrite rows of the same (origin, key), add the others.
 
-    Only partitions that receive a row are rewritten.
+    Only buckets that receive a row are rewritten, all of them or, if the write
+    dies, none.
     """
-    rows = rows.withColumn("bucket", bucket_of(key, buckets))
+    rows = cut_lineage(rows.withColumn("bucket", bucket_of(key, buckets)))
     stored = read_table(rows.sparkSession, path)
     if stored is not None:
         touched = rows.select(origin, "bucket").distinct()
         kept = stored.join(touched, [origin, "bucket"], "left_semi")
         rows = without_stored(kept, rows, [origin, "bucket", key]).unionByName(rows, allowMissingColumns=True)
-    # staged reliably: the partitions being replaced are also being read
-    staged = cut_lineage(rows)
-    (
-        staged.write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy(origin, "bucket")
-        .parquet(path)
-    )
+    _replace(rows, path, origin)
 
 
-def rewrite_changed(path: str, changes: DataFrame, key: str, fields: Sequence[str], origin: str = "origin_id") -> None:
+def rewrite_changed(path: str, changes: DataFrame, key: str, fields: Sequence[str], origin: str = "origin_id", buckets: int = BUCKETS) -> None:
     """New values for the given fields of existing keys; other rows keep theirs.
 
-    changes: origin, key, bucket and the new values under the same names.
+    changes: origin, key and the new values under the same names.  Changes are
+    seen all at once or, if the write dies, not at all.
     """
-    spark = changes.sparkSession
-    stored = spark.read.parquet(path)
-    new = changes.withColumn("bucket", bucket_of(key)).select(
+    stored = read_table(changes.sparkSession, path)
+    new = cut_lineage(changes.withColumn("bucket", bucket_of(key, buckets)).select(
         origin, "bucket", key, F.struct(*fields).alias("_new")
-    )
+    ))
     touched = new.select(origin, "bucket").distinct()
     kept = stored.join(touched, [origin, "bucket"], "left_semi")
     merged = kept.join(new, [origin, "bucket", key], "left").withColumns({
         f: F.when(F.col("_new").isNotNull(), F.col(f"_new.{f}")).otherwise(F.col(f)) for f in fields
     })
-    staged = cut_lineage(merged.select(*stored.columns))
-    staged.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(origin, "bucket").parquet(path)
+    _replace(merged.select(*stored.columns), path, origin)
 
 
 #: Buckets of a verdict store, and deltas of a bucket that are merged into one.
@@ -159,9 +245,14 @@ def compact_verdicts(path: str, spark: SparkSession, as_of: Column, most: int =
 
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder of a table where the table lives."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    files, folder = _folder(spark, path)
+    files.delete(folder, True)
+
+
+def _folder(spark: SparkSession, path: str):
+    """The file system of a folder, and the folder."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), folder
 
 
 def write_run_logs(logs: DataFrame, path: str) -> None:

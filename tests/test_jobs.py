@@ -188,12 +188,44 @@ def test_tables(spark, tmp_path):
     assert K.insert_new(rows, path, "key", buckets=4).count() == 3
     assert K.insert_new(rows, path, "key", buckets=4).count() == 0
     K.upsert(spark.createDataFrame([(1, "a", "new"), (3, "c", "w")], rows.schema), path, "key", buckets=4)
-    read = lambda: sorted((r.origin_id, r.key, r.v) for r in spark.read.parquet(path).collect())
+    read = lambda: sorted((r.origin_id, r.key, r.v) for r in K.read_table(spark, path).collect())
     assert read() == [(1, "a", "new"), (1, "b", "y"), (2, "a", "z"), (3, "c", "w")]
     path2 = str(tmp_path / "t2")
     K.insert_new(rows, path2, "key")
     K.rewrite_changed(path2, spark.createDataFrame([(2, "a", "Z")], rows.schema), "key", ["v"])
-    assert sorted((r.origin_id, r.key, r.v) for r in spark.read.parquet(path2).collect()) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "Z")]
+    assert sorted((r.origin_id, r.key, r.v) for r in K.read_table(spark, path2).collect()) == [(1, "a", "x"), (1, "b", "y"), (2, "a", "Z")]
+
+
+def test_rewrites_are_whole_or_nothing(spark, tmp_path, monkeypatch):
+    path, shape = str(tmp_path / "t"), "origin_id long, key string, v string"
+    frame = lambda *rows: spark.createDataFrame(rows, shape)
+    read = lambda: sorted((r.origin_id, r.key, r.v) for r in K.read_table(spark, path).collect())
+    K.insert_new(frame((1, "a", "x"), (1, "b", "y"), (2, "a", "z")), path, "key", buckets=2)
+    before, news = read(), frame((1, "a", "new"), (2, "c", "w"))
+
+    def dies(*_):
+        raise RuntimeError("killed")
+
+    for write in (lambda: K.upsert(news, path, "key", buckets=2), lambda: K.rewrite_changed(path, news, "key", ["v"], buckets=2)):
+        with monkeypatch.context() as m:
+            m.setattr(K, "_commit", dies)  # the new version is written, but not named
+            with pytest.raises(RuntimeError, match="killed"):
+                write()
+        assert read() == before
+    # a list of versions that was cut short does not count either
+    (tmp_path / "t" / "_live" / "1").mkdir(parents=True)
+    assert read() == before
+    K.upsert(news, path, "key", buckets=2)
+    assert read() == [(1, "a", "new"), (1, "b", "y"), (2, "a", "z"), (2, "c", "w")]
+    # rows added later join the versions that are read
+    assert K.insert_new(frame((1, "a", "no"), (1, "d", "d"), (3, "a", "e")), path, "key", buckets=2).count() == 2
+    K.rewrite_changed(path, frame((1, "d", "D"), (9, "q", "unknown")), "key", ["v"], buckets=2)
+    after = [(1, "a", "new"), (1, "b", "y"), (1, "d", "D"), (2, "a", "z"), (2, "c", "w"), (3, "a", "e")]
+    assert read() == after
+    assert K.vacuum(spark, path) > 0
+    assert read() == after and K.vacuum(spark, path) == 0
+    K.upsert(frame((4, "n", "first")), str(tmp_path / "fresh"), "key")
+    assert K.read_table(spark, str(tmp_path / "fresh")).count() == 1
 
 
 def test_verdict_flush(spark, tmp_path):
