@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from gleanmill.functions.dates import UNREADABLE, article_date, parse_since, zone_text
 from gleanmill.functions.text import text_of, translated_flag
 from gleanmill.operators.files import article_files, skipped_files, stored_paths
+from gleanmill.session import STATE_STORE
+
 
 def _nothing():
     return F.lit(None).cast("string")
@@ -24,6 +26,21 @@ def modified_since(rows: DataFrame, since: str | None, column: str = "modified_a
     return rows if bound is None or not on else rows.where(F.col(column) >= F.lit(bound))
 
 
+def taken_once(polled: DataFrame, key: str, at: str = "modified_at", back: str = "1 day") -> DataFrame:
+    """What a consumer keeps of polls whose inclusive bounds deliver rows again.
+
+    A row is its key and its time, so a record modified anew is taken anew.  On a
+    stream no poll reaches back further than ``back``: older rows count as late,
+    and state holds what is younger.  Rows without a time are for table polls
+    only.
+    """
+    if not polled.isStreaming:
+        return polled.dropDuplicates([key, at])
+    for name, value in STATE_STORE.items():
+        polled.sparkSession.conf.set(name, value)
+    return polled.withWatermark(at, back).dropDuplicatesWithinWatermark([key, at])
+
+
 def export_archives(metas: DataFrame) -> DataFrame:
     """Stored archive metas (camelCase, as scanned) to load-ready rows."""
     return metas.select(

@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from gleanmill.operators.verdicts import TTL_DAYS
+from gleanmill.plans.export import taken_once
 from gleanmill.queries.harvest_queries import FLAT, _flat
 from gleanmill.queries.registry import query
 from gleanmill.session import shared_dir, table
@@ -186,3 +187,26 @@ def q_late_replies(spark, folder):
     return replies.read_replies(spark, f"{out}/rows", "o_orderkey").select(
         "o_orderkey", "relevant", "by", "reason", F.col("decided_at").cast("timestamp_ntz").alias("decided_at")
     )
+
+
+# ---- polls that deliver again -----------------------------------------------
+
+@query("SELECT via, event_id, user_id FROM events, (SELECT unnest(['polls', 'stream']) AS via)")
+def q_export_polls(spark, folder):
+    """Events polled four times, each poll from an hour before the last one's end: each event is kept once."""
+    landing, out = fresh_folder(spark, "polls"), fresh_folder(spark, "taken")
+    events = table(spark, folder, "events").select("event_id", "user_id", F.col("ts").cast("timestamp").alias("modified_at"))
+    first, last = events.agg(F.min(F.unix_seconds("modified_at")), F.max(F.unix_seconds("modified_at"))).first()
+    first, last = first or 0, last or 0
+    step = (last - first) // PARTS + 1
+    second = F.unix_seconds("modified_at")
+    for poll in range(PARTS):
+        polled = events.where((second >= first + poll * step - 3600) & (second < first + (poll + 1) * step))
+        polled.coalesce(1).write.mode("append").parquet(landing)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(landing)
+    taken_once(stream, "event_id", back="2 hours").writeStream.option("checkpointLocation", f"{out}/checkpoint").option("path", f"{out}/rows").format("parquet").trigger(
+        availableNow=True
+    ).start().awaitTermination()
+    streamed = spark.read.parquet(f"{out}/rows").withColumn("via", F.lit("stream"))
+    polls = taken_once(spark.read.schema(events.schema).parquet(landing), "event_id").withColumn("via", F.lit("polls"))
+    return polls.unionByName(streamed).select("via", "event_id", "user_id")

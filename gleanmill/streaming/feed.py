@@ -22,14 +22,10 @@ from pyspark.sql.types import BooleanType, StructField, StructType
 from gleanmill.functions.urls import article_identity
 from gleanmill.plans.collect import article_metas, judged_articles
 from gleanmill.rules.cascades import NewsRules
+from gleanmill.session import STATE_STORE
 from gleanmill.sinks.tables import append_rows, bucket_of, insert_new, read_table
 from gleanmill.sources.news import articles_from_rss, rss_reader
 
-#: State of keys lives on disk beside the executor and in the checkpoint, not on its heap.
-STATE_STORE = {
-    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-}
-
 
 def feed_items(spark: SparkSession, landing: str) -> DataFrame:
     """Stream of feed articles, repeated items included."""

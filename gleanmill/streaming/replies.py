@@ -15,8 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from gleanmill.functions.values import relevant_unless_false
+from gleanmill.session import STATE_STORE
 from gleanmill.sinks.tables import read_table
-from gleanmill.streaming.feed import STATE_STORE
 
 
 def answered_rows(
