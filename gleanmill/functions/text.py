@@ -123,8 +123,12 @@ def decode_entities(value: Col) -> Column:
 
 
 def bound(value: Column, body) -> Column:
-    """Evaluate ``value`` once for an expression that reads it several times."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+    """Evaluate ``value`` once for an expression that reads it several times.
+
+    The finish of an aggregate over nothing: an array of one would have its type
+    derived from the whole body anew for each row.
+    """
+    return F.aggregate(F.array().cast("array<int>"), value, lambda v, _: v, body)
 
 
 def html_to_text(value: Col) -> Column:

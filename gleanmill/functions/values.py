@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import itertools
+import json
+import re
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from gleanmill.functions.patterns import SPACE_CHARS, java
-from gleanmill.functions.text import Col, bound, col, decode_entities, strip_tags, text_of, trimmed
+from gleanmill.functions.text import NAMED_ENTITIES, Col, bound, col, decode_entities, strip_tags, text_of, trimmed
 from gleanmill.functions.urls import base_name
 
 
@@ -59,19 +64,19 @@ def json_entries(record: Col) -> Column:
     )
 
 
-def _members(entries: Column, aliases: Sequence[str]) -> Column:
-    """Value per alias, in alias order: the exact spelling first, then ignoring case and separators."""
-    plain = lambda a: "".join(c for c in a if c not in " _-./").lower()
-    wanted = F.array(*[F.struct(F.lit(a).alias("k"), F.lit(plain(a)).alias("nk")) for a in aliases])
-    hit = lambda test: F.try_element_at(F.filter(entries, test), F.lit(1))["v"]
-    return F.transform(
-        wanted, lambda a: F.coalesce(hit(lambda e: e["k"] == a["k"]), hit(lambda e: e["nk"] == a["nk"]))
-    )
+def _member(entries: Column, alias: str) -> Column:
+    """Value under one alias: the exact spelling first, then ignoring case and separators."""
+    at = lambda field, name: F.get(entries["v"], (F.array_position(entries[field], F.lit(name)) - 1).cast("int"))
+    return F.coalesce(at("k", alias), at("nk", "".join(c for c in alias if c not in " _-./").lower()))
+
+
+def _by_name(entries: Column) -> Column:
+    return F.struct(entries["k"].alias("k"), entries["nk"].alias("nk"), entries["v"].alias("v"))
 
 
 def member(entries: Column, aliases: Sequence[str]) -> Column:
     """First value found under any alias."""
-    return F.try_element_at(F.filter(_members(entries, aliases), lambda v: v.isNotNull()), F.lit(1))
+    return bound(_by_name(entries), lambda e: F.coalesce(*[_member(e, alias) for alias in aliases]))
 
 
 def _plain_text(value: Column) -> Column:
@@ -148,11 +153,95 @@ def text_entries(entries: Column) -> Column:
     return F.transform(entries, lambda e: F.struct(e["k"].alias("k"), e["nk"].alias("nk"), json_text(e["v"]).alias("v")))
 
 
+ENTRIES = ArrayType(StructType([StructField(name, StringType()) for name in ("k", "nk", "v")]))
+
+
+class _Unusual(Exception):
+    """A record that the expressions must read."""
+
+
+def _unusual(_: str):
+    raise _Unusual
+
+
+def _integer(text: str) -> str:
+    return text if text != "-0" else _unusual(text)
+
+
+_TAG, _SPACES, _MARKS = re.compile("<[^>]+>"), re.compile(f"[{re.escape(SPACE_CHARS)}]+"), re.compile(r"[ _\-./]")
+# Keys that every language lowers alike.
+_KEY = re.compile("[ -~가-힣]*")
+
+
+def _one_line(text: str) -> str:
+    return (text if text.isascii() and text.isprintable() and "  " not in text else _SPACES.sub(" ", text)).strip(SPACE_CHARS)
+
+
+def _clean(text: str) -> str:
+    text = _one_line(_TAG.sub("", text) if "<" in text else text)
+    if "&" not in text:
+        return text
+    if "&#" in text:
+        raise _Unusual
+    for old, new in NAMED_ENTITIES:
+        text = text.replace(old, new)
+    return _one_line(text)
+
+
+def _text(value) -> str:
+    if isinstance(value, list):
+        return ", ".join(t for t in map(_text, value) if t)
+    if isinstance(value, tuple):
+        texts = [(key, _text(member_)) for key, member_ in value]
+        known = dict(reversed(texts))  # of equal keys the first counts
+        for key in TEXT_KEYS:
+            if text := known.get(key):
+                return text
+        return " ".join(t for _, t in texts if t)
+    return "" if value is None else "true" if value is True else "false" if value is False else _clean(value)
+
+
+_READER = json.JSONDecoder(object_pairs_hook=tuple, parse_float=_unusual, parse_constant=_unusual, parse_int=_integer)
+
+
+def _record_texts(record: str | None) -> list[tuple[str, str, str]] | None:
+    """text_entries(json_entries) of a plain record; None: one with floats, escapes by number or other rare forms."""
+    if record is None or "\\u" in record or CLEAN in record:
+        return None
+    try:
+        found = _READER.decode(record)
+        if not isinstance(found, tuple):
+            return None
+        out = []
+        for key, value in found:
+            if not _KEY.fullmatch(key) or isinstance(value, str) and value[:1] in ("[", "{"):
+                return None
+            if value is not None:
+                out.append((key, _MARKS.sub("", key).lower(), _text(value)))
+        return out
+    except (_Unusual, ValueError, RecursionError):
+        return None
+
+
+@F.arrow_udf(ENTRIES)
+def _plain_record_texts(records: pa.Array) -> pa.Array:
+    rows = [_record_texts(record) for record in records.to_pylist()]
+    ends = itertools.accumulate((len(row or ()) for row in rows), initial=0)
+    places = [None if n < len(rows) and rows[n] is None else end for n, end in enumerate(ends)]
+    flat = [entry for row in rows if row for entry in row]
+    fields = [pa.array([entry[n] for entry in flat], pa.string()) for n in range(3)]
+    return pa.ListArray.from_arrays(pa.array(places, pa.int32()), pa.StructArray.from_arrays(fields, ["k", "nk", "v"]))
+
+
+def record_texts(record: Col) -> Column:
+    """text_entries(json_entries(record)): plain records in one pass of a small reader, the others by the expressions."""
+    return F.coalesce(_plain_record_texts(col(record)), text_entries(json_entries(record)))
+
+
 def alias_pick(texts: Column, aliases: Sequence[str]) -> Column:
     """First non-blank text among aliases, in alias order, over text_entries."""
-    members = bound(texts, lambda t: _members(t, aliases))
-    found = F.filter(members, lambda v: v.isNotNull() & (v != ""))
-    return F.coalesce(F.try_element_at(found, F.lit(1)), F.lit(""))
+    picked = lambda e: F.coalesce(*[bound(_member(e, alias), lambda v: F.when(v != "", v)) for alias in aliases], F.lit(""))
+    return bound(_by_name(texts), picked)
 
 
 # ---- file kinds and names ---------------------------------------------------

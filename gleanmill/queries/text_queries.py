@@ -283,7 +283,7 @@ def q_alias_pick(spark, folder):
     )
     # the flattened entries are computed once and read by four picks
     rows = spread(table(spark, folder, "events").select("event_id", "event_type", "user_id", "props"))
-    rows = rows.select("event_id", A.text_entries(A.json_entries(record)).alias("e"))
+    rows = rows.select("event_id", A.record_texts(record).alias("e"))
     e = F.col("e")
     return rows.select(
         "event_id",
