@@ -30,7 +30,7 @@ from gleanmill.functions.text import (
     volume_label,
 )
 from gleanmill.functions.urls import riss_id
-from gleanmill.functions.values import alias_pick, coded, json_entries, member, pick_by_lang, text_entries
+from gleanmill.functions.values import alias_pick, coded, json_entries, member, pick_by_lang, record_texts
 from gleanmill.operators.once import evaluated_once
 from gleanmill.rules.cascades import article_or_thesis
 from gleanmill.session import cut_lineage
@@ -303,9 +303,9 @@ def encykorea(captures: DataFrame, details: DataFrame | None = None, error_chars
     )
     problem = F.when(F.col("payload").isNull(), F.concat(F.lit("bad reply: "), _shown("body", error_chars)))
     rows = _records(parsed, problem, ency_records(F.col("payload")))
-    rows = evaluated_once(rows, "e", text_entries(json_entries("r"))).withColumn("eid", ency_eid(F.col("e")))
+    rows = evaluated_once(rows.select(*KEEP, "message", "pos", record_texts("r").alias("_e")), "e", F.col("_e")).withColumn("eid", ency_eid(F.col("e")))
     if details is not None:
-        wanted = evaluated_once(details, "_d", text_entries(json_entries(ency_article(F.col("body"))))).select(
+        wanted = evaluated_once(details, "_d", record_texts(ency_article(F.col("body")))).select(
             F.upper("eid").alias("eid"), "_d"
         )
         late = F.coalesce("_d", F.array().cast("array<struct<k:string,nk:string,v:string>>"))
@@ -314,19 +314,25 @@ def encykorea(captures: DataFrame, details: DataFrame | None = None, error_chars
         joined = rows.join(wanted, "eid", "left")
         rows = evaluated_once(joined, "_o", overlaid).withColumn("e", F.col("_o"))
     e = F.col("e")
-    rows = evaluated_once(rows, "_url", alias_pick(e, URL_KEYS))
-    kind_and_nature = F.array(alias_pick(e, TYPE_KEYS), alias_pick(e, NATURE_KEYS))
+    # the picks are read more than once, by the filter on blank records, too
+    keys = {
+        "url": URL_KEYS, "title": TITLE_KEYS, "author": AUTHOR_KEYS, "year": YEAR_KEYS, "field": FIELD_KEYS, "type": TYPE_KEYS,
+        "nature": NATURE_KEYS, "summary": SUMMARY_KEYS,
+    }
+    picks = F.struct(F.col("eid"), *[alias_pick(e, names).alias(pick) for pick, names in keys.items()])
+    rows = evaluated_once(rows, "_p", picks)
+    p = lambda pick: F.col("_p")[pick]
     return _bib(
         rows, "encykorea",
-        source_id=F.col("eid"),
-        title=alias_pick(e, TITLE_KEYS),
+        source_id=p("eid"),
+        title=p("title"),
         publisher=F.lit(ENCY_PUBLISHER),
-        author=people(alias_pick(e, AUTHOR_KEYS)),
-        publish_year=year_of(alias_pick(e, YEAR_KEYS)),
-        category=blank_to_null(alias_pick(e, FIELD_KEYS)),
-        sub_category=blank_to_null(F.array_join(F.filter(kind_and_nature, lambda t: t != ""), " / ")),
-        summary=blank_to_null(alias_pick(e, SUMMARY_KEYS)),
-        detail_url=F.when(F.col("_url") != "", F.col("_url")).otherwise(F.concat(F.lit(ENCY_ORIGIN + "/Article/"), "eid")),
+        author=people(p("author")),
+        publish_year=year_of(p("year")),
+        category=blank_to_null(p("field")),
+        sub_category=blank_to_null(F.array_join(F.filter(F.array(p("type"), p("nature")), lambda t: t != ""), " / ")),
+        summary=blank_to_null(p("summary")),
+        detail_url=F.when(p("url") != "", p("url")).otherwise(F.concat(F.lit(ENCY_ORIGIN + "/Article/"), p("eid"))),
         material_type=F.lit("article"),
     )
 
