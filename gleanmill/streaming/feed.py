@@ -57,17 +57,19 @@ def first_offers(stream: DataFrame, stored: DataFrame, key: str, order: list[str
         seen = state.get[0] if state.exists else 0  # 1: offered, 2: stored
         best = None
         now_stored = seen == 2
-        for part in parts:
-            now_stored = now_stored or bool(part["_row"].isna().any())
-            mine = part[part["_row"].notna()]
-            if len(mine):
-                all_ = mine if best is None else pd.concat([best, mine])
-                best = all_.sort_values([*places, "_row"]).head(1)
+        for part in parts:  # plain lists: most keys have few rows, and a frame of them costs more than they do
+            # null places come last
+            ranks = [[(pd.isna(v), None if pd.isna(v) else v) for v in part[p].tolist()] for p in places]
+            for at, row in enumerate(part["_row"].tolist()):
+                if row is None:
+                    now_stored = True
+                elif best is None or [*(r[at] for r in ranks), row] < best:
+                    best = [*(r[at] for r in ranks), row]
         if now_stored:
             state.update((2,))
         elif best is not None:
             state.update((1,))
-            yield pd.DataFrame({"_row": best["_row"].tolist(), again: [seen == 1]})
+            yield pd.DataFrame({"_row": [best[-1]], again: [seen == 1]})
 
     decided = both.groupBy("_key").applyInPandasWithState(
         decide, f"_row string, {again} boolean", "seen int", "append", GroupStateTimeout.NoTimeout
