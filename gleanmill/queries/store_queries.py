@@ -177,13 +177,14 @@ def q_late_replies(spark, folder):
         F.col("l_orderkey").alias("o_orderkey"), F.col("l_shipdate").cast("timestamp").alias("replied_at"),
         F.when(F.col("l_linenumber") % 3 == 0, "sorry").otherwise(reply).alias("reply_text"),
     )
+    follow = lambda path, like: spark.readStream.schema(like.schema).parquet(path)
     for part in range(PARTS):
-        pending.where(_era("asked_at") == part).coalesce(1).write.mode("append").parquet(asked)
-        replied.where(_era("replied_at") == part).coalesce(1).write.mode("append").parquet(answers)
-    follow = lambda path, like: spark.readStream.schema(like.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    met = replies.answered_rows(follow(asked, pending), follow(answers, replied), "o_orderkey", wait=WAIT, late=LATE)
-    verdicts = replies.reply_verdicts(met, "o_orderkey", wait=WAIT)
-    replies.follow_replies(verdicts, f"{out}/rows", f"{out}/checkpoint", every=None).awaitTermination()
+        pending.where(_era("asked_at") == part).write.mode("append").parquet(asked)
+        replied.where(_era("replied_at") == part).write.mode("append").parquet(answers)
+        # a part is as many files as its tasks make, so the stream takes what has come and goes on from its checkpoint
+        met = replies.answered_rows(follow(asked, pending), follow(answers, replied), "o_orderkey", wait=WAIT, late=LATE)
+        verdicts = replies.reply_verdicts(met, "o_orderkey", wait=WAIT)
+        replies.follow_replies(verdicts, f"{out}/rows", f"{out}/checkpoint", every=None).awaitTermination()
     return replies.read_replies(spark, f"{out}/rows", "o_orderkey").select(
         "o_orderkey", "relevant", "by", "reason", F.col("decided_at").cast("timestamp_ntz").alias("decided_at")
     )

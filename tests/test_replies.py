@@ -64,3 +64,23 @@ def test_run_logs_read_back(spark, tmp_path):
         (1, 5, "2026-01-02", "a\n{b}"), (2, 5, "2026-01-02", None), (3, 6, "2026-01-02", "c"), (4, 7, "2026-01-03", "d"),
     }
     assert found.where("_corrupt_record IS NOT NULL").count() == 1
+
+
+def test_late_replies_land_in_many_files(spark, tmp_path, monkeypatch):
+    from gleanmill.queries import store_queries as Q
+
+    orders = [(k, "O", datetime(1994 + 2 * (k // 20) % 8, 1, 1), "1-URGENT") for k in range(40)]
+    lines = [(k, 1 + k % 3, "R" if k % 2 else "N", at + timedelta(days=10 if k % 5 else 130)) for k, _, at, _ in orders] + [(99, 1, "N", datetime(1999, 6, 1))]
+    orders.append((50, "F", datetime(1999, 6, 1), "5-LOW"))
+    dealt = lambda frame: frame.repartition(2)
+    dealt(spark.createDataFrame(orders, "o_orderkey long, o_orderstatus string, o_orderdate timestamp_ntz, o_orderpriority string")).write.parquet(str(tmp_path / "orders.parquet"))
+    dealt(spark.createDataFrame(lines, "l_orderkey long, l_linenumber int, l_returnflag string, l_shipdate timestamp_ntz")).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(Q, "fresh_folder", lambda _, name: str(tmp_path / "landing" / name))
+    got = {r.o_orderkey: (r.relevant, r.by, r.decided_at) for r in Q.q_late_replies(spark, str(tmp_path)).collect()}
+    want = {}
+    for (k, _, at, _), (_, n, flag, came) in zip(orders, lines):
+        read = k % 5 and n % 3
+        want[k] = (flag != "R", "llm-keep" if flag != "R" else "llm-drop", came) if read else (True, "llm-error-keep", at + timedelta(days=120))
+    want.pop(50, None)
+    assert got == want
+    assert len(list((tmp_path / "landing" / "asked").glob("*.parquet"))) > Q.PARTS
