@@ -10,6 +10,10 @@ WIDE_SPACES = (0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x2
 SPACE_CLASS = r"\s" + "".join(rf"\x{{{code:X}}}" for code in WIDE_SPACES)
 SPACE_CHARS = " \t\n\x0b\f\r" + "".join(chr(code) for code in WIDE_SPACES)
 
+# A run of blanks, but for a single plain one, which would be replaced by itself.  Printable ASCII is passed by
+# one test: without it each letter is held against all the wide spaces, one after another.
+BLANK_RUN = rf"(?=[^!-~])(?: [{SPACE_CLASS}]+|(?! )[{SPACE_CLASS}]+)"
+
 # ASCII word boundary: Java's own \b treats Hangul as word characters.
 WORD_EDGE = r"(?:(?<=\w)(?!\w)|(?<!\w)(?=\w))"
 

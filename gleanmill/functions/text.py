@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gleanmill.functions.patterns import SPACE_CHARS, java
+from gleanmill.functions.patterns import BLANK_RUN, SPACE_CHARS, java
 
 Col = Column | str
 
@@ -43,7 +43,7 @@ def lines_of(value: Column) -> Column:
 
 def strip_tags(value: Col) -> Column:
     flat = F.regexp_replace(text_of(value), "<[^>]+>", "")
-    return F.btrim(F.regexp_replace(flat, java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    return F.btrim(F.regexp_replace(flat, BLANK_RUN, " "), F.lit(SPACE_CHARS))
 
 
 def strip_highlight(value: Col) -> Column:
@@ -166,7 +166,7 @@ LEGAL_FORMS = r"^\s*(\(재\)|\(사\)|\(사단\)|\(재단\)|재단법인|사단
 
 def publisher_normalise(value: Col) -> Column:
     bare = F.regexp_replace(text_of(value), java(LEGAL_FORMS), "")
-    return F.btrim(F.regexp_replace(bare, java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    return F.btrim(F.regexp_replace(bare, BLANK_RUN, " "), F.lit(SPACE_CHARS))
 
 
 # Fixed value: the news agency's byline, e.g. "(Seoul=agency) name reporter =".
@@ -224,7 +224,7 @@ def text_cleanup(value: Col) -> Column:
 
 
 def one_line(value: Col) -> Column:
-    return F.btrim(F.regexp_replace(text_of(value), java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    return F.btrim(F.regexp_replace(text_of(value), BLANK_RUN, " "), F.lit(SPACE_CHARS))
 
 
 def writer_cleanup(value: Col) -> Column:

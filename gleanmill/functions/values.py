@@ -12,7 +12,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
-from gleanmill.functions.patterns import SPACE_CHARS, java
+from gleanmill.functions.patterns import BLANK_RUN, SPACE_CHARS, java
 from gleanmill.functions.text import NAMED_ENTITIES, Col, bound, col, decode_entities, strip_tags, text_of, trimmed
 from gleanmill.functions.urls import base_name
 
@@ -82,7 +82,7 @@ def member(entries: Column, aliases: Sequence[str]) -> Column:
 def _plain_text(value: Column) -> Column:
     """Tag-free, decoded, one-line text; values with nothing to clean pass untouched."""
     bare = bound(strip_tags(value), decode_entities)
-    full = F.btrim(F.regexp_replace(bare, java(r"\s+"), " "), F.lit(SPACE_CHARS))
+    full = F.btrim(F.regexp_replace(bare, BLANK_RUN, " "), F.lit(SPACE_CHARS))
     return F.when(value.rlike(java(r"[<&]|\s")), full).otherwise(value)
 
 

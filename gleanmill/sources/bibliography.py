@@ -61,8 +61,13 @@ def _bib(rows: DataFrame, source: str, **fields: Column) -> DataFrame:
 
 
 def _records(parsed: DataFrame, problem: Column, records: Column) -> DataFrame:
-    """A row per record of a good page, one row per page with a problem."""
-    opened = parsed.select(*KEEP, problem.alias("message"), F.posexplode_outer(F.when(problem.isNull(), records)).alias("pos", "r"))
+    """A row per record of a good page, one row per page with a problem.
+
+    The whole reply is judged once, not once for each of its records.
+    """
+    judged = evaluated_once(parsed, "_problem", problem)
+    found = F.col("_problem").isNull()
+    opened = judged.select(*KEEP, F.col("_problem").alias("message"), F.posexplode_outer(F.when(found, records)).alias("pos", "r"))
     return opened.where("message IS NOT NULL OR r IS NOT NULL")
 
 
@@ -146,22 +151,31 @@ def ntis(captures: DataFrame, error_chars: int | None = None) -> DataFrame:
     )
     rows = _records(parsed, problem, F.col("x.RESULTSET.HIT"))
     r = lambda name: F.col("r")[name]
-    tag_free = lambda name: strip_tags(r(name))
-    either = lambda a, b: F.when(tag_free(a) != "", tag_free(a)).otherwise(tag_free(b))
+    # the fields are read more than once, by the filter on blank records and by tests for blanks, too
+    fields = {
+        **{name: r(name) for name in (
+            "ResearchPublicNo", "TermSn", "PublicationAgency", "Manager", "ManagerName", "PublicationYear", "PublicationYm", "DocUrl",
+        )},
+        "keyword": r("Keyword")["Korean"], "title": r("ResultTitle")["Korean"], "title_en": r("ResultTitle")["English"],
+        "summary": r("Abstract")["Korean"], "summary_en": r("Abstract")["English"],
+    }
+    rows = evaluated_once(rows, "_p", F.struct(*[strip_tags(field).alias(name) for name, field in fields.items()]))
+    p = lambda name: F.col("_p")[name]
+    either = lambda a, b: F.when(p(a) != "", p(a)).otherwise(p(b))
     return _bib(
         rows, "ntis",
         source_id=either("ResearchPublicNo", "TermSn"),
-        title=strip_tags(r("ResultTitle")["Korean"]),
-        publisher=tag_free("PublicationAgency"),
+        title=p("title"),
+        publisher=p("PublicationAgency"),
         author=either("Manager", "ManagerName"),
         publish_year=year_of(either("PublicationYear", "PublicationYm"), anchored=True),
         category=F.lit("연구보고서"),
-        sub_category=blank_to_null(relist(strip_tags(r("Keyword")["Korean"]), ";")),
-        summary=blank_to_null(strip_tags(r("Abstract")["Korean"])),
-        detail_url=blank_to_null(tag_free("DocUrl")),
+        sub_category=blank_to_null(relist(p("keyword"), ";")),
+        summary=blank_to_null(p("summary")),
+        detail_url=blank_to_null(p("DocUrl")),
         material_type=F.lit("report"),
-        title_en=blank_to_null(strip_tags(r("ResultTitle")["English"])),
-        summary_en=blank_to_null(strip_tags(r("Abstract")["English"])),
+        title_en=blank_to_null(p("title_en")),
+        summary_en=blank_to_null(p("summary_en")),
     )
 
 

@@ -239,3 +239,17 @@ def test_replies(spark):
     got = evaluate(spark, ['so: [{"i":1,"theme":"a"},{"i":"2","theme":"b"}]', "none"], A.reply_rows("v"))
     assert [[tuple(x) for x in r] if r else r for r in got] == [[("1", "a"), ("2", "b")], None]
     assert evaluate(spark, ['{"a":1,"b":2}', "bad"], A.config_reply("v", F.lit('{"a":"z"}'))) == [{"a": "z", "b": "2"}, None]
+
+
+def test_blank_runs_are_found_as_by_the_plain_class(spark):
+    import random
+
+    from gleanmill.functions.patterns import BLANK_RUN, WIDE_SPACES, java
+
+    rng = random.Random(5)
+    some = [*map(chr, WIDE_SPACES), *" " * 20, *"\t\n\r\x0b\f\x1c\x85\x00\x7f​", *"ab!~가😀é" * 4]
+    texts = [("".join(rng.choice(some) for _ in range(rng.randrange(30))),) for _ in range(2000)]
+    both = spark.createDataFrame(texts, "t string").select(
+        F.regexp_replace("t", BLANK_RUN, " ").alias("got"), F.regexp_replace("t", java(r"\s+"), " ").alias("want")
+    )
+    assert both.where("got <> want").count() == 0

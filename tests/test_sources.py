@@ -233,3 +233,9 @@ def test_verdict_files_and_logs(spark, tmp_path):
     assert (log.configId, log.date, log.itemCount) == (5, "2026-01-02", 3)
     lines = spark.createDataFrame([(1, 'x,"RISS:A1,RISS:T2"'), (2, "RISS:A1 RISS:Z9")], "seq long, value string")
     assert {r.register_no: (r.seq.seq, r.seq.pos) for r in T.register_numbers(lines, "seq").collect()} == {"RISS:A1": (1, 0), "RISS:T2": (1, 1)}
+
+
+def test_report_fields_are_cleaned_once(spark):
+    plan = B.ntis(captured(spark, ("ntis", "", NTIS)))._jdf.queryExecution().optimizedPlan().toString()
+    # 13 fields and the text of an error reply, however often they are read
+    assert plan.count("<[^>]+>") <= 14
