@@ -126,8 +126,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, bands: int = BANDS, rows
     classes = full.groupBy("digest").agg(F.min("doc_id").alias("doc_id"))
     reps = full.join(classes, ["digest", "doc_id"]).dropDuplicates(["digest"])
     buckets = reps.select("doc_id", "n_shingles", F.explode("keys").alias("key"))
-    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    members = stage(buckets.join(several, "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.lit(0).cast("long").alias("place")))
+    several = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("m")).where("m > 1")
+    members = stage(buckets.join(several, "key").select("key", F.col("doc_id").alias("id"), F.col("n_shingles").alias("size"), F.lit(0).cast("long").alias("place"), "m"))
     ids = members.select(F.col("id").alias("doc_id")).distinct()
     texts = stage(perhaps_among(known, ["doc_id"], ids).join(ids, "doc_id").select("doc_id", "text"))
 
