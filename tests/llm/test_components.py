@@ -103,3 +103,20 @@ def test_size_classes_rise_without_gaps(spark):
     got = [r.c for r in spark.range(1, 5000).orderBy("id").select(F.expr(size_class("id")).alias("c")).collect()]
     assert got[:63] == list(range(1, 64))
     assert all(0 <= b - a <= 1 for a, b in zip(got, got[1:]))
+
+
+def test_counts_given_with_members_and_prefixes_made_once(spark, monkeypatch):
+    import sys
+
+    from gleanmill.llm import components
+
+    staged = []
+    monkeypatch.setattr(components, "stage", lambda rows: staged.append(sorted(rows.columns)) or stage(rows))
+    sets = copies(60, lambda i: 16 + i % 9)
+    real = components_in_buckets
+    counted = lambda members, *rest: real(members.withColumn("m", F.lit(len(sets)).cast("long")), *rest)
+    monkeypatch.setattr(sys.modules[__name__], "components_in_buckets", counted)
+    got, _ = run(spark, sets, [(0, i) for i in sets], 80)
+    assert got == brute(sets, 80)
+    # the buckets of large groups are dealt once, then counted and joined
+    assert staged.count(["id", "key", "place", "size"]) == 1
