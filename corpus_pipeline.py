@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleanmill.llm import lines, mixing, neardup, packing, quality
-from gleanmill.llm.common import documents, prepared
+from gleanmill.llm.common import documents, prepared, written
 from gleanmill.llm.queries import public_specials, public_vocabulary
 from gleanmill.session import shared_dir
 
@@ -79,6 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     folder = f"{shared_dir(spark).rstrip('/')}/pipeline-{uuid.uuid4().hex}"
     for name, step in STAGES:
-        step(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        written(step(spark, docs, sf_dir), f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
