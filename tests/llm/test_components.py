@@ -120,3 +120,15 @@ def test_counts_given_with_members_and_prefixes_made_once(spark, monkeypatch):
     assert got == brute(sets, 80)
     # the buckets of large groups are dealt once, then counted and joined
     assert staged.count(["id", "key", "place", "size"]) == 1
+
+
+def test_no_round_without_anybody_waiting(spark, monkeypatch):
+    from gleanmill.llm import components
+
+    staged = []
+    monkeypatch.setattr(components, "stage", lambda rows: staged.append(sorted(rows.columns)) or stage(rows))
+    # two components per bucket, and too few members for anybody to wait after the first round
+    sets = {i: set(range(100 * (i % 2), 100 * (i % 2) + 50)) | {1000 + i} for i in range(12)}
+    got, _ = run(spark, sets, [(0, i) for i in sets], 80)
+    assert got == brute(sets, 80)
+    assert sum("turn" in columns for columns in staged) == 1

@@ -82,3 +82,41 @@ def test_staged_tables_leave_no_shuffle_files(spark):
     assert shuffled() <= before
     assert sorted(r.n for r in staged.collect()) == [142] + [143] * 6
     assert spark.conf.get(CLEANUP, None) == setting
+
+
+def test_signature_in_steps_is_the_signature(spark):
+    rng = random.Random(6)
+    texts = ["".join(rng.choice("abcdé ") for _ in range(n)) for n in (8, 9, 39, 40, 60, 90, 200, 700)]
+    texts += ["abc" * 90, "x" * 300, "Copyright 2024 by the authors. " * 12, "y" * 40_000 + "".join(rng.choice("abc") for _ in range(60))]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, line string")
+    steps = lines.with_signature(rows, "line", 38)
+    plan = steps._jdf.queryExecution().optimizedPlan().toString()
+    # hashes are made in one place, and sorted and looked through outside lambdas
+    assert plan.count("regexp_extract_all") <= 6 and "sort_array(_h" in plan
+    got = {r.i: (sorted(r.s["keys"]), sorted(r.s["few"])) for r in steps.collect()}
+    want = {r.i: (sorted(r.s["keys"]), sorted(r.s["few"])) for r in rows.select("i", lines.signature(F.col("line"), 38).alias("s")).collect()}
+    assert got == want
+
+
+def test_bands_hold_the_least_different_hashes(spark):
+    text = "the same words, " * 4 + "then others of their own; " * 2
+    hashes = sorted({xxh64_intdigest(text[k : k + 9].encode(), 42) for k in range(len(text) - 8)})
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    want = [[signed(h) for h in hashes if h >> 60 == k][:4] for k in range(lines.BANDS)]
+    rows = spark.createDataFrame([(text,)], "line string")
+    s, places = F.col("s"), F.col("places")
+    placed = rows.select(F.sort_array(lines.unordered(F.col("line"))).alias("s")).select("s", lines.places_of(s).alias("places"))
+    got = placed.select(lines.different_of_bands(lines.first_of_bands(s, places), s, places).alias("b")).first().b
+    # unsigned order is signed order within a band
+    assert got == want
+
+
+def test_ids_that_repeat_with_other_lines(spark):
+    prepared(spark)
+    rng = random.Random(9)
+    own = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    base = own(300)
+    rows = [(1, base), (1, own(90)), (2, base[:290] + own(10)), (None, base[5:]), (3, own(300)), (3, own(300))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id or 0, r.first_doc or 0) for r in lines.line_fates(docs).collect())
+    assert got == [(0, 0), (1, 0), (1, 0), (2, 0), (3, 3), (3, 3)]
